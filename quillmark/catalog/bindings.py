@@ -8,6 +8,7 @@ sample solutions, then the alternative ones, then the answers.
 
 import io
 import zipfile
+from functools import cached_property
 from xml.sax.saxutils import escape
 
 import numpy as np
@@ -26,13 +27,38 @@ from quillmark.operators.similarity import VECTORS
 from quillmark.plans.grading import calibrate, fit_model
 from quillmark.plans.scoring import score_answers
 from quillmark.schemas import ANSWER, ITEM, SLOT, conform
+from quillmark.sources.stages import stage
 
 ITEMS_PER_EXAM = 20
 VECTOR_COLUMNS = ("answer_vector", "sample_vector", "alternative_vector")
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+# Columns of the driver tables that are read here. A given schema saves a look
+# into the files each time a table is opened.
+SCHEMAS = {
+    "benchmark": "item_id bigint, text string",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double",
+    "pages": "page_id bigint, url string",
+}
+
+
+class Data:
+    """The driver tables of one folder, and the number of questions in them."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def n(self) -> Column:
+        return F.lit(table(self, "benchmark").count())
+
+
+def table(data: Data, name: str) -> DataFrame:
+    return data.spark.read.schema(SCHEMAS[name]).parquet(f"{data.sf}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -42,10 +68,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def item_count(spark: SparkSession, sf: str) -> Column:
-    return F.lit(table(spark, sf, "benchmark").count())
-
-
 def _exam_id(item_id: Column) -> Column:
     number = F.floor(item_id / ITEMS_PER_EXAM) + 1
     return F.concat(F.lit("E"), F.lpad(number.cast("string"), 4, "0"))
@@ -59,11 +81,11 @@ def _student_id(number: Column) -> Column:
     return F.lpad(number.cast("string"), 6, "0")
 
 
-def raw_items(spark: SparkSession, sf: str) -> DataFrame:
+def raw_items(data: Data) -> DataFrame:
     """ITEM and ``item_id``; every second item has an alternative solution."""
-    questions = table(spark, sf, "benchmark")
+    questions = table(data, "benchmark")
     other = questions.select(F.col("item_id").alias("_other"), F.col("text").alias("_text"))
-    next_id = F.pmod(F.col("item_id") + 1, item_count(spark, sf))
+    next_id = F.pmod(F.col("item_id") + 1, data.n)
     even = F.pmod("item_id", F.lit(2)) == 0
     return questions.withColumn("_other", F.when(even, next_id)).join(other, "_other", "left").select(
         "item_id",
@@ -76,28 +98,28 @@ def raw_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf: str) -> DataFrame:
-    return conform(raw_items(spark, sf), ITEM)
+def items(data: Data) -> DataFrame:
+    return conform(raw_items(data), ITEM)
 
 
-def _names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(
+def _names(data: Data) -> DataFrame:
+    return table(data, "customer").select(
         F.col("c_custkey").alias("_student"),
         F.col("c_name").alias("first_name"),
         F.col("c_mktsegment").alias("surname"),
     )
 
 
-def raw_answers(spark: SparkSession, sf: str) -> DataFrame:
+def raw_answers(data: Data) -> DataFrame:
     """ANSWER and ``doc_id``; one document in 17 stands for a blank answer."""
-    n = item_count(spark, sf)
-    docs = spread(table(spark, sf, "documents"), "doc_id").select(
+    n = data.n
+    docs = spread(table(data, "documents"), "doc_id").select(
         "doc_id",
         F.pmod("doc_id", n).alias("_item"),
         F.floor(F.col("doc_id") / n).alias("_student"),
         F.when(F.pmod("doc_id", F.lit(17)) == 0, F.lit("")).otherwise(F.col("text")).alias("student_solution"),
     )
-    return docs.join(_names(spark, sf), "_student", "left").select(
+    return docs.join(_names(data), "_student", "left").select(
         "doc_id",
         _exam_id(F.col("_item")).alias("exam_id"),
         _student_id(F.col("_student")).alias("student_id"),
@@ -108,24 +130,24 @@ def raw_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return conform(raw_answers(spark, sf), ANSWER)
+def answers(data: Data) -> DataFrame:
+    return conform(raw_answers(data), ANSWER)
 
 
-def evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation_table(answers(spark, sf), items(spark, sf))
+def evaluation(data: Data) -> DataFrame:
+    return evaluation_table(answers(data), items(data))
 
 
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
+def candidates(data: Data) -> DataFrame:
     """Answered rows next to each of their solutions."""
-    return melt_solutions(answered(evaluation(spark, sf)))
+    return melt_solutions(answered(evaluation(data)))
 
 
-def label_gradings(spark: SparkSession, sf: str) -> DataFrame:
+def label_gradings(data: Data) -> DataFrame:
     """What the teacher entered: SLOT and ``grading`` for labelled answers."""
-    labels = table(spark, sf, "labels").select("doc_id", "quality")
-    keyed = raw_answers(spark, sf).select("doc_id", *SLOT).join(labels, "doc_id")
-    points = items(spark, sf).select("exam_id", "q_no", "points")
+    labels = table(data, "labels").select("doc_id", "quality")
+    keyed = raw_answers(data).select("doc_id", *SLOT).join(labels, "doc_id")
+    points = items(data).select("exam_id", "q_no", "points")
     graded = lookup(keyed, points, ["exam_id", "q_no"], ["doc_id"])
     return graded.select(*SLOT, (F.col("quality") * F.col("points")).cast("string").alias("grading"))
 
@@ -133,14 +155,14 @@ def label_gradings(spark: SparkSession, sf: str) -> DataFrame:
 # --- papers
 
 
-def teacher_papers(spark: SparkSession, sf: str) -> DataFrame:
-    papers = render_teacher(items(spark, sf))
+def teacher_papers(data: Data) -> DataFrame:
+    papers = render_teacher(items(data))
     path = F.concat(F.lit("papers/"), "exam_id", F.lit("/sample_solution.docx"))
     return papers.select(path.alias("path"), "text")
 
 
-def student_papers(spark: SparkSession, sf: str) -> DataFrame:
-    papers = render_answered(evaluation(spark, sf))
+def student_papers(data: Data) -> DataFrame:
+    papers = render_answered(evaluation(data))
     path = F.concat(F.lit("papers/"), "exam_id", F.lit("/"), "student_id", F.lit(".docx"))
     return papers.select(path.alias("path"), "text")
 
@@ -148,29 +170,29 @@ def student_papers(spark: SparkSession, sf: str) -> DataFrame:
 # --- vectors
 
 
-def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", "embedding")
+def _vectors(data: Data) -> DataFrame:
+    return table(data, "embeddings").select("vec_id", "embedding")
 
 
-def vector_items(spark: SparkSession, sf: str) -> DataFrame:
+def vector_items(data: Data) -> DataFrame:
     """ITEM with the vectors of both solutions; no vector for a blank one."""
-    n = item_count(spark, sf)
-    v = _vectors(spark, sf)
+    n = data.n
+    v = _vectors(data)
     sample = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("sample_vector"))
     alternative = v.select(
         (F.col("vec_id") - n).alias("item_id"), F.col("embedding").alias("_alternative")
     )
-    joined = raw_items(spark, sf).join(sample, "item_id").join(alternative, "item_id", "left")
+    joined = raw_items(data).join(sample, "item_id").join(alternative, "item_id", "left")
     vector = F.when(F.col("alternative_solution") != "", F.col("_alternative"))
     return joined.select(*[f.name for f in ITEM], "sample_vector", vector.alias("alternative_vector"))
 
 
-def raw_vector_answers(spark: SparkSession, sf: str) -> DataFrame:
+def raw_vector_answers(data: Data) -> DataFrame:
     """ANSWER with a vector; ``vec_id`` and the points of the item are kept."""
-    n = item_count(spark, sf)
+    n = data.n
     at = F.col("vec_id") - 2 * n
     rows = (
-        _vectors(spark, sf)
+        _vectors(data)
         .where(F.col("vec_id") >= 2 * n)
         .select(
             "vec_id",
@@ -180,7 +202,7 @@ def raw_vector_answers(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     text = F.concat(F.lit("Answer "), F.col("vec_id").cast("string"))
-    return rows.join(_names(spark, sf), "_student", "left").select(
+    return rows.join(_names(data), "_student", "left").select(
         "vec_id",
         "answer_vector",
         _exam_id(F.col("_item")).alias("exam_id"),
@@ -193,32 +215,37 @@ def raw_vector_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def vector_scored(spark: SparkSession, sf: str) -> DataFrame:
+def vector_scored(data: Data) -> DataFrame:
     return score_answers(
-        raw_vector_answers(spark, sf), vector_items(spark, sf), VECTORS, VECTOR_COLUMNS
+        raw_vector_answers(data), vector_items(data), VECTORS, VECTOR_COLUMNS
     )
 
 
-def entered_vector_gradings(spark: SparkSession, sf: str) -> DataFrame:
+def vector_stage(data: Data) -> DataFrame:
+    """The scored rows as a stage table, for steps that read them more than once."""
+    return stage(vector_scored(data), "scored")
+
+
+def entered_vector_gradings(data: Data) -> DataFrame:
     """SLOT and ``grading``: every third vector was graded by the teacher."""
     given = F.least(F.pmod("vec_id", F.lit(5)).cast("double"), F.col("item_points"))
     graded = F.when(F.pmod("vec_id", F.lit(3)) == 0, given.cast("string")).otherwise(F.lit(""))
-    return raw_vector_answers(spark, sf).select(*SLOT, graded.alias("grading"))
+    return raw_vector_answers(data).select(*SLOT, graded.alias("grading"))
 
 
-def vector_grading(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
+def vector_grading(data: Data, scored: DataFrame) -> DataFrame:
     """GRADING table of the answered vectors with the entered gradings."""
-    rows = answered(scored).join(entered_vector_gradings(spark, sf), SLOT)
+    rows = answered(scored).join(entered_vector_gradings(data), SLOT)
     return rows.select(
         "identification", "question", "points", "solution", "student_solution", "grading"
     )
 
 
-def vector_candidates(spark: SparkSession, sf: str) -> DataFrame:
+def vector_candidates(data: Data) -> DataFrame:
     """Answered vectors next to each of their solutions, one pair per row."""
     aligned = align_answers(
-        raw_vector_answers(spark, sf),
-        vector_items(spark, sf),
+        raw_vector_answers(data),
+        vector_items(data),
         ["answer_vector", "sample_vector", "alternative_vector"],
     )
     long = melt_solutions(answered(aligned))
@@ -228,19 +255,19 @@ def vector_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return long.withColumn("solution_vector", vector).drop("sample_vector", "alternative_vector")
 
 
-def vector_merged(spark: SparkSession, sf: str) -> DataFrame:
-    scored = vector_scored(spark, sf)
-    return join_gradings(vector_grading(spark, sf, scored), scored)
+def vector_merged(data: Data) -> DataFrame:
+    scored = vector_stage(data)
+    return join_gradings(vector_grading(data, scored), scored)
 
 
-def vector_model(spark: SparkSession, sf: str) -> DataFrame:
-    scored = vector_scored(spark, sf)
-    return fit_model(scored, vector_grading(spark, sf, scored))
+def vector_model(data: Data) -> DataFrame:
+    scored = vector_stage(data)
+    return fit_model(scored, vector_grading(data, scored))
 
 
-def vector_graded(spark: SparkSession, sf: str) -> DataFrame:
-    scored = vector_scored(spark, sf)
-    return calibrate(scored, vector_grading(spark, sf, scored))
+def vector_graded(data: Data) -> DataFrame:
+    scored = vector_stage(data)
+    return calibrate(scored, vector_grading(data, scored))
 
 
 # --- text generator and encoder that need nothing but their input
@@ -248,9 +275,9 @@ def vector_graded(spark: SparkSession, sf: str) -> DataFrame:
 ENDINGS = [" 1.5 points. Good. rest", " .5", " Score -5", " no number", ""]
 
 
-def responses(spark: SparkSession, sf: str) -> DataFrame:
+def responses(data: Data) -> DataFrame:
     """Replies to the documents as prompts; one in eleven does not repeat the prompt."""
-    docs = spread(table(spark, sf, "documents"), "doc_id").select(
+    docs = spread(table(data, "documents"), "doc_id").select(
         "doc_id", F.col("text").alias("prompt")
     )
     ending = F.get(F.array(*map(F.lit, ENDINGS)), F.pmod("doc_id", F.lit(5)).cast("int"))
@@ -295,11 +322,11 @@ def packed(text: str) -> bytes:
     return file.getvalue()
 
 
-def packed_papers(spark: SparkSession, sf: str) -> DataFrame:
+def packed_papers(data: Data) -> DataFrame:
     """Students' papers as files: ``path, content``."""
 
     def pack(batches):
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "content": batch["text"].map(packed)})
 
-    return student_papers(spark, sf).mapInPandas(pack, "path string, content binary")
+    return student_papers(data).mapInPandas(pack, "path string, content binary")

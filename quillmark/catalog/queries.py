@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.catalog import bindings as b
+from quillmark.catalog.bindings import Data
 from quillmark.functions import text as text_functions
 from quillmark.functions.grades import relative, round_up
 from quillmark.functions.vectors import cosine
@@ -23,8 +24,8 @@ QUERIES: dict[str, Query] = {}
 SEED = 7
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+def query(function: Callable[[Data], DataFrame], name: str | None = None):
+    QUERIES[name or function.__name__] = lambda spark, sf: function(Data(spark, sf))
     return function
 
 
@@ -40,64 +41,64 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 @query
-def ingest_docs(spark, sf):
-    return documents.document_text(b.packed_papers(spark, sf))
+def ingest_docs(data: Data) -> DataFrame:
+    return documents.document_text(b.packed_papers(data))
 
 
 @query
-def filter_extension(spark, sf):
+def filter_extension(data: Data) -> DataFrame:
     suffix = F.when(F.col("lang") == "en", ".docx").otherwise(".pdf")
     path = F.concat(F.lit("papers/"), "source", F.lit("/"), F.col("doc_id").cast("string"), suffix)
-    files = b.table(spark, sf, "documents").select("doc_id", path.alias("path"))
+    files = b.table(data, "documents").select("doc_id", path.alias("path"))
     return documents.only_documents(files)
 
 
 @query
-def append_items(spark, sf):
-    exam = b.items(spark, sf)
+def append_items(data: Data) -> DataFrame:
+    exam = b.items(data)
     resit = exam.drop("alternative_solution").withColumn("exam_id", F.concat(F.lit("R"), "exam_id"))
     return items.append_items(exam, resit)
 
 
 @query
-def render_teacher(spark, sf):
-    return render.render_teacher(b.items(spark, sf))
+def render_teacher(data: Data) -> DataFrame:
+    return render.render_teacher(b.items(data))
 
 
 @query
-def render_student(spark, sf):
-    return render.render_student(b.items(spark, sf))
+def render_student(data: Data) -> DataFrame:
+    return render.render_student(b.items(data))
 
 
 @query
-def render_student_named(spark, sf):
+def render_student_named(data: Data) -> DataFrame:
     """Blank papers with the names of the students filled in."""
-    return render.render_student(b.items(spark, sf), align.roster(b.answers(spark, sf)))
+    return render.render_student(b.items(data), align.roster(b.answers(data)))
 
 
 @query
-def render_bundle(spark, sf):
+def render_bundle(data: Data) -> DataFrame:
     """Both variants written as files and read back."""
-    path = new_path(spark, "bundle")
-    documents.write_bundle(render.render_bundle(b.items(spark, sf)), path)
-    return documents.read_bundle(spark, path)
+    path = new_path(data.spark, "bundle")
+    documents.write_bundle(render.render_bundle(b.items(data)), path)
+    return documents.read_bundle(data.spark, path)
 
 
 @query
-def stage_roundtrip(spark, sf):
-    return stages.stage(b.evaluation(spark, sf), "evaluation", by=["exam_id"])
+def stage_roundtrip(data: Data) -> DataFrame:
+    return stages.stage(b.evaluation(data), "evaluation", by=["exam_id"])
 
 
 @query
-def sheet_generative(spark, sf):
-    rows = generate.parse_score(generate.strip_echo(_answered_replies(spark, sf)))
+def sheet_generative(data: Data) -> DataFrame:
+    rows = generate.parse_score(generate.strip_echo(_answered_replies(data)))
     return sheets.generative_sheet(generate.unanswered_feedback(rows))
 
 
 @query
-def sheet_similarity(spark, sf):
+def sheet_similarity(data: Data) -> DataFrame:
     return rounded(
-        sheets.similarity_sheet(grading.award(b.vector_graded(spark, sf), "none")),
+        sheets.similarity_sheet(grading.award(b.vector_graded(data), "none")),
         "points_for_student_answer",
     )
 
@@ -106,50 +107,50 @@ def sheet_similarity(spark, sf):
 
 
 @query
-def project_eval(spark, sf):
-    return b.evaluation(spark, sf).select(
+def project_eval(data: Data) -> DataFrame:
+    return b.evaluation(data).select(
         "first_name", "surname", "student_id", "question", "points", "sample_solution",
         "alternative_solution", "student_solution",
     )
 
 
 @query
-def cast_text(spark, sf):
-    labels = b.table(spark, sf, "labels").select("doc_id", "quality")
-    docs = b.table(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left")
+def cast_text(data: Data) -> DataFrame:
+    labels = b.table(data, "labels").select("doc_id", "quality")
+    docs = b.table(data, "documents").select("doc_id").join(labels, "doc_id", "left")
     return items.cast_text(docs, "quality")
 
 
 @query
-def cast_points(spark, sf):
+def cast_points(data: Data) -> DataFrame:
     points = F.when(F.col("toxic") == 1, F.lit("see me")).otherwise(
         F.concat(F.col("quality").cast("string"), F.lit(".25"))
     )
-    labels = b.table(spark, sf, "labels").select("doc_id", points.alias("points"))
+    labels = b.table(data, "labels").select("doc_id", points.alias("points"))
     return items.cast_points(labels, "points")
 
 
 @query
-def zero_unanswered(spark, sf):
-    rows = calibrate.zero_unanswered(b.evaluation(spark, sf), "points")
+def zero_unanswered(data: Data) -> DataFrame:
+    rows = calibrate.zero_unanswered(b.evaluation(data), "points")
     return rows.select(*SLOT, "points")
 
 
 @query
-def default_alternative(spark, sf):
+def default_alternative(data: Data) -> DataFrame:
     given = F.nullif("alternative_solution", F.lit(""))
-    return items.default_alternative(b.items(spark, sf).withColumn("alternative_solution", given))
+    return items.default_alternative(b.items(data).withColumn("alternative_solution", given))
 
 
 @query
-def relative_points(spark, sf):
-    graded = _labelled(spark, sf)
+def relative_points(data: Data) -> DataFrame:
+    graded = _labelled(data)
     return graded.select(*SLOT, six(relative(F.col("grading"), F.col("points"))).alias("relative_points"))
 
 
 @query
-def number_items(spark, sf):
-    unnumbered = b.raw_items(spark, sf).select("item_id", "exam_id", "question")
+def number_items(data: Data) -> DataFrame:
+    unnumbered = b.raw_items(data).select("item_id", "exam_id", "question")
     return items.number_items(unnumbered, "item_id")
 
 
@@ -157,35 +158,35 @@ def number_items(spark, sf):
 
 
 @query
-def split_answered(spark, sf):
-    return items.answered(b.evaluation(spark, sf)).select(*SLOT, "student_solution")
+def split_answered(data: Data) -> DataFrame:
+    return items.answered(b.evaluation(data)).select(*SLOT, "student_solution")
 
 
 @query
-def split_unanswered(spark, sf):
-    return items.unanswered(b.evaluation(spark, sf)).select(*SLOT, "question", "points")
+def split_unanswered(data: Data) -> DataFrame:
+    return items.unanswered(b.evaluation(data)).select(*SLOT, "question", "points")
 
 
 @query
-def rejected_answers(spark, sf):
+def rejected_answers(data: Data) -> DataFrame:
     """Answers of the labelled documents count as handed in without a student id."""
-    labels = b.table(spark, sf, "labels").select("doc_id", "quality")
-    rows = b.raw_answers(spark, sf).join(labels, "doc_id", "left")
+    labels = b.table(data, "labels").select("doc_id", "quality")
+    rows = b.raw_answers(data).join(labels, "doc_id", "left")
     nameless = rows.withColumn("student_id", F.when(F.col("quality").isNull(), F.col("student_id")))
-    rejected = align.rejected_answers(nameless, b.items(spark, sf))
+    rejected = align.rejected_answers(nameless, b.items(data))
     return rejected.select("doc_id", "exam_id", "q_no", "reason")
 
 
 @query
-def training_rows(spark, sf):
-    rows = calibrate.training_rows(b.vector_merged(spark, sf))
+def training_rows(data: Data) -> DataFrame:
+    rows = calibrate.training_rows(b.vector_merged(data))
     return rows.select("identification", "grading", "points_x", six("cosine_similarity").alias("cosine_similarity"))
 
 
 @query
-def validate_grading(spark, sf):
+def validate_grading(data: Data) -> DataFrame:
     """Gradings twice as high as entered, and words in place of every blank one."""
-    graded = _labelled(spark, sf)
+    graded = _labelled(data)
     doubled = (F.col("grading").cast("double") * 2).cast("string")
     entered = F.when(F.col("grading") == "0.0", "none").otherwise(doubled)
     return sampling.validate_grading(graded.withColumn("grading", entered)).select(
@@ -194,9 +195,9 @@ def validate_grading(spark, sf):
 
 
 @query
-def validate_items(spark, sf):
+def validate_items(data: Data) -> DataFrame:
     """Every document as an item: points in thirds, a solution for some languages."""
-    docs = b.table(spark, sf, "documents").select(
+    docs = b.table(data, "documents").select(
         "doc_id",
         F.col("text").alias("question"),
         F.when(F.col("lang").isin("en", "de"), F.col("text")).otherwise(" \n").alias("sample_solution"),
@@ -209,85 +210,85 @@ def validate_items(spark, sf):
 
 
 @query
-def extract_questions(spark, sf):
-    return extract.extract_questions(b.teacher_papers(spark, sf)).drop("path")
+def extract_questions(data: Data) -> DataFrame:
+    return extract.extract_questions(b.teacher_papers(data)).drop("path")
 
 
 @query
-def extract_sample(spark, sf):
-    return extract.extract_sample(b.teacher_papers(spark, sf)).drop("path")
+def extract_sample(data: Data) -> DataFrame:
+    return extract.extract_sample(b.teacher_papers(data)).drop("path")
 
 
 @query
-def extract_alternative(spark, sf):
-    return extract.extract_alternative(b.teacher_papers(spark, sf)).drop("path")
+def extract_alternative(data: Data) -> DataFrame:
+    return extract.extract_alternative(b.teacher_papers(data)).drop("path")
 
 
 @query
-def extract_points(spark, sf):
-    return extract.extract_points(b.teacher_papers(spark, sf)).drop("path")
+def extract_points(data: Data) -> DataFrame:
+    return extract.extract_points(b.teacher_papers(data)).drop("path")
 
 
 @query
-def extract_identity(spark, sf):
-    return extract.extract_identity(b.student_papers(spark, sf)).drop("text")
+def extract_identity(data: Data) -> DataFrame:
+    return extract.extract_identity(b.student_papers(data)).drop("text")
 
 
 @query
-def extract_answers(spark, sf):
-    return extract.extract_answers(b.student_papers(spark, sf))
+def extract_answers(data: Data) -> DataFrame:
+    return extract.extract_answers(b.student_papers(data))
 
 
 @query
-def count_questions(spark, sf):
-    return extract.count_questions(b.student_papers(spark, sf)).drop("text")
+def count_questions(data: Data) -> DataFrame:
+    return extract.count_questions(b.student_papers(data)).drop("text")
 
 
 @query
-def extract_items(spark, sf):
-    return extract.extract_items(b.teacher_papers(spark, sf))
+def extract_items(data: Data) -> DataFrame:
+    return extract.extract_items(b.teacher_papers(data))
 
 
 @query
-def extract_student_table(spark, sf):
-    return extract.extract_student_table(b.student_papers(spark, sf))
+def extract_student_table(data: Data) -> DataFrame:
+    return extract.extract_student_table(b.student_papers(data))
 
 
 # --- joins
 
 
 @query
-def align_answers(spark, sf):
-    return align.align_answers(b.answers(spark, sf), b.items(spark, sf))
+def align_answers(data: Data) -> DataFrame:
+    return align.align_answers(b.answers(data), b.items(data))
 
 
 @query
-def student_item_grid(spark, sf):
-    grid = align.student_item_grid(align.roster(b.answers(spark, sf)), b.items(spark, sf))
+def student_item_grid(data: Data) -> DataFrame:
+    grid = align.student_item_grid(align.roster(b.answers(data)), b.items(data))
     return grid.select(*SLOT, "first_name", "surname", "points")
 
 
 @query
-def evaluation_table(spark, sf):
+def evaluation_table(data: Data) -> DataFrame:
     """The grid where only the labelled documents were handed in."""
-    handed_in = b.table(spark, sf, "labels").select("doc_id")
-    rows = b.raw_answers(spark, sf).join(handed_in, "doc_id", "left_semi")
-    return align.evaluation_table(rows, b.items(spark, sf)).select(*SLOT, "points", "student_solution")
+    handed_in = b.table(data, "labels").select("doc_id")
+    rows = b.raw_answers(data).join(handed_in, "doc_id", "left_semi")
+    return align.evaluation_table(rows, b.items(data)).select(*SLOT, "points", "student_solution")
 
 
 @query
-def join_gradings(spark, sf):
-    return b.vector_merged(spark, sf).select(
+def join_gradings(data: Data) -> DataFrame:
+    return b.vector_merged(data).select(
         "identification", "grading", "points_x", "points_y", "question_x", "solution_y",
         six("cosine_similarity").alias("cosine_similarity"),
     )
 
 
 @query
-def fill_blank_solution(spark, sf):
+def fill_blank_solution(data: Data) -> DataFrame:
     """Every alternative solution, the blank ones filled from the lookup."""
-    exam = b.items(spark, sf)
-    rows = align.align_answers(b.answers(spark, sf), exam).withColumn(
+    exam = b.items(data)
+    rows = align.align_answers(b.answers(data), exam).withColumn(
         "solution", F.col("alternative_solution")
     )
     filled = items.fill_blank_solution(rows, items.solutions_by_question(exam))
@@ -295,22 +296,22 @@ def fill_blank_solution(spark, sf):
 
 
 @query
-def pool_minus_sample(spark, sf):
-    pool = sampling.grading_rows(b.vector_scored(spark, sf))
+def pool_minus_sample(data: Data) -> DataFrame:
+    pool = sampling.grading_rows(b.vector_stage(data))
     return sampling.without(pool, sampling.sample_rows(pool, 10, SEED)).select("identification")
 
 
 @query
-def upsert_gradings(spark, sf):
-    scored = b.vector_scored(spark, sf)
-    entered = b.vector_grading(spark, sf, scored).select("identification", "grading")
+def upsert_gradings(data: Data) -> DataFrame:
+    scored = b.vector_stage(data)
+    entered = b.vector_grading(data, scored).select("identification", "grading")
     return sampling.upsert_gradings(sampling.grading_rows(scored), entered)
 
 
 @query
-def pair_similarity(spark, sf):
+def pair_similarity(data: Data) -> DataFrame:
     pairs = similarity.pair_similarity(
-        b.vector_candidates(spark, sf), "answer_vector", "solution_vector"
+        b.vector_candidates(data), "answer_vector", "solution_vector"
     )
     return rounded(pairs.select(*SLOT, "solution_type", "cosine_similarity"), "cosine_similarity")
 
@@ -319,20 +320,20 @@ def pair_similarity(spark, sf):
 
 
 @query
-def max_questions(spark, sf):
-    return align.max_questions(extract.count_questions(b.student_papers(spark, sf)))
+def max_questions(data: Data) -> DataFrame:
+    return align.max_questions(extract.count_questions(b.student_papers(data)))
 
 
 @query
-def count_papers(spark, sf):
-    return align.count_papers(b.student_papers(spark, sf))
+def count_papers(data: Data) -> DataFrame:
+    return align.count_papers(b.student_papers(data))
 
 
 @query
-def best_solution(spark, sf):
+def best_solution(data: Data) -> DataFrame:
     """Ranking in the long form: candidates, their similarity, best per slot."""
     pairs = similarity.pair_similarity(
-        b.vector_candidates(spark, sf), "answer_vector", "solution_vector"
+        b.vector_candidates(data), "answer_vector", "solution_vector"
     )
     best = rank.best_solution(pairs)
     return rounded(
@@ -341,31 +342,31 @@ def best_solution(spark, sf):
 
 
 @query
-def distinct_questions(spark, sf):
-    return items.distinct_questions(b.evaluation(spark, sf))
+def distinct_questions(data: Data) -> DataFrame:
+    return items.distinct_questions(b.evaluation(data))
 
 
 @query
-def solutions_by_question(spark, sf):
-    return items.solutions_by_question(b.items(spark, sf))
+def solutions_by_question(data: Data) -> DataFrame:
+    return items.solutions_by_question(b.items(data))
 
 
 @query
-def fit_quadratic(spark, sf):
-    return rounded(b.vector_model(spark, sf), "b0", "b1", "b2")
+def fit_quadratic(data: Data) -> DataFrame:
+    return rounded(b.vector_model(data), "b0", "b1", "b2")
 
 
 @query
-def fit_quadratic_by_exam(spark, sf):
+def fit_quadratic_by_exam(data: Data) -> DataFrame:
     """One curve per exam."""
-    scored = b.vector_scored(spark, sf)
-    model = grading.fit_model(scored, b.vector_grading(spark, sf, scored), ["exam_id"])
+    scored = b.vector_stage(data)
+    model = grading.fit_model(scored, b.vector_grading(data, scored), ["exam_id"])
     return rounded(model, "b0", "b1", "b2")
 
 
 @query
-def mean_pool(spark, sf):
-    pooled = similarity.mean_pool(b.table(spark, sf, "embeddings"), ["label"], "embedding")
+def mean_pool(data: Data) -> DataFrame:
+    pooled = similarity.mean_pool(b.table(data, "embeddings"), ["label"], "embedding")
     return pooled.select("label", F.posexplode("embedding").alias("pos", "v")).select(
         "label", "pos", six("v").alias("mean_value")
     )
@@ -375,26 +376,26 @@ def mean_pool(spark, sf):
 
 
 @query
-def identification(spark, sf):
-    numbered = rank.group_number(b.candidates(spark, sf))
+def identification(data: Data) -> DataFrame:
+    numbered = rank.group_number(b.candidates(data))
     return numbered.select(*SLOT, "solution_type", "identification")
 
 
 @query
-def sort_sheet(spark, sf):
-    rows = sheets.sort_sheet(b.vector_scored(spark, sf))
+def sort_sheet(data: Data) -> DataFrame:
+    rows = sheets.sort_sheet(b.vector_scored(data))
     return rows.select("surname", "first_name", "identification")
 
 
 @query
-def sample_training(spark, sf):
-    pool = sampling.grading_rows(b.vector_scored(spark, sf))
+def sample_training(data: Data) -> DataFrame:
+    pool = sampling.grading_rows(b.vector_scored(data))
     return sampling.sample_rows(pool, 2, SEED).select("identification", "question", "student_solution")
 
 
 @query
-def shuffle_rows(spark, sf):
-    docs = b.table(spark, sf, "documents").select("doc_id", sampling.draw(SEED, "doc_id").alias("draw"))
+def shuffle_rows(data: Data) -> DataFrame:
+    docs = b.table(data, "documents").select("doc_id", sampling.draw(SEED, "doc_id").alias("draw"))
     return sampling.shuffle_rows(docs, SEED, "doc_id")
 
 
@@ -405,13 +406,13 @@ def _parts(rows: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 @query
-def initial_split(spark, sf):
-    return _parts(*sampling.initial_split(sampling.grading_rows(b.vector_scored(spark, sf)), SEED))
+def initial_split(data: Data) -> DataFrame:
+    return _parts(*sampling.initial_split(sampling.grading_rows(b.vector_stage(data)), SEED))
 
 
 @query
-def grow_training_set(spark, sf):
-    split = sampling.initial_split(sampling.grading_rows(b.vector_scored(spark, sf)), SEED)
+def grow_training_set(data: Data) -> DataFrame:
+    split = sampling.initial_split(sampling.grading_rows(b.vector_stage(data)), SEED)
     return _parts(*sampling.grow_training_set(*split, SEED + 1))
 
 
@@ -419,52 +420,52 @@ def grow_training_set(spark, sf):
 
 
 @query
-def reunite_unanswered(spark, sf):
-    rows = b.evaluation(spark, sf)
+def reunite_unanswered(data: Data) -> DataFrame:
+    rows = b.evaluation(data)
     long = reshape.melt_solutions(items.answered(rows))
     both = reshape.reunite(long, reshape.as_candidates(items.unanswered(rows)))
     return both.select(*SLOT, "solution_type", "solution", "cosine_similarity")
 
 
 @query
-def anchor_points(spark, sf):
-    return rounded(calibrate.anchor_points(calibrate.training_points(b.vector_merged(spark, sf))), "x", "y")
+def anchor_points(data: Data) -> DataFrame:
+    return rounded(calibrate.anchor_points(calibrate.training_points(b.vector_merged(data))), "x", "y")
 
 
 @query
-def training_points(spark, sf):
-    return rounded(calibrate.training_points(b.vector_merged(spark, sf)), "x", "y")
+def training_points(data: Data) -> DataFrame:
+    return rounded(calibrate.training_points(b.vector_merged(data)), "x", "y")
 
 
 @query
-def melt_solutions(spark, sf):
-    return b.candidates(spark, sf).select(*SLOT, "student_solution", "solution_type", "solution")
+def melt_solutions(data: Data) -> DataFrame:
+    return b.candidates(data).select(*SLOT, "student_solution", "solution_type", "solution")
 
 
 # --- scalar functions
 
 
 @query
-def fn_strip(spark, sf):
+def fn_strip(data: Data) -> DataFrame:
     padded = F.concat(F.lit("\n\t "), "text", F.lit("  \r\n"))
-    docs = b.table(spark, sf, "documents")
+    docs = b.table(data, "documents")
     return docs.select("doc_id", text_functions.strip(padded).alias("stripped"))
 
 
 @query
-def fn_replace(spark, sf):
-    pages = b.table(spark, sf, "pages")
+def fn_replace(data: Data) -> DataFrame:
+    pages = b.table(data, "pages")
     return pages.select("page_id", text_functions.remove(F.col("url"), ":").alias("without"))
 
 
 def _rounding(name: str, method: str) -> None:
-    def run(spark, sf):
+    def run(data: Data) -> DataFrame:
         points = F.col("l_quantity") * F.col("l_discount")
-        return b.table(spark, sf, "lineitem").select(
+        return b.table(data, "lineitem").select(
             "l_orderkey", "l_linenumber", six(round_up(points, method)).alias("points")
         )
 
-    QUERIES[name] = run
+    query(run, name)
 
 
 _rounding("round_full", "Full Points")
@@ -474,17 +475,17 @@ _rounding("round_none", "none")
 
 
 @query
-def fn_cosine(spark, sf):
+def fn_cosine(data: Data) -> DataFrame:
     """Each vector and the one after it."""
-    v = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    v = b.table(data, "embeddings").select("vec_id", "embedding")
     after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
     both = v.join(after, "vec_id")
     return both.select("vec_id", six(cosine(F.col("embedding"), F.col("after"))).alias("cosine"))
 
 
 @query
-def poly_features(spark, sf):
-    rows = b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+def poly_features(data: Data) -> DataFrame:
+    rows = b.table(data, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
     return rounded(calibrate.poly_features(rows, "l_discount"), "x1", "x2")
 
 
@@ -492,8 +493,8 @@ def poly_features(spark, sf):
 
 
 @query
-def embed_precomputed(spark, sf):
-    scored = b.vector_candidates(spark, sf)
+def embed_precomputed(data: Data) -> DataFrame:
+    scored = b.vector_candidates(data)
     prepare, compare = similarity.VECTORS
     rows = prepare(prepare(scored, "answer_vector", "_a"), "solution_vector", "_s")
     value = compare(F.col("_a"), F.col("_s"))
@@ -501,11 +502,11 @@ def embed_precomputed(spark, sf):
 
 
 @query
-def bow_cosine(spark, sf):
+def bow_cosine(data: Data) -> DataFrame:
     """Word-count cosine of every answer with every solution of its question."""
-    solutions = reshape.melt_solutions(b.items(spark, sf)).drop("question", "points")
+    solutions = reshape.melt_solutions(b.items(data)).drop("question", "points")
     solutions = similarity.count_words(solutions, "solution", "_s").drop("solution")
-    rows = items.answered(b.answers(spark, sf))
+    rows = items.answered(b.answers(data))
     answers = similarity.count_words(rows, "student_solution", "_a").select(*SLOT, "_a")
     pairs = lookup(answers, solutions, ITEM_KEY, ["student_id"])
     value = similarity.word_cosine(F.col("_a"), F.col("_s"))
@@ -513,30 +514,30 @@ def bow_cosine(spark, sf):
 
 
 @query
-def embed_udf(spark, sf):
+def embed_udf(data: Data) -> DataFrame:
     """Cosine of answers and sample solutions by an encoder in Python."""
-    exam = embed.embed(b.items(spark, sf), "sample_solution", "_s", b.make_letter_encoder)
-    rows = align.align_answers(b.answers(spark, sf), exam, ["_s"])
+    exam = embed.embed(b.items(data), "sample_solution", "_s", b.make_letter_encoder)
+    rows = align.align_answers(b.answers(data), exam, ["_s"])
     rows = embed.embed(items.answered(rows), "student_solution", "_a", b.make_letter_encoder)
     return rows.select(*SLOT, six(cosine(F.col("_a"), F.col("_s"))).alias("cosine_similarity"))
 
 
 @query
-def score_answers(spark, sf):
-    return rounded(b.vector_scored(spark, sf), "cosine_similarity")
+def score_answers(data: Data) -> DataFrame:
+    return rounded(b.vector_scored(data), "cosine_similarity")
 
 
 @query
-def score_answers_text(spark, sf):
-    scored = scoring.score_answers(b.answers(spark, sf), b.items(spark, sf))
+def score_answers_text(data: Data) -> DataFrame:
+    scored = scoring.score_answers(b.answers(data), b.items(data))
     return rounded(scored, "cosine_similarity")
 
 
 @query
-def score_answers_blank_kept(spark, sf):
+def score_answers_blank_kept(data: Data) -> DataFrame:
     """Blank alternatives take part, and are filled in where they win."""
     scored = scoring.score_answers(
-        b.answers(spark, sf), b.items(spark, sf), keep_blank_alternative=True
+        b.answers(data), b.items(data), keep_blank_alternative=True
     )
     return rounded(scored, "cosine_similarity").select(
         *SLOT, "solution_type", "solution", "cosine_similarity", "identification"
@@ -544,46 +545,45 @@ def score_answers_blank_kept(spark, sf):
 
 
 @query
-def fit_curve(spark, sf):
-    return rounded(calibrate.fit_curve(b.vector_model(spark, sf)), "x", "y")
+def fit_curve(data: Data) -> DataFrame:
+    return rounded(calibrate.fit_curve(b.vector_model(data)), "x", "y")
 
 
 @query
-def predict_relative(spark, sf):
-    scored = b.vector_scored(spark, sf)
-    model = grading.fit_model(scored, b.vector_grading(spark, sf, scored))
+def predict_relative(data: Data) -> DataFrame:
+    scored = b.vector_stage(data)
+    model = grading.fit_model(scored, b.vector_grading(data, scored))
     predicted = calibrate.predict_relative(scored, model, clip=True)
     return predicted.select("identification", six("relative_points").alias("relative_points"))
 
 
-@query
-def calibrate_scores(spark, sf):
-    return rounded(b.vector_graded(spark, sf), "cosine_similarity", "relative_points")
+def _calibrated(data: Data) -> DataFrame:
+    return rounded(b.vector_graded(data), "cosine_similarity", "relative_points")
 
 
-QUERIES["calibrate"] = QUERIES.pop("calibrate_scores")
+query(_calibrated, "calibrate")
 
 
 @query
-def calibrate_by_exam(spark, sf):
-    scored = b.vector_scored(spark, sf)
-    graded = grading.calibrate(scored, b.vector_grading(spark, sf, scored), ["exam_id"])
+def calibrate_by_exam(data: Data) -> DataFrame:
+    scored = b.vector_stage(data)
+    graded = grading.calibrate(scored, b.vector_grading(data, scored), ["exam_id"])
     return graded.select("identification", six("relative_points").alias("relative_points"))
 
 
 @query
-def similarity_scores(spark, sf):
-    return grading.similarity_scores(b.vector_graded(spark, sf), "Half Points")
+def similarity_scores(data: Data) -> DataFrame:
+    return grading.similarity_scores(b.vector_graded(data), "Half Points")
 
 
 @query
-def grade_papers(spark, sf):
+def grade_papers(data: Data) -> DataFrame:
     """From marked-up papers to the sheet: extract, score, calibrate on the labels,
     round. The scored rows are a stage table, as the texts are read once."""
-    exam = extract.extract_items(b.teacher_papers(spark, sf))
-    answers = extract.extract_student_table(b.student_papers(spark, sf))
+    exam = extract.extract_items(b.teacher_papers(data))
+    answers = extract.extract_student_table(b.student_papers(data))
     scored = stages.stage(scoring.score_answers(answers, exam), "scored", by=["exam_id"])
-    entered = scored.join(b.label_gradings(spark, sf), SLOT, "left").select(
+    entered = scored.join(b.label_gradings(data), SLOT, "left").select(
         "identification", "grading"
     )
     graded = sampling.upsert_gradings(sampling.grading_rows(scored), entered)
@@ -593,83 +593,83 @@ def grade_papers(spark, sf):
 # --- generated scores and feedback
 
 
-def _labelled(spark, sf) -> DataFrame:
-    points = b.items(spark, sf).select("exam_id", "q_no", "points")
-    return b.label_gradings(spark, sf).join(points, ["exam_id", "q_no"])
+def _labelled(data: Data) -> DataFrame:
+    points = b.items(data).select("exam_id", "q_no", "points")
+    return b.label_gradings(data).join(points, ["exam_id", "q_no"])
 
 
-def _answered_replies(spark, sf) -> DataFrame:
+def _answered_replies(data: Data) -> DataFrame:
     """Evaluation rows with a reply each, as if read from a table of replies."""
-    rows = b.vector_scored(spark, sf).withColumn("prompt", generate.grading_prompt(F.lit("half_points")))
+    rows = b.vector_scored(data).withColumn("prompt", generate.grading_prompt(F.lit("half_points")))
     ending = F.get(F.array(*map(F.lit, b.ENDINGS)), F.pmod("identification", F.lit(5)).cast("int"))
     return rows.withColumn("generated_text", F.concat("prompt", ending))
 
 
 @query
-def prompt_grading(spark, sf):
-    scored = items.answered(b.vector_scored(spark, sf))
+def prompt_grading(data: Data) -> DataFrame:
+    scored = items.answered(b.vector_scored(data))
     return scored.select("identification", generate.grading_prompt(F.lit("full_points")).alias("prompt"))
 
 
 @query
-def prompt_feedback(spark, sf):
-    awarded = items.answered(grading.award(b.vector_graded(spark, sf), "Half Points"))
+def prompt_feedback(data: Data) -> DataFrame:
+    awarded = items.answered(grading.award(b.vector_graded(data), "Half Points"))
     return awarded.select("identification", generate.feedback_prompt().alias("prompt"))
 
 
 @query
-def truncate_prompt(spark, sf):
-    docs = b.responses(spark, sf).select("doc_id", "prompt")
+def truncate_prompt(data: Data) -> DataFrame:
+    docs = b.responses(data).select("doc_id", "prompt")
     return generate.truncate_prompts(docs)
 
 
 @query
-def truncate_prompt_keep_suffix(spark, sf):
-    docs = b.responses(spark, sf).select("doc_id", "prompt")
+def truncate_prompt_keep_suffix(data: Data) -> DataFrame:
+    docs = b.responses(data).select("doc_id", "prompt")
     return generate.truncate_prompts(docs, budget=200, keep_suffix="Score:")
 
 
 @query
-def generate_stub(spark, sf):
-    docs = b.responses(spark, sf).select("doc_id", "prompt")
+def generate_stub(data: Data) -> DataFrame:
+    docs = b.responses(data).select("doc_id", "prompt")
     return generate.generate(docs, b.make_echo_generator).select("doc_id", "generated_text")
 
 
 @query
-def generate_once(spark, sf):
+def generate_once(data: Data) -> DataFrame:
     """Replies kept in a stage table, one for each different prompt."""
-    docs = b.responses(spark, sf).select("doc_id", "prompt")
-    replies = generate.generate_once(docs, b.make_echo_generator, new_path(spark, "replies"))
+    docs = b.responses(data).select("doc_id", "prompt")
+    replies = generate.generate_once(docs, b.make_echo_generator, new_path(data.spark, "replies"))
     return replies.select("doc_id", "generated_text")
 
 
 @query
-def strip_echo(spark, sf):
-    return generate.strip_echo(b.responses(spark, sf)).select("doc_id", "feedback")
+def strip_echo(data: Data) -> DataFrame:
+    return generate.strip_echo(b.responses(data)).select("doc_id", "feedback")
 
 
 @query
-def parse_score(spark, sf):
-    scored = generate.parse_score(generate.strip_echo(b.responses(spark, sf)))
+def parse_score(data: Data) -> DataFrame:
+    scored = generate.parse_score(generate.strip_echo(b.responses(data)))
     return scored.select("doc_id", "points_for_student_answer")
 
 
 @query
-def parse_score_clamped(spark, sf):
-    replies = b.responses(spark, sf).withColumn("points", F.pmod("doc_id", F.lit(2)).cast("double"))
+def parse_score_clamped(data: Data) -> DataFrame:
+    replies = b.responses(data).withColumn("points", F.pmod("doc_id", F.lit(2)).cast("double"))
     scored = generate.parse_score(generate.strip_echo(replies), clamp=True)
     return scored.select("doc_id", "points_for_student_answer")
 
 
 @query
-def clean_feedback(spark, sf):
-    replies = generate.clean_feedback(generate.strip_echo(b.responses(spark, sf)))
+def clean_feedback(data: Data) -> DataFrame:
+    replies = generate.clean_feedback(generate.strip_echo(b.responses(data)))
     return replies.select("doc_id", "feedback")
 
 
 @query
-def unanswered_feedback(spark, sf):
-    rows = b.evaluation(spark, sf).withColumns(
+def unanswered_feedback(data: Data) -> DataFrame:
+    rows = b.evaluation(data).withColumns(
         {"feedback": F.col("question"), "points_for_student_answer": F.col("points")}
     )
     done = generate.unanswered_feedback(rows)
@@ -677,25 +677,25 @@ def unanswered_feedback(spark, sf):
 
 
 @query
-def scheme_text(spark, sf):
+def scheme_text(data: Data) -> DataFrame:
     """The market segment of a customer stands for the scheme asked for."""
     name = (
         F.when(F.col("c_mktsegment") == "BUILDING", "full_points")
         .when(F.col("c_mktsegment") == "MACHINERY", "half_points")
         .otherwise(F.col("c_mktsegment"))
     )
-    customers = b.table(spark, sf, "customer")
+    customers = b.table(data, "customer")
     return customers.select("c_custkey", items.scheme_text(name).alias("scheme"))
 
 
 @query
-def generative_scores(spark, sf):
-    scored = scoring.score_answers(b.answers(spark, sf), b.items(spark, sf))
+def generative_scores(data: Data) -> DataFrame:
+    scored = scoring.score_answers(b.answers(data), b.items(data))
     return generative.generative_scores(scored, b.make_echo_generator, "quarter_points")
 
 
 @query
-def explained_scores(spark, sf):
+def explained_scores(data: Data) -> DataFrame:
     return generative.explained_scores(
-        b.vector_graded(spark, sf), b.make_echo_generator, "Half Points"
+        b.vector_graded(data), b.make_echo_generator, "Half Points"
     )

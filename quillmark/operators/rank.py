@@ -1,6 +1,6 @@
 """Best solution per answer slot, and numbers for the slots."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.fixed import SAMPLE
@@ -24,37 +24,17 @@ def best_solution(scored: DataFrame, keys: list[str] = SLOT) -> DataFrame:
     return scored.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def _with_range(df: DataFrame, keys: list[str], cuts: Column, ranges: int) -> DataFrame:
-    """Adds ``_range``: how many of the sorted ``cuts`` are not above the row's key
-    (binary search)."""
-    steps = [2**i for i in reversed(range(ranges.bit_length()))]
-    key = F.struct(*keys)
-    found = F.aggregate(
-        F.array(*map(F.lit, steps)),
-        F.lit(0),
-        lambda low, step: F.when(F.get("_cuts", low + step - 1) <= key, low + step).otherwise(low),
-    )
-    return df.withColumn("_cuts", cuts).withColumn("_range", found).drop("_cuts")
-
-
 def number_rows(
-    df: DataFrame,
-    keys: list[str],
-    out: str = "identification",
-    ids: DataFrame | None = None,
-    ranges: int = 1024,
+    ids: DataFrame, keys: list[str] = SLOT, out: str = "identification", ranges: int = 1024
 ) -> DataFrame:
     """Rows with distinct ``keys`` numbered 0, 1, 2 ... in the order of the keys.
 
     The keys are cut into ranges of about equal size at the quantiles of a sample
-    (the keys with the smallest hashes, the same ones on every run). A row's
-    number is the count of the ranges below plus its place in its own range, so
-    no task ever sorts more than one range. ``ids`` may name a cheaper table with
-    the same keys to count on; what is carried to the driver is at most
-    ``16 * ranges`` keys.
+    (the ``16 * ranges`` keys with the smallest hashes, the same ones on every
+    run). A row's number is the size of the ranges below plus its place in its
+    own range, so no task sorts more than one range.
     """
     key = F.struct(*keys)
-    ids = df if ids is None else ids
     sample = ids.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(16 * ranges)
     cuts = (
         sample.agg(F.sort_array(F.collect_list("k")).alias("s"))
@@ -62,31 +42,37 @@ def number_rows(
         .select(F.filter("s", lambda k, i: i % F.col("every") == 0))
         .scalar()
     )
-    counts = _with_range(ids, keys, cuts, ranges).groupBy("_range").agg(F.count("*").alias("n"))
-    below = (
-        counts.agg(F.collect_list(F.struct("_range", "n")).alias("c"))
-        .select(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(ranges + 1)),
-                lambda r: F.aggregate(
-                    F.filter("c", lambda e: e["_range"] < r),
-                    F.lit(0).cast("bigint"),
-                    lambda s, e: s + e.n,
-                ),
-            )
-        )
-        .scalar()
+    # Binary search: how many of the sorted cuts are not above the key.
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(ranges.bit_length()))])
+    in_range = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda low, step: F.when(F.get("_cuts", low + step - 1) <= key, low + step).otherwise(low),
     )
+    ranged = ids.withColumn("_cuts", cuts).withColumn("_range", in_range).drop("_cuts")
+    # One row per range: at most ``ranges`` + 1.
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = sizes.select("_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_below"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
     return (
-        _with_range(df, keys, cuts, ranges)
-        .withColumn(out, place)
-        .withColumn(out, F.get(below, F.col("_range")) + F.col(out) - 1)
-        .drop("_range")
+        ranged.withColumn("_place", place)
+        .join(F.broadcast(below), "_range")
+        .withColumn(out, F.col("_below") + F.col("_place") - 1)
+        .drop("_range", "_below", "_place")
     )
 
 
-def group_number(df: DataFrame, keys: list[str] = SLOT, out: str = "identification") -> DataFrame:
-    """Number of each row's group among the sorted groups, from 0."""
-    numbered = number_rows(df.select(*keys).distinct(), keys, out)
-    return df.join(numbered, keys)
+def group_number(
+    df: DataFrame,
+    keys: list[str] = SLOT,
+    out: str = "identification",
+    ids: DataFrame | None = None,
+) -> DataFrame:
+    """Number of each row's group among the sorted groups, from 0.
+
+    Only the keys are sorted; the rows themselves meet their number in a join.
+    ``ids`` may name a cheaper table with exactly those groups.
+    """
+    groups = df.select(*keys).distinct() if ids is None else ids
+    return df.join(number_rows(groups, keys, out), keys)

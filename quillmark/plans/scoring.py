@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillmark.operators.align import align_answers, known_answers, missing_answers, slots
 from quillmark.operators.items import fill_blank_solution, is_answered, solutions_by_question
 from quillmark.operators.joins import is_small
-from quillmark.operators.rank import best_solution, number_rows
+from quillmark.operators.rank import best_solution, group_number
 from quillmark.operators.reshape import as_candidates
 from quillmark.operators.similarity import WORDS, better_solution
 from quillmark.schemas import SCORED, SLOT, conform
@@ -49,7 +49,7 @@ def score_answers(
     layout = [f.name for f in SCORED if f.name != "identification"]
     left_out = as_candidates(missing_answers(answers, items, small))
     best = best_solution(given.select(*layout).unionByName(left_out.select(*layout)))
-    scored = number_rows(best, SLOT, ids=slots(answers, items, small).select(*SLOT))
+    scored = group_number(best, ids=slots(answers, items, small).select(*SLOT))
     if keep_blank_alternative:
         scored = fill_blank_solution(scored, solutions_by_question(items))
     return conform(scored, SCORED)

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.fixed import CURVE_POINTS
-from quillmark.functions.grades import relative
+from quillmark.functions.grades import capped, relative, within
 from quillmark.operators.items import is_answered
+from quillmark.operators.joins import lookup
 from quillmark.schemas import TRAIN, conform
 
 
@@ -24,7 +25,7 @@ def training_rows(merged: DataFrame) -> DataFrame:
 
 def training_points(merged: DataFrame, by: list[str] = ()) -> DataFrame:
     """x = similarity, y = share of the points awarded."""
-    share = relative(F.least(F.col("grading").try_cast("double"), "points_x"), F.col("points_x"))
+    share = relative(capped(F.col("grading"), F.col("points_x")), F.col("points_x"))
     points = training_rows(merged).select(
         *by, F.col("cosine_similarity").alias("x"), share.alias("y")
     )
@@ -92,12 +93,13 @@ def predict_relative(
     """
     fitted = F.struct("b0", "b1", "b2")
     if by:
-        rows = scored.join(model.select(*by, fitted.alias("_m")), list(by), "left")
+        models = model.select(*by, fitted.alias("_m"))
+        rows = lookup(scored, models, list(by), ["identification"], "left")
     else:
         rows = scored.withColumn("_m", model.select(fitted).scalar())
     share = _curve(F.col("cosine_similarity"), F.col("_m"))
     if clip:
-        share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+        share = within(share, F.lit(1.0))
     return zero_unanswered(rows.withColumn("relative_points", share), "relative_points").drop("_m")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import fixed
+from quillmark.functions.grades import within
 from quillmark.functions.text import (
     after_echo, fill, first_number, to_last_full_stop, truncate_tokens, whole_or_decimal,
 )
@@ -129,8 +130,7 @@ def parse_score(df: DataFrame, clamp: bool = False) -> DataFrame:
     item's points with ``clamp``."""
     score = first_number(F.col("feedback"))
     if clamp:
-        within = F.least(F.greatest(score, F.lit(0.0)), F.col("points"))
-        score = F.when(score.isNotNull(), within)
+        score = within(score, F.col("points"))
     return df.withColumn("points_for_student_answer", score)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.grades import capped
 from quillmark.operators.items import answered
 from quillmark.schemas import GRADING, conform
 
@@ -57,8 +58,8 @@ def upsert_gradings(grading: DataFrame, entered: DataFrame) -> DataFrame:
 def validate_grading(grading: DataFrame) -> DataFrame:
     """Adds ``grading_value``, at most the points of the item, and ``is_valid``,
     false for text that is neither empty nor a number."""
-    value = F.least(F.col("grading").try_cast("double"), F.col("points"))
-    known = F.col("grading").try_cast("double")
-    return grading.withColumn("grading_value", F.when(known.isNotNull(), value)).withColumn(
-        "is_valid", F.coalesce((F.col("grading") == "") | known.isNotNull(), F.lit(False))
+    value = capped(F.col("grading"), F.col("points"))
+    valid = (F.col("grading") == "") | value.isNotNull()
+    return grading.withColumns(
+        {"grading_value": value, "is_valid": F.coalesce(valid, F.lit(False))}
     )

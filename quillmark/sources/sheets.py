@@ -37,6 +37,6 @@ def read_sheet(spark, path: str, schema) -> DataFrame:
     """A csv sheet, line breaks inside answers included."""
     return (
         spark.read.schema(schema)
-        .options(header="true", escape='"', multiLine="true", emptyValue="")
+        .options(header="true", escape='"', multiLine="true", nullValue="\u0000")
         .csv(path)
     )

@@ -579,10 +579,11 @@ def similarity_scores(data: Data) -> DataFrame:
 @query
 def grade_papers(data: Data) -> DataFrame:
     """From marked-up papers to the sheet: extract, score, calibrate on the labels,
-    round. The scored rows are a stage table, as the texts are read once."""
-    exam = extract.extract_items(b.teacher_papers(data))
-    answers = extract.extract_student_table(b.student_papers(data))
-    scored = stages.stage(scoring.score_answers(answers, exam), "scored", by=["exam_id"])
+    round. Papers are parsed once and answers scored once: both are stage tables,
+    of which later passes read only the columns they need."""
+    exam = stages.stage(extract.extract_items(b.teacher_papers(data)), "items")
+    answers = stages.stage(extract.extract_student_table(b.student_papers(data)), "answers")
+    scored = stages.stage(scoring.score_answers(answers, exam), "scored")
     entered = scored.join(b.label_gradings(data), SLOT, "left").select(
         "identification", "grading"
     )

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmark import fixed
 from quillmark.functions.grades import within
@@ -12,6 +13,7 @@ from quillmark.functions.text import (
     after_echo, fill, first_number, to_last_full_stop, truncate_tokens, whole_or_decimal,
 )
 from quillmark.operators.items import is_answered, scheme_text
+from quillmark.schemas import empty
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -71,7 +73,7 @@ def generate(
     prompt: str = "prompt",
     out: str = "generated_text",
 ) -> DataFrame:
-    """Adds the reply to each prompt.
+    """Adds the reply to each prompt; null for a null prompt.
 
     ``make_generator`` gets the generation settings and runs once per task; the
     task hands it the different prompts of each Arrow batch. Only the prompt
@@ -83,7 +85,7 @@ def generate(
         ask = make_generator(dict(fixed.GENERATION))
         for prompts in batches:
             codes, different = pd.factorize(prompts)
-            answers = ask(list(different))
+            answers = ask(list(different)) if len(different) else []
             yield pd.Series([answers[c] if c >= 0 else None for c in codes], dtype=object)
 
     return df.withColumn(out, replies(F.col(prompt)))
@@ -98,26 +100,26 @@ def generate_once(
 ) -> DataFrame:
     """Replies kept in the table at ``path``: a prompt that has one is never sent
     again, neither by a retry of this job nor by a later one."""
-    spark = df.sparkSession
     key = F.sha2(F.col(prompt), 256)
-    stored = spark.read.schema(f"prompt_key string, {out} string").option(
-        "ignoreMissingFiles", "true"
+    table = StructType([StructField("prompt_key", StringType()), StructField(out, StringType())])
+    empty(df.sparkSession, table).write.mode("append").parquet(path)
+    wanted = (
+        df.where(F.col(prompt).isNotNull())
+        .select(key.alias("prompt_key"), F.col(prompt).alias("_prompt"))
+        .groupBy("prompt_key")
+        .agg(F.min("_prompt").alias("_prompt"))
     )
-    _ensure_table(spark, path, out)
-    wanted = df.select(key.alias("prompt_key"), F.col(prompt).alias("_prompt")).groupBy(
-        "prompt_key"
-    ).agg(F.min("_prompt").alias("_prompt"))
-    new = wanted.join(stored.parquet(path).select("prompt_key"), "prompt_key", "left_anti")
+    kept = df.sparkSession.read.schema(table).parquet(path)
+    new = wanted.join(kept.select("prompt_key"), "prompt_key", "left_anti")
     generate(new, make_generator, "_prompt", out).select("prompt_key", out).write.mode(
         "append"
     ).parquet(path)
-    replies = stored.parquet(path).groupBy("prompt_key").agg(F.min(out).alias(out))
-    return df.withColumn("prompt_key", key).join(replies, "prompt_key", "left").drop("prompt_key")
-
-
-def _ensure_table(spark, path: str, out: str) -> None:
-    empty = spark.createDataFrame([], f"prompt_key string, {out} string")
-    empty.write.mode("append").parquet(path)
+    replies = (
+        df.sparkSession.read.schema(table).parquet(path).groupBy("prompt_key").agg(F.min(out).alias(out))
+    )
+    # Rows without prompt meet nothing; a key of their own spreads them.
+    own = F.coalesce(key, F.xxhash64(*df.columns).cast("string"))
+    return df.withColumn("prompt_key", own).join(replies, "prompt_key", "left").drop("prompt_key")
 
 
 def strip_echo(df: DataFrame, prompt: str = "prompt", reply: str = "generated_text") -> DataFrame:

@@ -57,16 +57,18 @@ def count_words(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def word_cosine(answer: Column, solution: Column) -> Column:
-    """Cosine of two columns made by ``count_words``. Walks over the words of the
-    solution, the shorter text as a rule."""
-    at = lambda term: F.array_position(answer.terms, term).cast("int") - 1
-    shared = F.zip_with(
-        solution.terms,
-        solution.counts,
-        lambda t, n: n * F.coalesce(F.get(answer.counts, at(t)), F.lit(0)),
+    """Cosine of two columns made by ``count_words``; counts are looked up for the
+    shared words only."""
+
+    def count(side: Column, term: Column) -> Column:
+        return F.get(side.counts, F.array_position(side.terms, term).cast("int") - 1)
+
+    top = F.aggregate(
+        F.array_intersect(solution.terms, answer.terms),
+        F.lit(0).cast("bigint"),
+        lambda s, t: s + count(solution, t).cast("bigint") * count(answer, t),
     )
-    top = F.aggregate(shared, F.lit(0).cast("bigint"), lambda s, v: s + v).cast("double")
-    return ratio_or_zero(top, answer.length, solution.length)
+    return ratio_or_zero(top.cast("double"), answer.length, solution.length)
 
 
 def take_vector(df: DataFrame, vector: str, out: str) -> DataFrame:

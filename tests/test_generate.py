@@ -95,6 +95,26 @@ def test_each_prompt_is_asked_once(spark, tmp_path):
     assert sorted(open(log).read().split()) == ["new", "p0", "p1", "p2"]
 
 
+def test_sorting_a_sheet_does_not_ask_twice(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def make(settings):
+        def ask(prompts):
+            with open(log, "a") as f:
+                f.writelines("x\n" for _ in prompts)
+            return [p + " 1" for p in prompts]
+
+        return ask
+
+    texts = [f"answer {i}" for i in range(40)] + ["", " "]
+    assert generative.generative_scores(scored(spark, *texts), make).count() == 42
+    assert len(open(log).readlines()) == 40
+    graded = scored(spark, *texts).withColumn("relative_points", F.lit(0.6))
+    sheet_of = generative.explained_scores(graded, make, kept_at=new_path(spark, "replies"))
+    assert len(sheet_of.collect()) == 42
+    assert len(open(log).readlines()) == 80
+
+
 def test_replies_kept_for_a_sheet(spark):
     path = new_path(spark, "replies")
     for _ in range(2):

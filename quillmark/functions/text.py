@@ -23,11 +23,6 @@ def remove(text: Column, part: str) -> Column:
     return F.replace(text, F.lit(part), F.lit(""))
 
 
-def blank_to(text: Column, default: Column) -> Column:
-    """``default`` where the text is null or empty."""
-    return F.coalesce(F.nullif(text, F.lit("")), default)
-
-
 def fill(template: str, **columns: Column) -> Column:
     """The template with each ``{name}`` replaced by that column."""
     parts = re.split(r"\{(\w+)\}", template)

@@ -594,6 +594,21 @@ ORACLES: dict[str, str] = {
     "score_answers_text": _sql(f"""
         SELECT * REPLACE ({_six('cosine_similarity')} AS cosine_similarity) FROM word_scored""",
         "word_scored"),
+    "score_answers_encoder": _sql(f"""
+        SELECT {_SLOT}, solution_type, {_six('similarity')} AS cosine_similarity, identification
+        FROM (
+          SELECT *, dense_rank() OVER (ORDER BY exam_id, student_id, q_no) - 1 AS identification,
+                 row_number() OVER (PARTITION BY exam_id, student_id, q_no
+                                    ORDER BY similarity DESC, type_rank) AS place
+          FROM (
+            SELECT {_SLOT}, solution_type, type_rank,
+                   CASE WHEN isnan(c) OR NOT answered THEN 0.0 ELSE c END AS similarity
+            FROM (SELECT e.exam_id, e.student_id, e.q_no, s.solution_type, s.type_rank,
+                         {_answered('e.student_solution')} AS answered,
+                         list_cosine_similarity({_LETTERS.format(t='e.student_solution')},
+                                                {_LETTERS.format(t='s.solution')}) AS c
+                  FROM evaluation e JOIN solutions s ON s.exam_id = e.exam_id AND s.q_no = e.q_no)))
+        WHERE place = 1""", "evaluation", "solutions"),
     "score_answers_blank_kept": _sql(f"""
         SELECT {_SLOT}, solution_type, solution, {_six('cosine_similarity')} AS cosine_similarity,
                identification FROM word_scored""", "word_scored"),

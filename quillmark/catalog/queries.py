@@ -533,6 +533,19 @@ def score_answers_text(data: Data) -> DataFrame:
     return rounded(scored, "cosine_similarity")
 
 
+@query
+def score_answers_encoder(data: Data) -> DataFrame:
+    """Scored by vectors an encoder in Python makes of the texts."""
+    exam = b.items(data)
+    for text in ("sample", "alternative"):
+        exam = embed.embed(exam, f"{text}_solution", f"{text}_vector", b.make_letter_encoder)
+    answers = embed.embed(b.answers(data), "student_solution", "answer_vector", b.make_letter_encoder)
+    scored = scoring.score_answers(answers, exam, similarity.VECTORS, b.VECTOR_COLUMNS)
+    return rounded(scored, "cosine_similarity").select(
+        *SLOT, "solution_type", "cosine_similarity", "identification"
+    )
+
+
 @query
 def score_answers_blank_kept(data: Data) -> DataFrame:
     """Blank alternatives take part, and are filled in where they win."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.items import cast_text
 from quillmark.operators.joins import is_small, lookup
-from quillmark.schemas import EVAL, ITEM_KEY, SLOT, conform
+from quillmark.schemas import EVAL, ITEM_KEY, SLOT, as_schema, conform
 
 
 def align_answers(
@@ -15,8 +15,7 @@ def align_answers(
     further columns to keep."""
     joined = lookup(answers, items, ITEM_KEY, ["student_id", "student_solution"], small=small)
     texts = ("student_solution", "sample_solution", "alternative_solution")
-    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in EVAL]
-    return cast_text(joined.select(*fields, *carry), *texts)
+    return cast_text(joined.selectExpr(*as_schema(EVAL), *carry), *texts)
 
 
 def student_item_grid(

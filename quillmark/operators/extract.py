@@ -88,11 +88,17 @@ def count_questions(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_questions", F.regexp_count("text", F.lit(COUNTED)))
 
 
+def _answer_rows(docs: DataFrame) -> DataFrame:
+    """One row per question of each student's paper, with its answer."""
+    n = F.col("n_questions")
+    rows = _with_fields(count_questions(docs), answer=ANSWERED)
+    rows = rows.withColumn("q_no", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
+    return rows.withColumn("student_solution", _field("answer"))
+
+
 def extract_answers(docs: DataFrame) -> DataFrame:
     """Answer to each question of each paper; null where its marks are broken."""
-    rows = _with_fields(count_questions(_exam(docs)), answer=ANSWERED).where("n_questions > 0")
-    rows = rows.withColumn("q_no", F.explode(F.sequence(F.lit(1), "n_questions")))
-    return rows.select("exam_id", "path", "q_no", _field("answer").alias("student_solution"))
+    return _answer_rows(_exam(docs)).select("exam_id", "path", "q_no", "student_solution")
 
 
 def extract_items(docs: DataFrame) -> DataFrame:
@@ -118,7 +124,4 @@ def extract_items(docs: DataFrame) -> DataFrame:
 
 def extract_student_table(docs: DataFrame) -> DataFrame:
     """Answer table from students' papers."""
-    named = count_questions(extract_identity(docs))
-    rows = _with_fields(named, answer=ANSWERED).where("n_questions > 0")
-    rows = rows.withColumn("q_no", F.explode(F.sequence(F.lit(1), "n_questions")))
-    return conform(rows.withColumn("student_solution", _field("answer")), ANSWER)
+    return conform(_answer_rows(extract_identity(docs)), ANSWER)

@@ -46,4 +46,8 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Exactly the columns of ``schema``, in order and type; fails on a missing one."""
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*as_schema(schema))
+
+
+def as_schema(schema: StructType) -> list[str]:
+    return [f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}" for f in schema]

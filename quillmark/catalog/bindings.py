@@ -62,10 +62,10 @@ def table(data: Data, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in so few pieces that most cores would idle is dealt out to all of
+    """A table in so few pieces that half of the cores would idle is dealt out to all of
     them; any other is read where it lies."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 4 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def _exam_id(item_id: Column) -> Column:

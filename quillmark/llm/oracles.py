@@ -13,4 +13,39 @@ ORACLES = {
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op8_lines": r"""
+        WITH split AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), l AS (
+            SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM split
+        ), w AS (
+            SELECT doc_id, line_no, doc_id * 1000000 + line_no AS place,
+                list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words
+            FROM l
+        ), c AS (
+            SELECT words, len(words) AS n, min(place) AS place FROM w WHERE len(words) > 0 GROUP BY words
+        ), spots AS (
+            SELECT words, n, place, unnest(range(1, n + 1)) AS j FROM c WHERE n >= 10
+        ), v AS (
+            SELECT place, n, j, md5(array_to_string(words[:j - 1] || words[j + 1:], ' ')) AS rest FROM spots
+        ), met AS (
+            SELECT a.place, b.place AS other FROM v a JOIN v b ON a.rest = b.rest AND a.n = b.n AND a.j = b.j
+            UNION ALL
+            SELECT v.place, c.place FROM v JOIN c ON v.n = c.n + 1 AND v.rest = md5(array_to_string(c.words, ' '))
+            UNION ALL
+            SELECT c.place, v.place FROM v JOIN c ON v.n = c.n + 1 AND v.rest = md5(array_to_string(c.words, ' '))
+        ), near AS (
+            SELECT place, min(other) AS first FROM met WHERE other < place GROUP BY place
+        ), known AS (
+            SELECT words, coalesce(near.first, c.place) AS first, CASE WHEN near.first IS NULL THEN 0 ELSE 1 END AS distance
+            FROM c LEFT JOIN near USING (place)
+        ), done AS (
+            SELECT doc_id, line_no, place, coalesce(first, place) AS first, distance FROM w LEFT JOIN known USING (words)
+        )
+        SELECT doc_id, line_no, place = first AS kept,
+            CASE WHEN place <> first THEN first // 1000000 END AS first_doc_id,
+            CASE WHEN place <> first THEN (first % 1000000)::INTEGER END AS first_line_no,
+            CASE WHEN place <> first THEN distance END AS distance
+        FROM done
+    """,
 }

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import byte_bpe, packing, token_files, warc
+from quillmark.llm import byte_bpe, lines, near_vectors, packing, simhash, token_files, warc
 from quillmark.llm.tokens import encode_texts
 from quillmark.session import new_path
 
@@ -28,6 +28,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, bits=4)
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     tokens = byte_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer)
@@ -41,6 +47,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses are read with their payloads, revisits from their headers alone."""
     spark.dataSource.register(warc.WarcSource)
@@ -70,5 +84,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_token_files, op2_packing, op7_byte_bpe, op10_warc)
+    f.__name__: f
+    for f in (op1_token_files, op2_packing, op6_simhash, op7_byte_bpe, op8_lines, op9_near_vectors, op10_warc)
 }

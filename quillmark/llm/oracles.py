@@ -13,6 +13,20 @@ ORACLES = {
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op5_binary_search": """
+        WITH bits AS (
+            SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings
+        ), codes AS (
+            SELECT vec_id, sum(CASE WHEN x > 0 THEN 1::UBIGINT << i ELSE 0 END)::UBIGINT AS code FROM bits GROUP BY vec_id
+        ), pairs AS (
+            SELECT q.vec_id, r.vec_id AS neighbour_id, bit_count(xor(q.code, r.code))::INTEGER AS distance
+            FROM codes q JOIN codes r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id))::INTEGER AS rank,
+                neighbour_id, distance FROM pairs
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
     "op8_lines": r"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents

@@ -4,9 +4,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import byte_bpe, lines, near_vectors, packing, simhash, token_files, warc
+from quillmark.llm import binary_search, byte_bpe, lines, near_vectors, packing, simhash, token_files, warc
 from quillmark.llm.tokens import encode_texts
 from quillmark.session import new_path
+from quillmark.sources.stages import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 20, by the signs of its components."""
+    coded = stage(binary_search.codes(_table(spark, sf_dir, "embeddings")), "codes")
+    found = binary_search.search(coded, coded.where("id % 20 = 0"), k=10)
+    return found.select(F.col("query_id").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), "distance")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, bits=4)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -85,5 +93,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_packing, op6_simhash, op7_byte_bpe, op8_lines, op9_near_vectors, op10_warc)
+    for f in (
+        op1_token_files,
+        op2_packing,
+        op5_binary_search,
+        op6_simhash,
+        op7_byte_bpe,
+        op8_lines,
+        op9_near_vectors,
+        op10_warc,
+    )
 }

@@ -4,8 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import binary_search, byte_bpe, lines, near_vectors, packing, simhash, token_files, warc
+from quillmark.llm import binary_search, byte_bpe, lines, near_vectors, packing, quality, simhash, token_files, toxicity, warc
 from quillmark.llm.tokens import encode_texts
+from quillmark.llm.training import remainder
 from quillmark.session import new_path
 from quillmark.sources.stages import stage
 
@@ -29,6 +30,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def _scored(found: DataFrame, score: str, held_out) -> DataFrame:
+    predicted = (F.col(score) >= 0.5).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), predicted.alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.quality(documents, _table(spark, sf_dir, "labels"), held_out_by=3, held_out=1)
+    return _scored(found, "quality_score", remainder("doc_id", 3) == 1)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.toxicity(documents, _table(spark, sf_dir, "labels"), held_out_by=5, held_out=0)
+    return _scored(found, "toxic_score", remainder("doc_id", 5) == 0)
+
+
 def op5_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 20, by the signs of its components."""
     coded = stage(binary_search.codes(_table(spark, sf_dir, "embeddings")), "codes")
@@ -96,6 +114,8 @@ QUERIES = {
     for f in (
         op1_token_files,
         op2_packing,
+        op3_quality,
+        op4_toxicity,
         op5_binary_search,
         op6_simhash,
         op7_byte_bpe,

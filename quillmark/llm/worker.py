@@ -1,10 +1,12 @@
 """Small helpers that run inside Python tasks."""
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
+from pyspark import cloudpickle
 
 
 def kept(key: str, make: Callable):
@@ -29,3 +31,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column; null is empty."""
     return [text or "" for text in batch.column(name).to_pylist()]
+
+
+def share(spark, value) -> Callable:
+    """A function that gives the value in any task, sent to each executor once.
+
+    The value travels by value like the functions do, so a worker can read it
+    without having the library.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)

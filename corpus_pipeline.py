@@ -1,17 +1,64 @@
 """Five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes it to
-the shared folder and the next stage reads it from there.
+the shared folder and the next stage reads it from there. All stages but the last
+return the columns of the documents they were given.
 """
 
+import public_tokenizers
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import quillmark
+from quillmark.llm import lines, packing, quality, simhash, toxicity
+from quillmark.llm.tokens import encode_texts
 from quillmark.sources.stages import stage
 
-STAGES = []
+# Python workers need not have the package installed.
+cloudpickle.register_pickle_by_value(quillmark)
 
-#: No stage but the packing's own bookkeeping could be put in SQL; the tests hold
-#: the run against plain Python instead.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds likelier to be of quality 1 than not."""
+    scored = quality.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where(F.col("quality_score") >= 0.5).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds less likely to be toxic than not."""
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where(F.col("toxic_score") < 0.5).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with only the lines that no earlier line equals or nearly equals."""
+    return lines.without_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near fingerprints."""
+    return simhash.without_near_duplicates(docs, words=4, bits=4)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in the packed sequences."""
+    tokens = encode_texts(docs, public_tokenizers.path(TOKENIZER), end_id=2)
+    return packing.pack(packing.stage_pieces(packing.cut(tokens)))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("packing", pack),
+]
+
+#: Trained models and tokenizers can't be put in SQL; the tests hold the stages
+#: against plain Python instead.
 ORACLE_SQL = None
 
 

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.buckets import Linked, deal, in_runs, pairs, whole_runs
@@ -54,14 +54,19 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp of every whole text; null is empty, other columns are left out."""
+    """doc_id, row (a hash of the text) and fp of every whole text; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            found = [fingerprint(text, words) for text in texts(batch)]
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = pa.array([fingerprint(text, words) for text in texts(batch)], pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), found], ["doc_id", "row", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _row(documents["text"]).alias("row"), "text")
+    return whole.mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def _row(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _masks(bits: int, blocks: int) -> list[int]:
@@ -106,15 +111,32 @@ def links(classes: DataFrame, bits: int = 4, blocks: int = 6, pivots: int = 24)
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links) of every document.
+    """doc_id, fp, component_id (smallest doc_id reachable by links), row of every document.
 
     Equal fingerprints, that of all texts without words included, are one class
     and searched once. Rows without an id keep their fingerprint and get the
     component of others with it, or null; repeated rows each keep their row.
+    ``row`` is a hash of the text.
     """
     prints = stage(fingerprints(documents, words), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
     found = components(links(classes, bits))
     placed = classes.join(found, classes["id"] == found["node"], "left")
     placed = placed.select(F.col("fp"), F.coalesce("component", "id").alias("component_id"))
-    return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(placed, "fp").select("doc_id", "fp", "component_id", "row")
+
+
+def without_near_duplicates(documents: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """One document of each group of ``near_duplicates``, with all its columns.
+
+    The one of the smallest id stays; of several rows of that id, one. Rows
+    without an id are only grouped by equal fingerprints, and stay behind others.
+    """
+    found = near_duplicates(documents, words, bits)
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    kept = found.groupBy("component_id", alone.alias("alone")).agg(first)
+    kept = kept.select(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).distinct()
+    rows = documents.withColumn("_own", _row(documents["text"]))
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_row")))
+    return joined.dropDuplicates(["_doc", "_row"]).select(*documents.columns)

@@ -23,8 +23,8 @@ FEATURES = 1 << LOG
 #: Bytes of a word's beginnings that count beside the word itself.
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
 #: Labelled rows that are learnt from, and features that are weighed, at most.
-LABELS, WEIGHED = 20_000, 1 << 15
-LEAST_DOCUMENTS = 4
+LABELS, WEIGHED = 20_000, 1 << 12
+LEAST_DOCUMENTS, LEAST_SCORE = 4, 6.0
 ENDS = np.frombuffer(b".!?\n", np.uint8)
 
 
@@ -79,14 +79,15 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 
 
 def _chosen(counts: np.ndarray) -> np.ndarray:
-    """Features of enough documents whose share differs most between toxic and clean ones."""
+    """Features whose share differs between toxic and clean documents far beyond chance."""
     clean, toxic = counts.reshape(2, -1)
-    has, total = np.stack([clean[:-1], toxic[:-1]]), np.array([[clean[-1]], [toxic[-1]]])
-    share = (has + 0.5) / (total + 1)
-    lift = np.abs(np.log(share[1] / share[0])) * np.sqrt(has.sum(axis=0))
-    lift[has.sum(axis=0) < LEAST_DOCUMENTS] = 0
-    best = np.argsort(-lift, kind="stable")[:WEIGHED]
-    return np.sort(best[lift[best] > 0])
+    n0, n1 = clean[-1], toxic[-1]
+    share = (clean[:-1] + toxic[:-1]) / (n0 + n1)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
+    score = np.abs(toxic[:-1] / n1 - clean[:-1] / n0) / spread
+    score[(clean + toxic)[:-1] < LEAST_DOCUMENTS] = 0
+    best = np.argsort(-score, kind="stable")[:WEIGHED]
+    return np.sort(best[score[best] >= LEAST_SCORE])
 
 
 def _fit(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, float]:

@@ -21,7 +21,7 @@ from quillmark.sources.stages import stage
 
 MARK = 0x314B4F54524F4650
 #: Ids held in memory at once by the writer and the reader.
-HELD = 1 << 21
+HELD = 1 << 19
 
 
 def _open(path: str):

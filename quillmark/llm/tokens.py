@@ -18,14 +18,15 @@ class ChunkEncoder:
 
     Right only for a tokenizer that drops white space and looks at no chunk's
     neighbours, as ``word_bpe_49k`` does: it turns white space into one space,
-    lower-cases letter by letter and splits at every space. ``drops_space``
+    lower-cases letter by letter, and parts words from marks. ``by_chunk``
     tells; any other tokenizer gets whole texts.
     """
 
     #: Chunks remembered by a worker, about 200 bytes each.
-    MOST = 1_000_000
+    MOST = 500_000
     #: White space to Python's ``split`` but not to the tokenizer.
     ODD = re.compile("[\x1c-\x1f]")
+    MARKS = ".,;:!?|#$%&*"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,25 +36,48 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
-        probe = " ".join(["a", "Bc", "d"])
-        self.by_chunk = self.whole(probe) == b"".join(map(self.whole, probe.split()))
+        probe = "Ab, c? .1!"
+        parts = ["ab", ",", "c", "?", ".1", "!"]
+        self.by_chunk = self.whole(probe) == b"".join(map(self.whole, parts))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, IDS).tobytes()
 
+    def _chunks(self, text: str) -> list[str] | None:
+        """The chunks of a text, in small letters where that is sure to change no id."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if self.ODD.search(text) else text.split()
+        return None if self.ODD.search(text) else text.lower().split()
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new chunks; marks behind a word are parted from it, as words recur more."""
+        parts = {}
+        for chunk in new:
+            word = chunk.rstrip(self.MARKS)
+            if word != chunk and word[-1:].lower()[-1:].isalnum():
+                parts[chunk] = word, chunk[len(word) :]
+        needed = new.difference(parts).union(*parts.values()).difference(self.known)
+        needed = [*needed]
+        for chunk, x in zip(needed, self.library.encode_batch_fast(needed, add_special_tokens=False)):
+            self.known[chunk] = np.array(x.ids, IDS).tobytes()
+        for chunk, (word, marks) in parts.items():
+            self.known[chunk] = self.known[word] + self.known[marks]
+
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
             found = self.library.encode_batch(many, add_special_tokens=False)
             return [np.array(x.ids, IDS).tobytes() for x in found]
-        chunks = [[] if self.ODD.search(text) else text.split() for text in many]
+        chunks = [self._chunks(text) for text in many]
         if len(self.known) > self.MOST:
             self.known.clear()
-        new = [*set().union(*chunks).difference(self.known)]
-        for chunk, x in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(x.ids, IDS).tobytes()
+        if new := set().union(*(own for own in chunks if own)).difference(self.known):
+            self._learn(new)
+        known = self.known.__getitem__
         return [
-            self.whole(text) if not own and text else b"".join(map(self.known.__getitem__, own))
+            self.whole(text) if own is None else b"".join(map(known, own))
             for text, own in zip(many, chunks)
         ]
 

@@ -160,13 +160,13 @@ def without_repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS)
     A document of which no line is kept has an empty text; null texts stay null.
     """
     dropped = repeated_lines(documents, least_words).where("NOT kept")
-    dropped = dropped.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("_gone"))
-    dropped = dropped.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "_gone")
-    same = documents["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_row"))
+    dropped = dropped.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
+    row = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
+    same = documents["doc_id"].eqNullSafe(dropped["doc_id"]) & (row == dropped["row"])
     lines = F.split(documents["text"], "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped["gone"])
     rebuilt = F.array_join(F.transform(left, lambda n: F.get(lines, n)), "\n")
-    text = F.when(F.col("_gone").isNull(), documents["text"]).otherwise(rebuilt)
+    text = F.when(dropped["gone"].isNull(), documents["text"]).otherwise(rebuilt)
     return documents.join(dropped, same, "left").select(
         *(text.alias(c) if c == "text" else documents[c] for c in documents.columns)
     )

@@ -136,7 +136,6 @@ def without_near_duplicates(documents: DataFrame, words: int = 4, bits: int = 4)
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
     kept = found.groupBy("component_id", alone.alias("alone")).agg(first)
-    kept = kept.select(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).distinct()
-    rows = documents.withColumn("_own", _row(documents["text"]))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_row")))
-    return joined.dropDuplicates(["_doc", "_row"]).select(*documents.columns)
+    kept = kept.select(F.col("first.doc_id").alias("__doc"), F.col("first.row").alias("__row")).distinct()
+    same = documents["doc_id"].eqNullSafe(kept["__doc"]) & (_row(documents["text"]) == kept["__row"])
+    return documents.join(kept, same).dropDuplicates(["__doc", "__row"]).select(*documents.columns)

@@ -10,6 +10,7 @@ and as a place is given up at most once, the work is linear in the text.
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -153,8 +154,8 @@ class ByteBPE:
                 own.append(self.special[mark])
                 own += self.pieces.findall(part)
             cut.append(own)
-        if len(self.known) > self.MOST:
-            self.known.clear()
+        if len(self.known) > self.MOST:  # what was met first is what recurs most
+            self.known = dict(islice(self.known.items(), self.MOST // 2))
         for i in self.special.values():
             self.known.setdefault(i, np.array([i], IDS).tobytes())
         if new := [*set().union(*cut).difference(self.known)]:

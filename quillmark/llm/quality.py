@@ -197,7 +197,8 @@ def score(documents: DataFrame, network: Network, vectors: np.ndarray) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, vectors = shared()
         for batch in slices(batches, 512):
-            found = pa.array(network.scores(pooled(texts(batch), vectors)), pa.float64())
+            # rounded, so that equal texts score alike in batches of any size
+            found = pa.array(network.scores(pooled(texts(batch), vectors)).round(9), pa.float64())
             yield pa.record_batch([*(batch.column(c) for c in names), found], [*names, "quality_score"])
 
     kept_columns = documents.select(*names)

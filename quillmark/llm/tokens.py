@@ -3,6 +3,7 @@
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,8 @@ class ChunkEncoder:
             found = self.library.encode_batch(many, add_special_tokens=False)
             return [np.array(x.ids, IDS).tobytes() for x in found]
         chunks = [self._chunks(text) for text in many]
-        if len(self.known) > self.MOST:
-            self.known.clear()
+        if len(self.known) > self.MOST:  # what was met first is what recurs most
+            self.known = dict(islice(self.known.items(), self.MOST // 2))
         if new := set().union(*(own for own in chunks if own)).difference(self.known):
             self._learn(new)
         known = self.known.__getitem__

@@ -193,7 +193,8 @@ def score(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                     move = starts[int(text[n])]
                     chance = 1 / (1 + np.exp(-np.clip(logits[n], -50, 50)))
                     listed[text[n]].append({"begin": int(begin[n]) + move, "end": int(end[n]) + move, "score": float(chance)})
-            found = [pa.array(-np.expm1(-clean), pa.float64()), pa.array(listed, spans)]
+            # rounded, so that equal texts score alike in batches of any size
+            found = [pa.array((-np.expm1(-clean)).round(9), pa.float64()), pa.array(listed, spans)]
             yield pa.record_batch([*(batch.column(c) for c in names), *found], [*names, "toxic_score", "toxic_sentences"])
 
     kept_columns = documents.select(*names)

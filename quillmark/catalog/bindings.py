@@ -61,13 +61,6 @@ def table(data: Data, name: str) -> DataFrame:
     return data.spark.read.schema(SCHEMAS[name]).parquet(f"{data.sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in so few pieces that half of the cores would idle is dealt out to all of
-    them; any other is read where it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
-
-
 def _exam_id(item_id: Column) -> Column:
     number = F.floor(item_id / ITEMS_PER_EXAM) + 1
     return F.concat(F.lit("E"), F.lpad(number.cast("string"), 4, "0"))
@@ -113,7 +106,7 @@ def _names(data: Data) -> DataFrame:
 def raw_answers(data: Data) -> DataFrame:
     """ANSWER and ``doc_id``; one document in 17 stands for a blank answer."""
     n = data.n
-    docs = spread(table(data, "documents"), "doc_id").select(
+    docs = table(data, "documents").select(
         "doc_id",
         F.pmod("doc_id", n).alias("_item"),
         F.floor(F.col("doc_id") / n).alias("_student"),
@@ -148,7 +141,7 @@ def label_gradings(data: Data) -> DataFrame:
     labels = table(data, "labels").select("doc_id", "quality")
     keyed = raw_answers(data).select("doc_id", *SLOT).join(labels, "doc_id")
     points = items(data).select("exam_id", "q_no", "points")
-    graded = lookup(keyed, points, ["exam_id", "q_no"], ["doc_id"])
+    graded = lookup(keyed, points, ["exam_id", "q_no"])
     return graded.select(*SLOT, (F.col("quality") * F.col("points")).cast("string").alias("grading"))
 
 
@@ -277,7 +270,7 @@ ENDINGS = [" 1.5 points. Good. rest", " .5", " Score -5", " no number", ""]
 
 def responses(data: Data) -> DataFrame:
     """Replies to the documents as prompts; one in eleven does not repeat the prompt."""
-    docs = spread(table(data, "documents"), "doc_id").select(
+    docs = table(data, "documents").select(
         "doc_id", F.col("text").alias("prompt")
     )
     ending = F.get(F.array(*map(F.lit, ENDINGS)), F.pmod("doc_id", F.lit(5)).cast("int"))

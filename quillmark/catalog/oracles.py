@@ -186,6 +186,11 @@ _CTE = {
         SELECT exam_id, x, y FROM train
         UNION ALL SELECT DISTINCT exam_id, 0.0, 0.0 FROM train
         UNION ALL SELECT DISTINCT exam_id, 1.0, 1.0 FROM train""",
+    "anchored_but_one": """
+        SELECT exam_id, x, y FROM train WHERE exam_id <> 'E0002'
+        UNION ALL SELECT DISTINCT exam_id, 0.0, 0.0 FROM vector_scored
+        UNION ALL SELECT DISTINCT exam_id, 1.0, 1.0 FROM vector_scored""",
+    "model_but_one": "{FIT_BUT_ONE}",
     "model": "{FIT}",
     "model_by_exam": "{FIT_BY_EXAM}",
     "predicted": f"""
@@ -212,6 +217,7 @@ def _fit(table: str, by: str = "") -> str:
 
 _CTE["model"] = _fit("anchored")
 _CTE["model_by_exam"] = _fit("anchored_by_exam", "exam_id")
+_CTE["model_but_one"] = _fit("anchored_but_one", "exam_id")
 
 _NEEDS = {
     "roster": ["answers"],
@@ -235,6 +241,8 @@ _NEEDS = {
     "anchored_by_exam": ["train"],
     "model": ["anchored"],
     "model_by_exam": ["anchored_by_exam"],
+    "anchored_but_one": ["train", "vector_scored"],
+    "model_but_one": ["anchored_but_one"],
     "predicted": ["vector_scored", "model"],
 }
 
@@ -469,6 +477,9 @@ ORACLES: dict[str, str] = {
     "extract_student_table": _sql(f"""
         SELECT exam_id, student_id, first_name, surname, q_no,
                trim(student_solution, {_WS}) AS student_solution FROM evaluation""", "evaluation"),
+    "read_papers": _sql(f"""
+        SELECT exam_id, student_id, first_name, surname, q_no,
+               trim(student_solution, {_WS}) AS student_solution FROM evaluation""", "evaluation"),
     # joins
     "align_answers": _sql("""
         SELECT a.exam_id, a.student_id, a.first_name, a.surname, a.q_no, a.student_solution,
@@ -626,8 +637,20 @@ ORACLES: dict[str, str] = {
         SELECT identification, CASE WHEN {_answered()}
           THEN {_six('b0 + b1 * cosine_similarity + b2 * cosine_similarity * cosine_similarity')}
           ELSE 0.0 END AS relative_points
-        FROM vector_scored s LEFT JOIN model_by_exam m ON m.exam_id = s.exam_id""",
-        "vector_scored", "model_by_exam"),
+        FROM vector_scored s LEFT JOIN model_but_one m ON m.exam_id = s.exam_id""",
+        "vector_scored", "model_but_one"),
+    "grade_papers_rejects": _sql("""
+        SELECT exam_id, student_id, q_no, md5(student_solution) AS answer_md5,
+               CASE WHEN student_id = '' THEN 'no student id' WHEN q_no > 1000 THEN 'no such question'
+                    ELSE 'another answer is graded' END AS reason
+        FROM (SELECT *, row_number() OVER (PARTITION BY exam_id, student_id, q_no
+                                           ORDER BY student_solution <> '' DESC) AS place
+              FROM (SELECT exam_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE student_id END AS student_id,
+                           CAST(CASE WHEN doc_id % 11 = 0 THEN q_no + 1000 ELSE q_no END AS INTEGER) AS q_no,
+                           unnest(CASE WHEN doc_id % 7 = 0 THEN [student_solution, ''] ELSE [student_solution] END)
+                             AS student_solution
+                    FROM answers))
+        WHERE student_id = '' OR q_no > 1000 OR place > 1""", "answers"),
     "similarity_scores": _sql(
         f"SELECT {_SHEET}, {_HALF} AS points_for_student_answer FROM predicted", "predicted"),
     # generated scores and feedback

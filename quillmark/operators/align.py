@@ -1,55 +1,64 @@
 """Bring answers and items together."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.items import cast_text
-from quillmark.operators.joins import is_small, lookup
+from quillmark.operators.items import cast_text, is_answered
+from quillmark.operators.joins import lookup
 from quillmark.schemas import EVAL, ITEM_KEY, SLOT, as_schema, conform
 
 
 def align_answers(
-    answers: DataFrame, items: DataFrame, carry: list[str] = (), small: bool | None = None
+    answers: DataFrame, items: DataFrame, carry: list[str] = ()
 ) -> DataFrame:
     """Every answer next to its question, points and solutions; ``carry`` names
     further columns to keep."""
-    joined = lookup(answers, items, ITEM_KEY, ["student_id", "student_solution"], small=small)
+    joined = lookup(answers, items, ITEM_KEY)
     texts = ("student_solution", "sample_solution", "alternative_solution")
     return cast_text(joined.selectExpr(*as_schema(EVAL), *carry), *texts)
 
 
-def student_item_grid(
-    roster: DataFrame, items: DataFrame, small: bool | None = None
-) -> DataFrame:
+def student_item_grid(roster: DataFrame, items: DataFrame) -> DataFrame:
     """One row per student of an exam and question of that exam."""
-    small = is_small(items) if small is None else small
     sizes = items.groupBy("exam_id").agg(F.max("q_no").alias("size"))
     numbered = (
-        lookup(roster, sizes, ["exam_id"], ["student_id"], small=small)
+        lookup(roster, sizes, ["exam_id"])
         .withColumn("q_no", F.explode(F.sequence(F.lit(1), "size")))
         .drop("size")
     )
-    return lookup(numbered, items, ITEM_KEY, ["student_id"], small=small)
+    return lookup(numbered, items, ITEM_KEY)
 
 
 def known_answers(answers: DataFrame) -> DataFrame:
-    return answers.where(F.col("student_id").isNotNull())
+    """Answers with a student id; an id field left blank is none."""
+    return answers.where(is_answered(F.col("student_id")))
 
 
-def rejected_answers(answers: DataFrame, items: DataFrame) -> DataFrame:
-    """Answers that cannot be graded, with the reason: no student id, or no such
-    question in the exam."""
-    nameless = answers.where(F.col("student_id").isNull()).withColumn(
+def rejected_answers(
+    answers: DataFrame, items: DataFrame, scored: DataFrame | None = None
+) -> DataFrame:
+    """Answers that are not graded, with the reason: no student id, or no such
+    question in the exam, or, where the ``scored`` rows are given, another answer
+    of the same student to the same question. Every other answer is graded."""
+    nameless = answers.where(~is_answered(F.col("student_id"))).withColumn(
         "reason", F.lit("no student id")
     )
     listed = items.select(*ITEM_KEY).withColumn("_listed", F.lit(True))
     strays = (
-        lookup(known_answers(answers), listed, ITEM_KEY, ["student_id", "student_solution"], "left")
+        lookup(known_answers(answers), listed, ITEM_KEY, "left")
         .where("_listed is null")
         .drop("_listed")
         .withColumn("reason", F.lit("no such question"))
     )
-    return nameless.unionByName(strays)
+    rejected = nameless.unionByName(strays)
+    if scored is None:
+        return rejected
+    graded = scored.select(*SLOT, F.col("student_solution").alias("_graded"))
+    text = F.coalesce("student_solution", F.lit(""))
+    first = Window.partitionBy(*SLOT).orderBy((text == F.col("_graded")).desc(), text)
+    others = known_answers(answers).join(graded, SLOT).withColumn("_rank", F.row_number().over(first))
+    others = others.where("_rank > 1").drop("_rank", "_graded")
+    return rejected.unionByName(others.withColumn("reason", F.lit("another answer is graded")))
 
 
 def roster(answers: DataFrame) -> DataFrame:
@@ -57,31 +66,29 @@ def roster(answers: DataFrame) -> DataFrame:
     return (
         known_answers(answers)
         .groupBy("exam_id", "student_id")
-        .agg(F.min("first_name").alias("first_name"), F.min("surname").alias("surname"))
+        .agg(F.min(F.struct("first_name", "surname")).alias("_person"))
+        .select("exam_id", "student_id", "_person.first_name", "_person.surname")
     )
 
 
-def slots(answers: DataFrame, items: DataFrame, small: bool | None = None) -> DataFrame:
+def slots(answers: DataFrame, items: DataFrame) -> DataFrame:
     """Every place for an answer: those students by the questions of their exam."""
     handed_in = known_answers(answers).select("exam_id", "student_id").distinct()
-    return student_item_grid(handed_in, items.select(*ITEM_KEY), small)
+    return student_item_grid(handed_in, items.select(*ITEM_KEY))
 
 
-def missing_answers(
-    answers: DataFrame, items: DataFrame, small: bool | None = None
-) -> DataFrame:
+def missing_answers(answers: DataFrame, items: DataFrame) -> DataFrame:
     """An empty answer for each place left out. Found on the keys alone."""
     given = known_answers(answers).select(*SLOT).distinct()
-    grid = student_item_grid(roster(answers), items, small)
+    grid = student_item_grid(roster(answers), items)
     missing = grid.join(given, SLOT, "left_anti")
     return conform(missing.withColumn("student_solution", F.lit("")), EVAL)
 
 
 def evaluation_table(answers: DataFrame, items: DataFrame) -> DataFrame:
     """All answers with their items, and an empty answer for each place left out."""
-    small = is_small(items)
-    return align_answers(known_answers(answers), items, small=small).unionByName(
-        missing_answers(answers, items, small)
+    return align_answers(known_answers(answers), items).unionByName(
+        missing_answers(answers, items)
     )
 
 

@@ -32,10 +32,13 @@ def training_points(merged: DataFrame, by: list[str] = ()) -> DataFrame:
     return points.where("x is not null and y is not null")
 
 
-def anchor_points(train: DataFrame, by: list[str] = ()) -> DataFrame:
-    """With (0, 0) and (1, 1), per group if there are groups."""
+def anchor_points(
+    train: DataFrame, by: list[str] = (), groups: DataFrame | None = None
+) -> DataFrame:
+    """With (0, 0) and (1, 1), per group if there are groups: those of ``groups``,
+    so that one without any grading has its ends too, or else those of the rows."""
     if by:
-        ends = train.select(*by).distinct().withColumn(
+        ends = (train if groups is None else groups).select(*by).distinct().withColumn(
             "x", F.explode(F.array(F.lit(0.0), F.lit(1.0)))
         )
         return train.unionByName(ends.withColumn("y", F.col("x")))
@@ -94,7 +97,7 @@ def predict_relative(
     fitted = F.struct("b0", "b1", "b2")
     if by:
         models = model.select(*by, fitted.alias("_m"))
-        rows = lookup(scored, models, list(by), ["identification"], "left")
+        rows = lookup(scored, models, list(by), "left")
     else:
         rows = scored.withColumn("_m", model.select(fitted).scalar())
     share = _curve(F.col("cosine_similarity"), F.col("_m"))

@@ -1,14 +1,13 @@
 """Text to vector with an encoder the user supplies."""
 
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.fixed import ENCODER_TOKENS
+from quillmark.sources.stages import stage
 
 Encode = Callable[[list[str]], np.ndarray]
 
@@ -16,63 +15,27 @@ Encode = Callable[[list[str]], np.ndarray]
 def embed(
     df: DataFrame, text: str, out: str, make_encoder: Callable[[], Encode], batch: int = 256
 ) -> DataFrame:
-    """Adds the vector of a text column.
+    """Adds the vector of a text column, in single precision.
 
-    ``make_encoder`` runs once per task. Each Arrow batch encodes its different
-    texts once, so many copies of one answer cost little and no text is shuffled
-    to find them.
+    ``make_encoder`` runs once per task and is asked for at most ``batch`` texts
+    at a time. An encoder costs far more than a shuffle, so every different text
+    is encoded once, the vectors are written down, and the rows look theirs up
+    by a hash of the text. A null text counts as empty.
     """
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make_encoder()
         for texts in batches:
-            codes, different = pd.factorize(texts.fillna(""))
             parts = [
-                np.asarray(encode(list(different[i : i + batch])), dtype="float64")
-                for i in range(0, len(different), batch)
+                np.asarray(encode(list(texts.iloc[i : i + batch])), dtype="float32")
+                for i in range(0, len(texts), batch)
             ]
-            rows = list(np.concatenate(parts)) if parts else []
-            yield pd.Series([rows[c] for c in codes], index=texts.index, dtype=object)
-
-    return df.withColumn(out, vectors(F.col(text)))
-
-
-def masked_mean(tokens: np.ndarray, mask: np.ndarray, normalise: bool = True) -> np.ndarray:
-    """Mean of the real tokens of each text, padding left out, so that a vector
-    does not depend on the other texts of its batch."""
-    weight = mask[:, :, None].astype("float64")
-    mean = (tokens * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1.0)
-    if not normalise:
-        return mean
-    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
-
-
-def onnx_encoder(directory: str) -> Callable[[], Encode]:
-    """Encoder from a folder with ``tokenizer.json`` and ``model.onnx`` that every
-    executor has, for example by ``spark.sparkContext.addFile(..., recursive=True)``."""
-
-    def make() -> Encode:
-        import onnxruntime
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(str(Path(directory) / "tokenizer.json"))
-        tokenizer.enable_truncation(ENCODER_TOKENS)
-        tokenizer.enable_padding()
-        model = onnxruntime.InferenceSession(str(Path(directory) / "model.onnx"))
-        names = [i.name for i in model.get_inputs()]
-
-        def encode(texts: list[str]) -> np.ndarray:
-            encoded = tokenizer.encode_batch(texts)
-            mask = np.array([e.attention_mask for e in encoded], dtype="int64")
-            inputs = {
-                "input_ids": np.array([e.ids for e in encoded], dtype="int64"),
-                "attention_mask": mask,
-                "token_type_ids": np.array([e.type_ids for e in encoded], dtype="int64"),
-            }
-            tokens = model.run(None, {n: inputs[n] for n in names})[0]
-            return masked_mean(tokens, mask)
-
-        return encode
-
-    return make
+            rows = [row for part in parts for row in part]
+            yield pd.Series(rows, index=texts.index, dtype=object)
+
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    different = df.select(key.alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    different = different.groupBy("_key").agg(F.min("_text").alias("_text"))
+    known = stage(different.select("_key", vectors("_text").alias(out)), "vectors")
+    return df.withColumn("_key", key).join(known, "_key").drop("_key")

@@ -16,12 +16,10 @@ SAMPLE = _BETWEEN.format(end=fixed.END_ANSWER, front=fixed.FRONT_ALTERNATIVE)
 ALTERNATIVE = _BETWEEN.format(end=fixed.END_ALTERNATIVE, front=fixed.FRONT_POINTS)
 ANSWERED = _BETWEEN.format(end=fixed.END_ANSWER, front=fixed.FRONT_POINTS)
 POINTS = rf"(?s){fixed.END_POINTS} (\d+)(?!\d)\s*(\d+(?:\.\d+)?)"
-COUNTED = (
-    rf"(?s){fixed.FRONT_QUESTION} .+? Question .+?: {fixed.END_QUESTION} .+?"
-)
-FIRST_NAME = rf"(?s){fixed.END_FIRST_NAME}(.*?){fixed.FRONT_SURNAME}"
-SURNAME = rf"(?s){fixed.END_SURNAME}(.*?){fixed.FRONT_STUDENT_ID}"
-STUDENT_ID = rf"(?s){fixed.END_STUDENT_ID}(.*?){fixed.FRONT_QUESTION} 1(?!\d)"
+# Any mark of a question that carries its number.
+NUMBERED = "(?:{}) (\\d{{1,6}})(?!\\d)"
+ASKED = NUMBERED.format(fixed.END_QUESTION)
+MARKED = NUMBERED.format("|".join((fixed.END_QUESTION, fixed.FRONT_ANSWER, fixed.END_ANSWER, fixed.FRONT_POINTS)))
 
 
 def _parts(pattern: str, group: int) -> Column:
@@ -49,8 +47,12 @@ def _numbers(*names: str) -> Column:
     return F.explode(F.transform(found, lambda k: k.try_cast("int")))
 
 
-def _exam(docs: DataFrame) -> DataFrame:
-    """The folder of a paper is its exam."""
+def _exam(docs: DataFrame, exam: str | None = None) -> DataFrame:
+    """The exam of a paper: the one named, or the paper's own column, or its folder."""
+    if exam is not None:
+        return docs.withColumn("exam_id", F.lit(exam))
+    if "exam_id" in docs.columns:
+        return docs
     return docs.withColumn("exam_id", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
 
 
@@ -75,24 +77,37 @@ def extract_points(docs: DataFrame) -> DataFrame:
     return _one_field(docs, "points", POINTS).withColumn("points", F.col("points").try_cast("double"))
 
 
-def extract_identity(docs: DataFrame) -> DataFrame:
+def extract_identity(docs: DataFrame, exam: str | None = None) -> DataFrame:
     """First name, surname and student id of each paper; null where not found."""
     last = lambda p: strip(remove(F.try_element_at(_parts(p, 1), F.lit(-1)), ":"))
-    return _exam(docs).withColumns(
-        {"first_name": last(FIRST_NAME), "surname": last(SURNAME), "student_id": last(STUDENT_ID)}
+    return _exam(docs, exam).withColumns(
+        {
+            "first_name": last(fixed.FIRST_NAME_FIELD),
+            "surname": last(fixed.SURNAME_FIELD),
+            "student_id": last(fixed.STUDENT_ID_FIELD),
+        }
     )
 
 
 def count_questions(docs: DataFrame) -> DataFrame:
-    """Adds ``n_questions``, the questions of a student's paper."""
-    return docs.withColumn("n_questions", F.regexp_count("text", F.lit(COUNTED)))
+    """Adds ``n_questions``, the different questions of a student's paper; a
+    teacher's paper, which has places for alternative solutions, has none."""
+    numbers = F.array_distinct(_parts(ASKED, 1))
+    handed_in = ~F.contains("text", F.lit(fixed.FRONT_ALTERNATIVE))
+    return docs.withColumn("n_questions", F.when(handed_in, F.size(numbers)).otherwise(F.lit(0)))
 
 
 def _answer_rows(docs: DataFrame) -> DataFrame:
-    """One row per question of each student's paper, with its answer."""
+    """One row per question of each student's paper, with its answer.
+
+    A question is there if any of its marks is, so a broken label hides neither
+    the question nor those behind it.
+    """
     n = F.col("n_questions")
     rows = _with_fields(count_questions(docs), answer=ANSWERED)
-    rows = rows.withColumn("q_no", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
+    named = F.transform(_parts(MARKED, 1), lambda k: k.cast("int"))
+    numbers = F.array_union(F.sequence(F.lit(1), n), F.filter(named, lambda k: k > 0))
+    rows = rows.withColumn("q_no", F.explode(F.when(n > 0, numbers)))
     return rows.withColumn("student_solution", _field("answer"))
 
 
@@ -101,10 +116,10 @@ def extract_answers(docs: DataFrame) -> DataFrame:
     return _answer_rows(_exam(docs)).select("exam_id", "path", "q_no", "student_solution")
 
 
-def extract_items(docs: DataFrame) -> DataFrame:
-    """Item table from teachers' papers."""
+def extract_items(docs: DataFrame, exam: str | None = None) -> DataFrame:
+    """Item table from teachers' papers, all of one ``exam`` if it is named."""
     rows = _with_fields(
-        _exam(docs),
+        _exam(docs, exam),
         question=QUESTION,
         sample_solution=SAMPLE,
         alternative_solution=ALTERNATIVE,
@@ -122,6 +137,6 @@ def extract_items(docs: DataFrame) -> DataFrame:
     )
 
 
-def extract_student_table(docs: DataFrame) -> DataFrame:
-    """Answer table from students' papers."""
-    return conform(_answer_rows(extract_identity(docs)), ANSWER)
+def extract_student_table(docs: DataFrame, exam: str | None = None) -> DataFrame:
+    """Answer table from students' papers, all of one ``exam`` if it is named."""
+    return conform(_answer_rows(extract_identity(docs, exam)), ANSWER)

@@ -14,6 +14,7 @@ from quillmark.functions.text import (
 )
 from quillmark.operators.items import is_answered, scheme_text
 from quillmark.schemas import empty
+from quillmark.sources.stages import stage
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -53,7 +54,10 @@ def truncate_prompts(
     **limits,
 ) -> DataFrame:
     """Prompts cut to the token budget. ``tokenizer`` may make a function
-    ``(text, budget) -> text`` that counts with the generator's own vocabulary."""
+    ``(text, budget) -> text`` that counts with the generator's own vocabulary; it
+    is not asked about null prompts, and has to keep a closing cue by itself."""
+    if tokenizer is not None and limits.get("keep_suffix"):
+        raise ValueError("keep_suffix is for the built-in counter; a tokenizer keeps its own")
     if tokenizer is None:
         return df.withColumn(prompt, truncate_tokens(F.col(prompt), **limits))
     budget = limits.get("budget", fixed.PROMPT_TOKENS)
@@ -62,7 +66,7 @@ def truncate_prompts(
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shorten = tokenizer()
         for texts in batches:
-            yield texts.map(lambda t: shorten(t, budget))
+            yield texts.map(lambda t: shorten(t, budget), na_action="ignore")
 
     return df.withColumn(prompt, cut(F.col(prompt)))
 
@@ -72,12 +76,13 @@ def generate(
     make_generator: Callable[[dict], Generate],
     prompt: str = "prompt",
     out: str = "generated_text",
+    per_call: int = 64,
 ) -> DataFrame:
     """Adds the reply to each prompt; null for a null prompt.
 
     ``make_generator`` gets the generation settings and runs once per task; the
-    task hands it the different prompts of each Arrow batch. Only the prompt
-    travels to Python.
+    task hands it the different prompts of each Arrow batch, at most ``per_call``
+    at a time. Only the prompt travels to Python.
     """
 
     @F.pandas_udf("string")
@@ -85,7 +90,9 @@ def generate(
         ask = make_generator(dict(fixed.GENERATION))
         for prompts in batches:
             codes, different = pd.factorize(prompts)
-            answers = ask(list(different)) if len(different) else []
+            answers = []
+            for at in range(0, len(different), per_call):
+                answers += ask(list(different[at : at + per_call]))
             yield pd.Series([answers[c] if c >= 0 else None for c in codes], dtype=object)
 
     return df.withColumn(out, replies(F.col(prompt)))
@@ -97,26 +104,38 @@ def generate_once(
     path: str,
     prompt: str = "prompt",
     out: str = "generated_text",
+    per_call: int = 64,
+    callers: int | None = None,
+    slice_rows: int = 100_000,
 ) -> DataFrame:
-    """Replies kept in the table at ``path``: a prompt that has one is never sent
-    again, neither by a retry of this job nor by a later one."""
+    """Replies kept in the table at ``path``: a prompt that has one is not sent again.
+
+    New prompts are sent in slices of about ``slice_rows``, and the replies to a
+    slice are committed before the next is begun, so a job that fails loses one
+    slice at most and a later job sends only the rest. Within a slice a task that
+    is run again asks again: a prompt may be sent twice, but one reply is kept.
+    At most ``callers`` tasks ask at a time, as many as a shuffle has by default.
+    """
+    spark = df.sparkSession
     key = F.sha2(F.col(prompt), 256)
     table = StructType([StructField("prompt_key", StringType()), StructField(out, StringType())])
-    empty(df.sparkSession, table).write.mode("append").parquet(path)
+    empty(spark, table).write.mode("append").parquet(path)
     wanted = (
         df.where(F.col(prompt).isNotNull())
         .select(key.alias("prompt_key"), F.col(prompt).alias("_prompt"))
         .groupBy("prompt_key")
         .agg(F.min("_prompt").alias("_prompt"))
     )
-    kept = df.sparkSession.read.schema(table).parquet(path)
-    new = wanted.join(kept.select("prompt_key"), "prompt_key", "left_anti")
-    generate(new, make_generator, "_prompt", out).select("prompt_key", out).write.mode(
-        "append"
-    ).parquet(path)
-    replies = (
-        df.sparkSession.read.schema(table).parquet(path).groupBy("prompt_key").agg(F.min(out).alias(out))
-    )
+    kept = spark.read.schema(table).parquet(path)
+    new = stage(wanted.join(kept.select("prompt_key"), "prompt_key", "left_anti"), "prompts")
+    slices = -(-new.count() // slice_rows)
+    tasks = callers or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in range(slices):
+        part = new.where(F.pmod(F.xxhash64("prompt_key"), F.lit(slices)) == n)
+        part = part.repartition(tasks, "prompt_key")
+        replies = generate(part, make_generator, "_prompt", out, per_call)
+        replies.select("prompt_key", out).write.mode("append").parquet(path)
+    replies = spark.read.schema(table).parquet(path).groupBy("prompt_key").agg(F.min(out).alias(out))
     # Rows without prompt meet nothing; a key of their own spreads them.
     own = F.coalesce(key, F.xxhash64(*df.columns).cast("string"))
     return df.withColumn("prompt_key", own).join(replies, "prompt_key", "left").drop("prompt_key")

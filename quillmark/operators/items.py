@@ -94,9 +94,7 @@ def first_solutions(solutions: DataFrame) -> DataFrame:
 
 def fill_blank_solution(scored: DataFrame, solutions: DataFrame) -> DataFrame:
     """A blank winning solution becomes the first sample solution of its question."""
-    joined = lookup(
-        scored, first_solutions(solutions), ["question"], ["student_id", "q_no"], "left"
-    )
+    joined = lookup(scored, first_solutions(solutions), ["question"], "left")
     filled = F.coalesce(F.nullif("solution", F.lit("")), "first_solution", "solution")
     return joined.withColumn("solution", filled).select(*scored.columns)
 

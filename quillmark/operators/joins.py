@@ -3,34 +3,24 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 2**20
-
-
-def is_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the table, measured now, is small enough to be sent to every task."""
-    size = F.octet_length(F.to_json(F.struct(*table.columns)))
-    return (table.agg(F.sum(size)).first()[0] or 0) <= limit
-
 
 def lookup(
     facts: DataFrame,
     table: DataFrame,
     on: list[str],
-    spread_by: list[str],
     how: str = "inner",
-    small: bool | None = None,
-    salts: int = 16,
+    spread_by: list[str] = (),
 ) -> DataFrame:
     """Join many ``facts`` rows to the one ``table`` row with the same key.
 
-    A small table is broadcast and the facts stay where they are. Beyond that
-    both sides are shuffled, each key in ``salts`` parts by a hash of
-    ``spread_by``, so that a key with a third of all facts still runs in many
-    tasks; the table, the far smaller side, is repeated for it. ``small`` saves
-    the measuring where the caller knows.
+    Adaptive execution broadcasts the table if it turns out small, and cuts hot
+    keys if it does not; nothing is measured while the plan is built. Where keys
+    are known to be hot, ``spread_by`` cuts every key by a hash of those columns
+    into as many parts as a shuffle has, and repeats the table for each.
     """
-    if is_small(table) if small is None else small:
-        return facts.join(F.broadcast(table), on, how)
+    if not spread_by:
+        return facts.join(table, on, how)
+    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmark.fixed import SAMPLE
 from quillmark.schemas import SLOT
+from quillmark.sources.stages import stage
 
 
 def best_solution(scored: DataFrame, keys: list[str] = SLOT) -> DataFrame:
@@ -25,32 +26,17 @@ def best_solution(scored: DataFrame, keys: list[str] = SLOT) -> DataFrame:
 
 
 def number_rows(
-    ids: DataFrame, keys: list[str] = SLOT, out: str = "identification", ranges: int = 1024
+    ids: DataFrame, keys: list[str] = SLOT, out: str = "identification"
 ) -> DataFrame:
     """Rows with distinct ``keys`` numbered 0, 1, 2 ... in the order of the keys.
 
-    The keys are cut into ranges of about equal size at the quantiles of a sample
-    (the ``16 * ranges`` keys with the smallest hashes, the same ones on every
-    run). A row's number is the size of the ranges below plus its place in its
-    own range, so no task sorts more than one range.
+    Spark deals the keys out in ranges, and the ranges are written down with
+    their number. A row's number is the size of the ranges before its own plus
+    its place there, so no task sorts more than one range, and one row per range
+    is all that meets in one place.
     """
-    key = F.struct(*keys)
-    sample = ids.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(16 * ranges)
-    cuts = (
-        sample.agg(F.sort_array(F.collect_list("k")).alias("s"))
-        .withColumn("every", F.ceil(F.size("s") / F.lit(ranges)).cast("int"))
-        .select(F.filter("s", lambda k, i: i % F.col("every") == 0))
-        .scalar()
-    )
-    # Binary search: how many of the sorted cuts are not above the key.
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(ranges.bit_length()))])
-    in_range = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(F.get("_cuts", low + step - 1) <= key, low + step).otherwise(low),
-    )
-    ranged = ids.withColumn("_cuts", cuts).withColumn("_range", in_range).drop("_cuts")
-    # One row per range: at most ``ranges`` + 1.
+    dealt = ids.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
+    ranged = stage(dealt, "ranges")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     below = sizes.select("_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_below"))

@@ -88,16 +88,16 @@ def render_student(items: DataFrame, roster: DataFrame | None = None) -> DataFra
     if roster is None:
         header = _header(F.col("exam_id"), blank, blank, blank)
         return bodies.select("exam_id", F.concat_ws("\n", header, "body").alias("text"))
-    filled = lookup(roster, bodies, ["exam_id"], ["student_id"])
+    filled = lookup(roster, bodies, ["exam_id"])
     return _with_names(filled)
 
 
 def render_answered(evaluation: DataFrame) -> DataFrame:
     """Papers as students hand them in. A paper has one place per question; of two
     answers to one question the greater text stands there."""
-    single = evaluation.groupBy("exam_id", "student_id", "q_no").agg(
-        *[F.max(c).alias(c) for c in ("first_name", "surname", "question", "points", "student_solution")]
-    )
+    names = ("student_solution", "first_name", "surname", "question", "points")
+    single = evaluation.groupBy("exam_id", "student_id", "q_no").agg(F.max(F.struct(*names)).alias("_row"))
+    single = single.select("exam_id", "student_id", "q_no", "_row.*")
     blocks = single.withColumn("block", student_block(F.col("student_solution"))).withColumns(
         {c: F.coalesce(c, F.lit("")) for c in ("first_name", "surname")}
     )

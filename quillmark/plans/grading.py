@@ -12,7 +12,7 @@ from quillmark.sources.sheets import similarity_sheet
 
 def fit_model(scored: DataFrame, grading: DataFrame, by: list[str] = ()) -> DataFrame:
     merged = join_gradings(grading, scored)
-    return fit_quadratic(anchor_points(training_points(merged, by), by), by)
+    return fit_quadratic(anchor_points(training_points(merged, by), by, scored), by)
 
 
 def calibrate(

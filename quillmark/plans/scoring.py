@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.align import align_answers, known_answers, missing_answers, slots
 from quillmark.operators.items import fill_blank_solution, is_answered, solutions_by_question
-from quillmark.operators.joins import is_small
 from quillmark.operators.rank import best_solution, group_number
 from quillmark.operators.reshape import as_candidates
 from quillmark.operators.similarity import WORDS, better_solution
@@ -31,9 +30,8 @@ def score_answers(
     prepare, compare = measure
     answer, sample, alternative = compared
     prepared = prepare(prepare(items, sample, "_sample"), alternative, "_alternative")
-    small = is_small(prepared)
     carry = ["_sample", "_alternative"] + [c for c in [answer] if c not in TEXTS]
-    aligned = align_answers(known_answers(answers), prepared, carry, small)
+    aligned = align_answers(known_answers(answers), prepared, carry)
     rows = prepare(aligned, answer, "_answer")
 
     done = is_answered(F.col("student_solution"))
@@ -47,9 +45,9 @@ def score_answers(
         given, F.col("_to_sample"), F.col("_to_alternative"), keep_blank_alternative
     )
     layout = [f.name for f in SCORED if f.name != "identification"]
-    left_out = as_candidates(missing_answers(answers, items, small))
+    left_out = as_candidates(missing_answers(answers, items))
     best = best_solution(given.select(*layout).unionByName(left_out.select(*layout)))
-    scored = group_number(best, ids=slots(answers, items, small).select(*SLOT))
+    scored = group_number(best, ids=slots(answers, items).select(*SLOT))
     if keep_blank_alternative:
         scored = fill_blank_solution(scored, solutions_by_question(items))
     return conform(scored, SCORED)

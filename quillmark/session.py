@@ -3,6 +3,8 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -43,6 +45,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+_RUNS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """Unused path for one table below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """Unused path for one table below the shared folder, or that of the open run."""
+    folder = _RUNS[-1] if _RUNS else shared_folder(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all tables staged inside the block, deleted at its end.
+
+    Results that are to outlive the block have to be written or collected in it.
+    """
+    folder = new_path(spark, "run")
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.schemas import DOC
-
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -32,15 +30,30 @@ def paragraph_text(content: bytes) -> str:
 
 
 def document_text(files: DataFrame) -> DataFrame:
-    """``path, content`` to ``path, text``, one file at a time."""
+    """``path, content`` to ``path, text, error``, one file at a time.
+
+    A file that cannot be read has no text, and the error says why.
+    """
+
+    def text_or_error(content: bytes) -> tuple[str | None, str | None]:
+        try:
+            return paragraph_text(content), None
+        except Exception as error:  # whatever is wrong with one file, the others count
+            return None, f"{type(error).__name__}: {error}"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(
-                {"path": batch["path"], "text": [paragraph_text(c) for c in batch["content"]]}
-            )
+            found = [text_or_error(c) for c in batch["content"]]
+            texts, errors = zip(*found) if found else ((), ())
+            yield pd.DataFrame({"path": batch["path"].tolist(), "text": texts, "error": errors})
+
+    files = only_documents(files).select("path", "content")
+    return files.mapInPandas(read, "path string, text string, error string")
 
-    return only_documents(files).select("path", "content").mapInPandas(read, DOC)
+
+def unreadable(docs: DataFrame) -> DataFrame:
+    """Files that gave no text: ``path, error``."""
+    return docs.where(F.col("error").isNotNull()).select("path", "error")
 
 
 def only_documents(files: DataFrame, suffix: str = ".docx") -> DataFrame:
@@ -64,6 +77,18 @@ def read_plain_texts(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def write_papers(papers: DataFrame, folder: str) -> None:
+    """``exam_id, text``: one text file per paper, in a folder per exam."""
+    writer = papers.select("exam_id", F.col("text").alias("value")).write
+    writer.option("maxRecordsPerFile", 1).partitionBy("exam_id").text(folder)
+
+
+def read_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_papers`` has written: ``path, exam_id, text``."""
+    exam = F.regexp_extract("path", r"exam_id=([^/]+)/[^/]+$", 1)
+    return read_plain_texts(spark, folder).select("path", exam.alias("exam_id"), "text")
+
+
 def write_bundle(bundle: DataFrame, folder: str) -> None:
     """``variant, exam_id, text``: one text file per paper, in folders."""
     bundle.select("variant", "exam_id", F.col("text").alias("value")).write.partitionBy(

@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 from quillmark.session import new_path
 
 
-def save(
-    df: DataFrame, path: str, by: list[str] = (), append: bool = False, parts: int = 16
-) -> None:
+def save(df: DataFrame, path: str, by: list[str] = (), append: bool = False) -> None:
     """Write a table, in folders ``by`` some columns if given.
 
-    Rows of one folder then come from at most ``parts`` tasks, so there are few
-    files, and a folder with a third of all rows is still written by many tasks.
+    Rows of one folder then come from as many tasks as a shuffle has at most, so
+    a folder with a third of all rows is still written by many.
     """
     if by:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.spark_partition_id(), F.lit(parts))
         df = df.repartition(*by, part)
     df.write.mode("append" if append else "errorifexists").partitionBy(*by).parquet(path)
 

@@ -1,5 +1,4 @@
-import sys
-import types
+import os
 
 import numpy as np
 import pytest
@@ -142,52 +141,57 @@ def test_vectors_come_back_in_order(spark):
     assert len(got) == 300
 
 
-def test_copies_in_a_batch_are_encoded_once(spark, tmp_path):
+def test_every_text_is_encoded_once(spark, tmp_path):
+    """However many tasks hold it, and however often the result is read."""
     log = str(tmp_path / "encoded")
 
     def make():
         def encode(texts):
             with open(log, "a") as f:
-                f.write(f"{len(texts)}\n")
+                f.writelines(f"{t}\n" for t in texts)
             return np.ones((len(texts), 1))
 
         return encode
 
-    df = spark.range(0, 5000, 1, 1).select(F.lit("same").alias("t"))
-    assert embed.embed(df, "t", "v", make).where("v[0] = 1").count() == 5000
-    assert set(open(log).read().split()) == {"1"}
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") % 40).cast("string").alias("t"))
+    rows = embed.embed(df, "t", "v", make)
+    assert rows.where("v[0] = 1").count() == rows.count() == 5000
+    assert sorted(open(log).read().split()) == sorted(map(str, range(40)))
 
 
-def test_masked_mean_leaves_padding_out():
-    tokens = np.array([[[1.0, 0.0], [3.0, 0.0], [99.0, 9.0]]])
-    mask = np.array([[1, 1, 0]])
-    assert embed.masked_mean(tokens, mask, normalise=False).tolist() == [[2.0, 0.0]]
-    assert embed.masked_mean(tokens, mask).tolist() == [[1.0, 0.0]]
-    assert embed.masked_mean(tokens, np.zeros((1, 3))).tolist() == [[0.0, 0.0]]
+def test_a_failed_job_keeps_its_replies(spark, tmp_path):
+    """The second run sends only the prompts that have no reply yet."""
+    log, broken = tmp_path / "asked", tmp_path / "broken"
+    broken.touch()
 
+    def make(settings):
+        def ask(prompts):
+            assert len(prompts) <= 5
+            if os.path.exists(broken) and os.path.exists(log) and len(open(log).readlines()) >= 30:
+                raise RuntimeError("the generator is gone")
+            with open(log, "a") as f:
+                f.writelines(f"{p}\n" for p in prompts)
+            return [f"{p}!" for p in prompts]
 
-def test_encoder_from_a_folder(tmp_path, monkeypatch):
-    """A tokenizer from disk and a model whose tokens are their ids."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    tokenizer = Tokenizer(models.WordLevel({"[PAD]": 0, "one": 1, "two": 2, "[UNK]": 3}, unk_token="[UNK]"))
-    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
-    tokenizer.save(str(tmp_path / "tokenizer.json"))
-
-    class Session:
-        def __init__(self, path):
-            assert path.endswith("model.onnx")
-
-        def get_inputs(self):
-            return [types.SimpleNamespace(name=n) for n in ("input_ids", "attention_mask")]
-
-        def run(self, outputs, inputs):
-            assert set(inputs) == {"input_ids", "attention_mask"}
-            ids = inputs["input_ids"].astype(float)
-            return [np.stack([ids, np.ones_like(ids)], axis=2)]
+        return ask
 
-    monkeypatch.setitem(sys.modules, "onnxruntime", types.SimpleNamespace(InferenceSession=Session))
-    encode = embed.onnx_encoder(str(tmp_path))()
-    short, long = encode(["one two", "one two one two"])
-    assert short == pytest.approx(long)
-    assert short == pytest.approx(np.array([1.5, 1.0]) / np.hypot(1.5, 1.0))
+    path = new_path(spark, "replies")
+    df = spark.range(100).select(F.format_string("prompt%03d", "id").alias("prompt"))
+    run = lambda: generate.generate_once(df, make, path, per_call=5, callers=2, slice_rows=10)
+    with pytest.raises(Exception, match="the generator is gone"):
+        run()
+    kept = {r.prompt_key for r in spark.read.parquet(path).collect()}
+    first = open(log).read().split()
+    assert 0 < len(kept) < 100
+    broken.unlink()
+    assert {(r.prompt, r.generated_text) for r in run().collect()} == {(f"prompt{n:03d}", f"prompt{n:03d}!") for n in range(100)}
+    second = open(log).read().split()[len(first):]
+    assert len(second) == 100 - len(kept) == len(set(second))
+
+
+def test_own_tokenizer(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, None)], "id int, prompt string")
+    cut = generate.truncate_prompts(df, tokenizer=lambda: lambda t, n: " ".join(t.split()[:n]), budget=2)
+    assert {r.id: r.prompt for r in cut.collect()} == {1: "a b", 2: None}
+    with pytest.raises(ValueError):
+        generate.truncate_prompts(df, tokenizer=lambda: lambda t, n: t, keep_suffix="Score:")

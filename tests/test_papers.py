@@ -5,7 +5,7 @@ from quillmark.operators import extract, render
 from quillmark.operators.items import append_items, number_items, validate_items
 from quillmark.schemas import EVAL, ITEM, empty
 from quillmark.session import new_path
-from quillmark.sources import documents
+from quillmark.sources import documents, stages
 
 
 def exam(spark, n=40):
@@ -159,3 +159,46 @@ def test_validity_of_items(spark):
 def test_numbering_starts_at_one_per_exam(spark, rows):
     df = spark.createDataFrame([("A", 5), ("A", 3), ("B", 9)], "exam_id string, at int")
     assert rows(number_items(df, "at")) == [("A", 3, 1), ("A", 5, 2), ("B", 9, 1)]
+
+
+def broken_paper(spark, broken):
+    """A paper of three answers whose question label ``broken`` is damaged."""
+    rows = [("E1", "007", "Ann", "Lee", k, f"answer {k}", f"What is {k}?", 1.0, "", "") for k in (1, 2, 3)]
+    docs = as_docs(render.render_answered(spark.createDataFrame(rows, EVAL)), "007")
+    return docs.withColumn("text", F.replace("text", F.lit(f"Question {broken}:"), F.lit("Qu?")))
+
+
+def test_a_broken_label_hides_no_answer(spark):
+    for broken in (1, 2, 3):
+        got = extract.extract_student_table(broken_paper(spark, broken)).collect()
+        assert {r.q_no: r.student_solution for r in got} == {k: f"answer {k}" for k in (1, 2, 3)}
+
+
+def test_a_mark_that_stands_twice_is_one_question(spark):
+    docs = broken_paper(spark, 9)
+    twice = docs.withColumn("text", F.concat("text", F.lit("\n"), "text"))
+    got = extract.extract_student_table(twice).collect()
+    assert sorted(r.q_no for r in got) == [1, 2, 3]
+    assert extract.count_questions(twice).first().n_questions == 3
+
+
+def test_one_bad_file_costs_only_itself(spark, tmp_path):
+    (tmp_path / "students").mkdir()
+    (tmp_path / "students" / "good.docx").write_bytes(packed(broken_paper(spark, 9).first().text))
+    (tmp_path / "students" / "bad.docx").write_bytes(b"no archive")
+    docs = documents.read_documents(spark, str(tmp_path))
+    bad = documents.unreadable(docs).collect()
+    assert [r.path.rsplit("/")[-1] for r in bad] == ["bad.docx"] and "BadZipFile" in bad[0].error
+    got = extract.extract_student_table(docs, exam="physics").collect()
+    assert {(r.exam_id, r.student_id, r.q_no) for r in got} == {("physics", "007", k) for k in (1, 2, 3)}
+
+
+def test_a_run_leaves_nothing_behind(spark):
+    from quillmark.session import run_folder
+
+    with run_folder(spark) as folder:
+        staged = stages.stage(spark.range(10), "numbers")
+        assert staged.count() == 10 and staged.inputFiles()[0].removeprefix("file://").startswith(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert not new_path(spark, "x").startswith(folder)

@@ -1,5 +1,6 @@
 """What the two classifiers share: a bounded sample of labels, and sums over all tasks."""
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,20 +34,26 @@ def summed(rows: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     comes to the driver.
     """
 
+    def block(n: int, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"block": n, "data": zlib.compress(part.tobytes(), 1)}])
+
+    def numbers(data: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data), "<i8")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, part in enumerate(np.array_split(task(batches).ravel(), blocks)):
-            yield pa.RecordBatch.from_pylist([{"block": n, "data": part.astype("<i8").tobytes()}])
+            yield block(n, part.astype("<i8"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.select(["block", "data"]).to_pylist():
-                part = np.frombuffer(row["data"], "<i8")
+                part = numbers(row["data"])
                 sums[row["block"]] = sums[row["block"]] + part if row["block"] in sums else part
-        yield from (pa.RecordBatch.from_pylist([{"block": n, "data": x.tobytes()}]) for n, x in sums.items())
+        yield from (block(n, part) for n, part in sums.items())
 
     kind = "block long, data binary"
     counted = rows.mapInArrow(count, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
     once = counted.repartition("block", "salt").select("block", "data").mapInArrow(add, kind)
     found = {r["block"]: r["data"] for r in once.repartition("block").mapInArrow(add, kind).collect()}
-    return np.concatenate([np.frombuffer(found[n], "<i8") for n in range(blocks)]) if found else np.empty(0, np.int64)
+    return np.concatenate([numbers(found[n]) for n in range(blocks)]) if found else np.empty(0, np.int64)

@@ -167,8 +167,8 @@ def _vectors(data: Data) -> DataFrame:
     return table(data, "embeddings").select("vec_id", "embedding")
 
 
-def vector_items(data: Data) -> DataFrame:
-    """ITEM with the vectors of both solutions; no vector for a blank one."""
+def vector_items(data: Data, blank: bool = False) -> DataFrame:
+    """ITEM with the vectors of both solutions; a blank one has a vector if ``blank``."""
     n = data.n
     v = _vectors(data)
     sample = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("sample_vector"))
@@ -176,7 +176,7 @@ def vector_items(data: Data) -> DataFrame:
         (F.col("vec_id") - n).alias("item_id"), F.col("embedding").alias("_alternative")
     )
     joined = raw_items(data).join(sample, "item_id").join(alternative, "item_id", "left")
-    vector = F.when(F.col("alternative_solution") != "", F.col("_alternative"))
+    vector = F.when(F.lit(blank) | (F.col("alternative_solution") != ""), F.col("_alternative"))
     return joined.select(*[f.name for f in ITEM], "sample_vector", vector.alias("alternative_vector"))
 
 

@@ -177,10 +177,13 @@ def split_unanswered(data: Data) -> DataFrame:
 
 @query
 def rejected_answers(data: Data) -> DataFrame:
-    """Answers of the labelled documents count as handed in without a student id."""
+    """Answers of the labelled documents count as handed in without a student id, and
+    every 19th document as an answer to a question the exam does not have."""
     labels = b.table(data, "labels").select("doc_id", "quality")
     rows = b.raw_answers(data).join(labels, "doc_id", "left")
     nameless = rows.withColumn("student_id", F.when(F.col("quality").isNull(), F.col("student_id")))
+    stray = F.when(F.col("doc_id") % 19 == 0, F.col("q_no") + 1000).otherwise(F.col("q_no"))
+    nameless = nameless.withColumn("q_no", stray)
     rejected = align.rejected_answers(nameless, b.items(data))
     return rejected.select("doc_id", "exam_id", "q_no", "reason")
 
@@ -278,9 +281,8 @@ def student_item_grid(data: Data) -> DataFrame:
 
 @query
 def evaluation_table(data: Data) -> DataFrame:
-    """The grid where only the labelled documents were handed in."""
-    handed_in = b.table(data, "labels").select("doc_id")
-    rows = b.raw_answers(data).join(handed_in, "doc_id", "left_semi")
+    """The grid where nobody has answered every third question."""
+    rows = b.raw_answers(data).where(F.col("q_no") % 3 != 0)
     return align.evaluation_table(rows, b.items(data)).select(*SLOT, "points", "student_solution")
 
 
@@ -556,9 +558,13 @@ def score_answers_encoder(data: Data) -> DataFrame:
 
 @query
 def score_answers_blank_kept(data: Data) -> DataFrame:
-    """Blank alternatives take part, and are filled in where they win."""
+    """Blank alternatives take part by their vectors, and are filled in where they win."""
     scored = scoring.score_answers(
-        b.answers(data), b.items(data), keep_blank_alternative=True
+        b.raw_vector_answers(data),
+        b.vector_items(data, blank=True),
+        similarity.VECTORS,
+        b.VECTOR_COLUMNS,
+        keep_blank_alternative=True,
     )
     return rounded(scored, "cosine_similarity").select(
         *SLOT, "solution_type", "solution", "cosine_similarity", "identification"

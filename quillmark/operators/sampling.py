@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillmark.functions.grades import capped
 from quillmark.operators.items import answered
 from quillmark.schemas import GRADING, conform
+from quillmark.sources.stages import stage
 
 
 def draw(seed: int, key: str = "identification") -> Column:
@@ -40,9 +41,15 @@ def initial_split(pool: DataFrame, seed: int, n: int = 2) -> tuple[DataFrame, Da
 def grow_training_set(
     grading: DataFrame, pool: DataFrame, seed: int, n: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """(grading, pool) with ``n`` more rows moved from the pool."""
-    more = sample_rows(pool, n, seed)
-    return grading.unionByName(more), without(pool, more)
+    """(grading, pool) with ``n`` more rows moved from the pool.
+
+    The grown table is written down, and what it holds is left out of ``pool``,
+    so the whole pool may be given every time: then neither plan grows with the
+    number of steps.
+    """
+    more = sample_rows(without(pool, grading), n, seed)
+    grown = stage(grading.unionByName(more), "grading")
+    return grown, without(pool, grown)
 
 
 def upsert_gradings(grading: DataFrame, entered: DataFrame) -> DataFrame:

@@ -199,3 +199,17 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     with pytest.raises(RuntimeError):
         new_path(session(master="yarn"), "x")
     assert new_path(session(master="local[2]"), "x") != new_path(session(master="local[2]"), "x")
+
+
+def test_growth_by_steps_keeps_its_plan(spark, plan_of):
+    """However many steps, the plan is that of one, and no row is drawn twice."""
+    pool = sampling.grading_rows(scored(spark))
+    grade, rest = sampling.initial_split(pool, 1, n=1)
+    total = pool.count()
+    sizes = []
+    for step in range(3):
+        grade, rest = sampling.grow_training_set(grade, pool, step + 2)
+        sizes.append(len(plan_of(rest)))
+        assert grade.select("identification").distinct().count() == grade.count() == min(total, step + 2)
+        assert rest.count() == total - grade.count()
+    assert max(sizes) < 1.2 * min(sizes)

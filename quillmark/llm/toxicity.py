@@ -90,7 +90,7 @@ def _chosen(counts: np.ndarray) -> np.ndarray:
     return np.sort(best[score[best] >= LEAST_SCORE])
 
 
-def _fit(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, float]:
+def _fit(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights of the chosen features, and the bias, by Adam on the log loss of the noisy-or.
 
     ``sentence``: of each feature; ``owner``: the document of each sentence.
@@ -105,7 +105,7 @@ def _fit(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.nd
         chance = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
         whole = np.clip(noisy_or(logits, owner, len(y)), 1e-9, 1)
         slope = np.where(y > 0, 1 - 1 / whole, 1)[owner] * chance / len(y)
-        slopes = np.append(np.bincount(features, slope[sentence], size), slope.sum()) + 1e-5 * theta * (np.arange(size + 1) < size)
+        slopes = np.append(np.bincount(features, slope[sentence], size), slope.sum()) + 5e-5 * theta * (np.arange(size + 1) < size)
         mean += 0.1 * (slopes - mean)
         square += 0.02 * (slopes * slopes - square)
         theta -= 0.15 * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.98**step)) + 1e-8)

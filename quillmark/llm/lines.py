@@ -89,9 +89,9 @@ def _near(lines: DataFrame, least_words: int) -> DataFrame:
     deleted = F.transform(F.sequence(F.lit(1), n), lambda j: F.struct(without(j).alias("key"), j.alias("at")))
     whole = F.array(F.struct(F.xxhash64(words).alias("key"), F.lit(0).alias("at")))
     variants = F.when(n >= least_words, F.concat(whole, deleted)).otherwise(whole)
-    rows = lines.select("h1", "h2", "place", n.alias("n"), F.explode(variants).alias("v"))
-    rows = stage(rows.select("h1", "h2", "place", "n", "v.key", "v.at"), "line_variants")
-    shared = _sharing(rows, "key")
+    rows = lines.select("h1", F.explode(variants).alias("v")).select("h1", "v.key", "v.at")
+    rows = _sharing(stage(rows, "line_variants"), "key")
+    shared = stage(rows.join(lines.select("h1", "h2", "place", n.alias("n")), "h1"), "shared_variants")
 
     # rows of one group are near one another: the earliest two are enough for all
     replaced = shared.where("at > 0").withColumn("group", F.xxhash64("key", "n", "at"))
@@ -132,9 +132,9 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     lines = stage(_hashed(documents, least_words), "hashed_lines")
     classes = lines.where("h1 IS NOT NULL").groupBy(*ID).agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
     classes = stage(classes, "line_classes")
-    halves = classes.where("halves IS NOT NULL").select(*ID, F.explode("halves").alias("half"))
-    near = _sharing(halves, "half").select(*ID).distinct()
-    wanted = classes.select(*ID, "place").join(near, [*ID])
+    halves = classes.where("halves IS NOT NULL").select("h1", F.explode("halves").alias("half"))
+    near = _sharing(halves, "half").select("h1").distinct()
+    wanted = classes.select(*ID, "place").join(near, "h1")
     near = _near(stage(_with_words(documents, wanted), "near_lines"), least_words)
     known = classes.select(*ID, "place").join(near, [*ID], "left").select(
         *ID, F.coalesce("near", "place").alias("first"), F.col("near").isNotNull().cast("int").alias("distance")

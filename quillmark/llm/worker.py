@@ -14,11 +14,15 @@ def kept(key: str, make: Callable):
 
     The library travels to the workers by value, so its globals last for one
     task; this lives in the worker's table of modules and so for all of them.
+    Only the last thing asked for is kept: a worker that goes on to another
+    operator lets go of the memory of the one before.
     """
     state = sys.modules.setdefault("quillmark_worker_state", ModuleType("quillmark_worker_state"))
-    if key not in state.__dict__:
-        setattr(state, key, make())
-    return getattr(state, key)
+    if getattr(state, "key", None) != key:
+        state.key = state.value = None
+        state.value = make()
+        state.key = key
+    return state.value
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 import quillmark
 from quillmark.llm import lines, packing, quality, simhash, toxicity
-from quillmark.llm.tokens import encode_texts
 from quillmark.sources.stages import stage
 
 # Python workers need not have the package installed.
@@ -45,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in the packed sequences."""
-    tokens = encode_texts(docs, public_tokenizers.path(TOKENIZER), end_id=2)
-    return packing.pack(packing.stage_pieces(packing.cut(tokens)))
+    pieces = packing.cut_texts(docs, public_tokenizers.path(TOKENIZER), end_id=2)
+    return packing.pack(packing.stage_pieces(pieces))
 
 
 STAGES = [

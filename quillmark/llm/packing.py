@@ -8,16 +8,33 @@ joined back to the pieces by their rank among pieces of the same length.
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm.tokens import encoded
 from quillmark.sources.stages import stage
 
 WINDOW = 4096
 
 
+PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ("doc_id", "start", "length", "doc_tokens", "ids")
+    for batch in batches:
+        rows = []
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+            total = len(ids or b"") // 4
+            for at in range(0, total, window):
+                end = min(at + window, total)
+                rows.append((doc_id, at, end - at, total, ids[4 * at : 4 * end]))
+        columns = zip(*rows) if rows else [()] * 5
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
 def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pieces of at most ``window`` ids: doc_id, start, length, doc_tokens, ids.
 
@@ -25,22 +42,13 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     is left is one more piece; others stay whole. A document without ids has no
     piece. ``ids`` is binary as in ``tokens.encode_texts``.
     """
+    return tokens.select("doc_id", "ids").mapInArrow(lambda batches: _cut(batches, window), PIECE)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                total = len(ids or b"") // 4
-                for at in range(0, total, window):
-                    end = min(at + window, total)
-                    rows.append((doc_id, at, end - at, total, ids[4 * at : 4 * end]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("doc_id", "start", "length", "doc_tokens", "ids")
-            columns = zip(*rows) if rows else [()] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    kinds = "doc_id long, start long, length long, doc_tokens long, ids binary"
-    return tokens.select("doc_id", "ids").mapInArrow(run, kinds)
+def cut_texts(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
+    """``cut`` of ``tokens.encode_texts``, done in one Python step."""
+    run = lambda batches: _cut(encoded(batches, tokenizer, end_id), window)
+    return documents.select("doc_id", "text").mapInArrow(run, PIECE)
 
 
 def patterns(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import binary_search, byte_bpe, lines, near_vectors, packing, quality, simhash, token_files, toxicity, warc
-from quillmark.llm.tokens import encode_texts
 from quillmark.llm.training import remainder
 from quillmark.session import new_path
 from quillmark.sources.stages import stage
@@ -25,8 +24,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    tokens = encode_texts(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
-    packed = packing.pack(packing.stage_pieces(packing.cut(tokens)))
+    pieces = packing.cut_texts(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+    packed = packing.pack(packing.stage_pieces(pieces))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

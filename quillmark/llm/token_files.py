@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import pfor
-from quillmark.llm.tokens import IDS, encode_texts
+from quillmark.llm.tokens import IDS, encoded
 from quillmark.sources.stages import stage
 
 MARK = 0x314B4F54524F4650
@@ -79,7 +79,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        for batch in batches:
+        for batch in encoded(batches, tokenizer, end_id):
             if writer is None and batch.num_rows:
                 part = TaskContext.get().partitionId()
                 path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.pfor"
@@ -91,8 +91,8 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int)
             row = {"file_no": part, "path": path, "n_docs": len(writer.docs), "n_ids": writer.ids}
             yield pa.RecordBatch.from_pylist([row])
 
-    files = encode_texts(ordered, tokenizer, end_id)
-    return stage(files.mapInArrow(run, "file_no long, path string, n_docs long, n_ids long"), "token_files")
+    files = ordered.mapInArrow(run, "file_no long, path string, n_docs long, n_ids long")
+    return stage(files, "token_files")
 
 
 def _documents(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

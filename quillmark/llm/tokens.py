@@ -87,6 +87,16 @@ def encoder(path: str) -> ChunkEncoder:
     return kept(f"chunks {path}", lambda: ChunkEncoder(path))
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of a task's texts; to be followed by more work in the same task,
+    as every further Python step would be another worker with words of its own."""
+    own, last = encoder(tokenizer), np.array([end_id], IDS).tobytes()
+    for batch in slices(batches, 128):
+        ids = [x + last for x in own.encode(texts(batch))]
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())]
+        yield pa.record_batch(columns, ["doc_id", "ids"])
+
+
 def encode_texts(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id and ids of every whole text, with ``end_id`` after the last.
 
@@ -94,15 +104,5 @@ def encode_texts(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame
     text has the end id alone. Other columns are left out; rows are neither
     moved nor merged, so repeated ids and texts each keep their row.
     """
-    last = np.array([end_id], IDS).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
-        for batch in slices(batches, 128):
-            ids = [x + last for x in own.encode(texts(batch))]
-            yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "ids"],
-            )
-
+    run = lambda batches: encoded(batches, tokenizer, end_id)
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")

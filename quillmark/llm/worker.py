@@ -1,8 +1,10 @@
 """Small helpers that run inside Python tasks."""
 
+import ctypes
 import pickle
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from types import ModuleType
 
 import pyarrow as pa
@@ -30,6 +32,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    # a worker waits for its next task with all it ever had, unless it gives back what is free
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -37,6 +37,8 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
+        #: Added tokens in small letters; the library looks for them before it lower-cases.
+        self.added = [x.content.lower() for x in self.library.get_added_tokens_decoder().values()]
         probe = "Ab, c? .1!"
         parts = ["ab", ",", "c", "?", ".1", "!"]
         self.by_chunk = self.whole(probe) == b"".join(map(self.whole, parts))
@@ -46,11 +48,14 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """The chunks of a text, in small letters where that is sure to change no id."""
+        if self.ODD.search(text):
+            return None
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return None if self.ODD.search(text) else text.split()
-        return None if self.ODD.search(text) else text.lower().split()
+            return text.split()
+        lower = text.lower()
+        return text.split() if any(x in lower for x in self.added) else lower.split()
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new chunks; marks behind a word are parted from it, as words recur more."""

@@ -51,6 +51,15 @@ def test_chunks_encode_as_whole_texts():
     assert got == ids_of(WORDS, texts)
 
 
+def test_added_tokens_in_capitals_are_plain_text():
+    """The library looks for them before it lower-cases; only the exact spelling is a control token."""
+    marks = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startOfText|>", "<|endoftext|>", "<|startoftext|>"]
+    texts = [f for m in marks for f in (m, f"A Word{m}, and {m}.", f"{m}{m} <|endoftext|> \xc9mile", f"{m} \u65e5")]
+    got = [np.frombuffer(x, "<u4").tolist() for x in ChunkEncoder(WORDS).encode(texts)]
+    assert got == ids_of(WORDS, texts)
+    assert 49407 not in got[0] and 49407 in got[16]
+
+
 def test_token_files_hold_all_ids_in_order(spark, documents, texts):
     manifest = token_files.write_tokens(documents, new_path(spark, "t"), WORDS, end_id=1)
     rows = token_files.read_tokens(manifest).collect()

@@ -43,9 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in the packed sequences."""
-    pieces = packing.cut_texts(docs, public_tokenizers.path(TOKENIZER), end_id=2)
-    return packing.pack(packing.stage_pieces(pieces))
+    """The pieces of all documents with their place and their ids in the packed sequences, which are written."""
+    return packing.placed_pieces(packing.write_sequences(docs, public_tokenizers.path(TOKENIZER), end_id=2))
 
 
 STAGES = [

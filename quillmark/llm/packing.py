@@ -8,22 +8,29 @@ joined back to the pieces by their rank among pieces of the same length.
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.tokens import encoded
-from quillmark.sources.stages import stage
+from quillmark.llm.tokens import IDS, encoded
+from quillmark.llm.worker import slices
+from quillmark.session import new_path
+from quillmark.sources.stages import restore, stage
 
 WINDOW = 4096
-
+#: Ids below 65,536 take two bytes on their way to a sequence.
+NARROW = np.dtype("<u2")
+#: Rows of counts (a length in a task) that are sent to all executors, about 160 bytes each; more are joined by a shuffle.
+COUNTS = 500_000
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
+NUMBERED_NAMES = ("doc_id", "start", "length", "doc_tokens", "ids", "within")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ("doc_id", "start", "length", "doc_tokens", "ids")
+    names = NUMBERED_NAMES[:-1]
     for batch in batches:
         rows = []
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
@@ -45,10 +52,32 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(lambda batches: _cut(batches, window), PIECE)
 
 
-def cut_texts(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
-    """``cut`` of ``tokens.encode_texts``, done in one Python step."""
-    run = lambda batches: _cut(encoded(batches, tokenizer, end_id), window)
-    return documents.select("doc_id", "text").mapInArrow(run, PIECE)
+def _kept_small(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` for tables of ids, which take much less room so."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return restore(df.sparkSession, path, df.schema)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``within``, the rank among the task's pieces of the same length; ids get two bytes where they fit."""
+    met: dict[int, int] = {}
+    for batch in batches:
+        within, short = [], []
+        for length, raw in zip(batch.column("length").to_pylist(), batch.column("ids").to_pylist()):
+            within.append(met.get(length, 0))
+            met[length] = within[-1] + 1
+            ids = np.frombuffer(raw, IDS)
+            short.append(raw if ids.max() >> 16 else ids.astype(NARROW).tobytes())
+        columns = [batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens")]
+        yield pa.record_batch([*columns, pa.array(short, pa.binary()), pa.array(within, pa.int64())], NUMBERED_NAMES)
+
+
+def number_texts(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
+    """``cut`` of ``tokens.encode_texts`` in one Python step, as a written table; ``within`` ranks a task's pieces of a length."""
+    run = lambda batches: _numbered(_cut(encoded(batches, tokenizer, end_id), window))
+    cut = documents.select("doc_id", "text").mapInArrow(run, f"{PIECE}, within long")
+    return _kept_small(cut.withColumn("part", F.spark_partition_id()), "pieces")
 
 
 def patterns(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
@@ -96,6 +125,13 @@ def slots(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
+def _before(dealt: DataFrame) -> DataFrame:
+    """Per length and part its count, and how many pieces of that length the parts before it have."""
+    counts = dealt.groupBy("length", "part").count()
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+
+
 def ranked(pieces: DataFrame) -> DataFrame:
     """Adds ``rank``, from 0 without gaps among pieces of the same length.
 
@@ -105,9 +141,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
-    counts = dealt.groupBy("length", "part").count()
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    counts = _before(dealt)
     order = Window.partitionBy("length", "part").orderBy(*[c for c in pieces.columns if c != "length"])
     numbered = dealt.withColumn("within", F.row_number().over(order) - 1)
     joined = numbered.join(counts.drop("count"), ["length", "part"])
@@ -122,11 +156,14 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     and filled from offset 0 without gaps. Repeated rows are packed each; a table
     without rows gives none.
     """
-    spark = pieces.sparkSession
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    return _placed(ranked(pieces), pieces.groupBy("length").count(), window)
+
+
+def _placed(numbered: DataFrame, histogram: DataFrame, window: int) -> DataFrame:
+    """Pieces with a rank by their length, as ``pack`` gives them; histogram: length and count."""
     kinds = "length long, rank_from long, rank_to long, sequence_from long, offset long"
-    plan = spark.createDataFrame(slots(patterns(histogram, window)), kinds)
-    numbered = ranked(pieces)
+    counts = {r["length"]: r["count"] for r in histogram.collect()}
+    plan = numbered.sparkSession.createDataFrame(slots(patterns(counts, window)), kinds)
     # at most two patterns per length and a window of slots per pattern: bounded, not by the data
     here = (numbered["length"] == plan["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     placed = numbered.join(F.broadcast(plan), here).drop(plan["length"])
@@ -134,14 +171,62 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return placed.withColumn("sequence_id", sequence).drop("rank", "rank_from", "rank_to", "sequence_from")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences of listed pieces: their ids one behind the other, each again of four bytes."""
+    for batch in slices(batches, 256):
+        ids = []
+        for pieces in batch.column("listed").to_pylist():
+            kinds = (IDS if len(x["ids"]) == 4 * x["length"] else NARROW for x in pieces)
+            ids.append(b"".join(np.frombuffer(x["ids"], kind).astype(IDS).tobytes() for x, kind in zip(pieces, kinds)))
+        names = ["sequence_id", "n_tokens", "pieces"]
+        yield pa.record_batch([*(batch.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
+
+
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed ids themselves: sequence_id, n_tokens, ids (binary, unpadded)."""
-    piece = F.sort_array(F.collect_list(F.struct("offset", "ids")))
-    joined = F.array_join(F.transform(piece, lambda x: F.hex(x["ids"])), "")
-    grouped = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("hexed"))
-    return grouped.select("sequence_id", "n_tokens", F.unhex("hexed").alias("ids"))
+    """The packed ids themselves: sequence_id, n_tokens, pieces, ids (binary, unpadded).
+
+    ``pieces`` lists what a sequence is made of, by offset: offset, length, doc_id, start, doc_tokens.
+    """
+    piece = F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "start", "doc_tokens", "ids")))
+    grouped = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), piece.alias("all"))
+    bare = F.transform("all", lambda x: x.dropFields("ids")).alias("pieces")
+    listed = F.transform("all", lambda x: F.struct(x["length"].alias("length"), x["ids"].alias("ids"))).alias("listed")
+    grouped = grouped.select("sequence_id", "n_tokens", bare, listed)
+    return grouped.mapInArrow(_joined, grouped.drop("listed").schema.add("ids", "binary"))
+
+
+def placed_pieces(packed: DataFrame) -> DataFrame:
+    """The pieces of written ``sequences``, each with its ids as they stand there.
+
+    doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset; length
+    and checksum are of the ids found between a piece's offset and the next one's.
+    """
+    ends = F.transform("pieces", lambda x, n: F.coalesce(F.get("pieces", n + 1)["offset"], F.octet_length("ids") / 4).cast("int"))
+    spots = F.explode(F.arrays_zip(F.col("pieces").alias("piece"), ends.alias("end")))
+    found = packed.select("sequence_id", F.col("ids").alias("all"), spots.alias("spot"))
+    found = found.select("sequence_id", "all", "spot.piece.*", "spot.end")
+    first, size = (F.col("offset") * 4 + 1).cast("int"), ((F.col("end") - F.col("offset")) * 4).cast("int")
+    found = found.withColumn("ids", F.substring("all", first, size))
+    length = (F.octet_length("ids") / 4).cast("long").alias("length")
+    return found.select("doc_id", "start", length, "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def stage_pieces(pieces: DataFrame) -> DataFrame:
-    """Pieces as a written table, with the checksum of their ids in place of the ids."""
-    return stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    """Pieces as a written table, with their ids and the checksum of them."""
+    return stage(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
+
+
+def write_sequences(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
+    """``sequences`` of all texts, encoded and cut, as a written table.
+
+    Pieces are numbered by the counts of the tasks that cut them, so their ids
+    are moved once, to their sequence; twice if there are too many counts.
+    """
+    pieces = number_texts(documents, tokenizer, end_id, window)
+    counts = stage(_before(pieces), "counts")
+    before = counts.drop("count").hint("broadcast" if counts.count() <= COUNTS else "merge")
+    rank = (F.col("before") + F.col("within")).alias("rank")
+    columns = ["doc_id", "start", "length", "doc_tokens", "ids"]
+    numbered = pieces.join(before, ["length", "part"]).select(*columns, rank)
+    histogram = counts.groupBy("length").agg(F.sum("count").alias("count"))
+    return _kept_small(sequences(_placed(numbered, histogram, window)), "sequences")

@@ -24,9 +24,9 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    pieces = packing.cut_texts(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
-    packed = packing.pack(packing.stage_pieces(pieces))
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = packing.write_sequences(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+    placed = packing.placed_pieces(packed)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def _scored(found: DataFrame, score: str, held_out) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quillmark.llm import byte_bpe, packing, pfor, token_files
 from quillmark.llm.queries import QUERIES
 from quillmark.llm.tokens import ChunkEncoder, encode_texts
@@ -151,6 +152,29 @@ def test_sequences_hold_the_ids(spark, documents):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] <= 4 * 512 for r in rows)
 
 
+@pytest.mark.parametrize("most", [packing.COUNTS, 0])
+def test_digests_come_from_written_sequences(spark, documents, sf, monkeypatch, most):
+    """Ids altered in the written sequences show in op2's rows, and the pipeline's last stage keeps the ids."""
+    monkeypatch.setattr(packing, "COUNTS", most)
+    some = documents.where("doc_id < 9")
+    found = corpus_pipeline.pack(spark, some, sf).collect()
+    whole = {}
+    for r in sorted(found, key=lambda r: r["start"]):
+        raw = bytes(r["ids"])
+        assert (len(raw) // 4, zlib.crc32(raw)) == (r["length"], r["ids_crc32"])
+        whole.setdefault((r["doc_id"], r["doc_tokens"]), []).append(raw)
+    kept = {(r["doc_id"], r["text"]) for r in some.collect()}
+    texts = sorted(kept, key=repr)
+    for (doc_id, _), ids in zip(texts, ids_of(WORDS, [t for _, t in texts])):
+        copies = sum(r["doc_id"] == doc_id for r in some.select("doc_id").collect())
+        assert b"".join(whole[doc_id, len(ids) + 1]) == np.array([*ids, 2], "<u4").tobytes() * copies
+    write = packing.write_sequences
+    zeroed = F.expr("unhex(repeat('00', octet_length(ids)))")
+    monkeypatch.setattr(packing, "write_sequences", lambda *a, **b: write(*a, **b).withColumn("ids", zeroed))
+    rows = QUERIES["op2_packing"](spark, sf).collect()
+    assert rows and all(r["ids_crc32"] == zlib.crc32(bytes(4 * r["length"])) for r in rows)
+
+
 def test_patterns_place_all_lengths_and_stay_few():
     rng = random.Random(5)
     histogram = {n: rng.randint(1, 10**6) for n in rng.sample(range(1, 4097), 900)}

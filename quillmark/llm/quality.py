@@ -76,25 +76,44 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     return (sums / np.maximum(length, 1) * weight[:, None]).astype(np.float32)
 
 
+def _merged(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different key, in order, and the sum of its times."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _counted(many: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number times ``BUCKETS`` plus bucket, and how often; all of a text, however long, comes at once."""
+    open_keys, open_times = np.empty(0, np.int64), np.empty(0, np.int64)
+    for group in w.parts(many):
+        found = w.words(group)
+        own = np.concatenate([found.text * BUCKETS + b for b in _buckets(found)])
+        times = np.concatenate([open_times, np.ones(len(own), np.int64)])
+        keys, times = _merged(np.concatenate([open_keys, own]), times)
+        ended = np.searchsorted(keys, group[-1][0] * BUCKETS)  # the last text may go on in the next group
+        open_keys, open_times = keys[ended:], times[ended:]
+        yield keys[:ended], times[:ended]
+    yield open_keys, open_times
+
+
 def pooled(many: list[str], vectors: np.ndarray) -> np.ndarray:
     """Per text: mean vectors of its words and of its different words, their logarithms of number."""
     rows = len(many)
     sums = np.zeros((rows, 2 * WIDTH), np.float64)
     counts = np.zeros((rows, 2))
-    for group in w.parts(many):
-        found = w.words(group)
-        if not len(found.text):
+    for keys, times in _counted(many):
+        if not len(keys):
             continue
-        own, shape = _buckets(found)
-        keys, times = np.unique(np.concatenate([found.text * BUCKETS + b for b in (own, shape)]), return_counts=True)
         text = keys // BUCKETS
         x = vectors[keys % BUCKETS]
         starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         at = text[starts]
-        sums[at, :WIDTH] += np.add.reduceat(x * times[:, None].astype(np.float32), starts)
-        sums[at, WIDTH:] += np.add.reduceat(x, starts)
-        counts[at, 0] += np.add.reduceat(times, starts)
-        counts[at, 1] += np.diff(np.append(starts, len(keys)))
+        sums[at, :WIDTH] = np.add.reduceat(x * times[:, None].astype(np.float32), starts)
+        sums[at, WIDTH:] = np.add.reduceat(x, starts)
+        counts[at, 0] = np.add.reduceat(times, starts)
+        counts[at, 1] = np.diff(np.append(starts, len(keys)))
     means = sums / np.maximum(np.repeat(counts, WIDTH, axis=1), 1)
     return np.hstack([means, np.log1p(counts), np.log1p(counts[:, :1]) - np.log1p(counts[:, 1:])])
 

@@ -78,6 +78,19 @@ def test_words_of_parts():
     assert len(hashes) == 2 and total == 400_002 and len(groups) > 1
 
 
+def test_different_words_of_long_texts_count_once(monkeypatch):
+    """A text looked at in parts has the features of the same text looked at whole."""
+    vectors = np.random.default_rng(2).normal(size=(quality.BUCKETS, quality.WIDTH)).astype(np.float32)
+    short, long = quality.pooled(["one two three " * 2, "one two three " * 250_000], vectors)
+    assert np.allclose(long[: 2 * quality.WIDTH], short[: 2 * quality.WIDTH], atol=1e-4)
+    assert long[-2] == short[-2] and np.isclose(long[-1], np.log1p(1_500_000) - short[-2])
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{n}" for n in rng.integers(0, 50, size)) for size in (3, 900, 0, 700, 1, 40)]
+    whole = quality.pooled(texts, vectors)
+    monkeypatch.setattr(w, "PART", 1000)
+    assert np.allclose(quality.pooled(texts, vectors), whole)
+
+
 # Archives
 
 

@@ -22,7 +22,10 @@ SEGMENTS = 4
 WIDTH = BITS // SEGMENTS
 #: Codes of one segment that a task looks up in at once.
 GROUP = 8192
-LOOKUPS = 1 << 20
+#: Queries that a task looks up in them at once, about.
+ASKED = 1 << 16
+#: Looked-up values, and codes met, that are held at once; of codes up to a group more.
+LOOKUPS = HITS = 1 << 20
 
 
 def codes(embeddings: DataFrame) -> DataFrame:
@@ -63,11 +66,52 @@ def _segments(code: str):
     return F.explode(F.array(*parts))
 
 
+def _look_up(own: pa.Table, asked: pa.Table, radius: int, low: int, k: int) -> pa.Table:
+    """Of one group of codes, those met by the queries: the best k for a query and number of differing lower bits."""
+    names = ["query", "code", "least", "copies", "distance"]
+    out = [[] for _ in names]
+    if own.num_rows and asked.num_rows:
+        order = np.argsort(own["value"].to_numpy() & ((1 << low) - 1), kind="stable")
+        keys = (own["value"].to_numpy() & ((1 << low) - 1))[order]
+        code, least, copies = (own[c].to_numpy()[order] for c in ("code", "least", "copies"))
+        starts = np.searchsorted(keys, np.arange((1 << low) + 1))
+        upper = int(own["upper"][0].as_py())
+        query, bound, value = (asked[c].to_numpy() for c in ("query", "bound", "value"))
+        left = radius - np.bitwise_count((value >> low) ^ upper)
+        for ones in np.unique(left[(left >= 0) & (left <= low)]).tolist():
+            masks, rows = _masks(low, ones), np.flatnonzero(left == ones)
+            step = max(1, LOOKUPS // len(masks))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                spots = (value[some] & ((1 << low) - 1))[:, None] ^ masks
+                sizes = starts[spots + 1] - starts[spots]
+                met = np.cumsum(sizes.sum(axis=1))
+                cuts = np.searchsorted(met, np.arange(HITS, met[-1] + HITS, HITS)) + 1
+                for first, last in zip(np.concatenate([[0], cuts[:-1]]), cuts):  # of a query at most the group's codes
+                    part = sizes[first:last].ravel()
+                    begin = starts[spots[first:last].ravel()]
+                    who = np.repeat(np.repeat(some[first:last], len(masks)), part)
+                    hit = np.repeat(begin - np.cumsum(part) + part, part) + np.arange(part.sum())
+                    differing = (query[who] ^ code[hit]).view(np.uint64)
+                    distance = np.bitwise_count(differing).astype(np.int32)
+                    near = distance <= bound[who]
+                    who, hit, distance = who[near], hit[near], distance[near]
+                    order = np.lexsort((least[hit], distance, query[who]))
+                    who, hit, distance = who[order], hit[order], distance[order]
+                    q = query[who]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    for column, x in zip(out, (q, code[hit], least[hit], copies[hit], distance)):
+                        column.append(x[best])
+    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+    return pa.table({n: np.concatenate([np.empty(0, t), *x]).astype(t) for n, x, t in zip(names, out, kinds)})
+
+
 def _met(index: DataFrame, active: DataFrame, radius: int, high: int, k: int) -> DataFrame:
     """Codes met in one round: query, code, least id, copies, distance; of each task the best k for a query.
 
     Segments are grouped by their ``high`` upper bits; a query goes to each group
-    that is near enough and looks up the other bits there.
+    that is near enough and looks up the other bits there. Both sides of a group
+    are cut: each part of its codes meets each part of its queries.
     """
     low = WIDTH - high
     steps = F.array(*(F.lit(int(m)) for ones in range(min(radius, high) + 1) for m in _masks(high, ones)))
@@ -77,46 +121,20 @@ def _met(index: DataFrame, active: DataFrame, radius: int, high: int, k: int) ->
     )
     upper = F.shiftright("value", low).bitwiseXOR(F.col("step")).cast("int")
     probes = probes.withColumn("upper", upper).drop("step")
+    salts = probes.groupBy("segment", "upper").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("salts"))
     parts = index.groupBy("segment", "upper").agg((F.max("part") + 1).alias("parts"))
-    probes = probes.join(F.broadcast(parts), ["segment", "upper"])  # at most segments * 2**high rows
+    both = stage(parts.join(salts, ["segment", "upper"]), "parts")  # at most segments * 2**high rows
+    probes = probes.join(F.broadcast(both), ["segment", "upper"])
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int")).drop("salts")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    codes = index.join(F.broadcast(both.drop("parts")), ["segment", "upper"])
+    codes = codes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def look_up(own: pa.Table, asked: pa.Table) -> pa.Table:
-        names = ["query", "code", "least", "copies", "distance"]
-        out = [[] for _ in names]
-        if own.num_rows and asked.num_rows:
-            order = np.argsort(own["value"].to_numpy() & ((1 << low) - 1), kind="stable")
-            keys = (own["value"].to_numpy() & ((1 << low) - 1))[order]
-            code, least, copies = (own[c].to_numpy()[order] for c in ("code", "least", "copies"))
-            starts = np.searchsorted(keys, np.arange((1 << low) + 1))
-            upper = int(own["upper"][0].as_py())
-            query, bound, value = (asked[c].to_numpy() for c in ("query", "bound", "value"))
-            left = radius - np.bitwise_count((value >> low) ^ upper)
-            for ones in np.unique(left[(left >= 0) & (left <= low)]).tolist():
-                masks, rows = _masks(low, ones), np.flatnonzero(left == ones)
-                step = max(1, LOOKUPS // len(masks))
-                for at in range(0, len(rows), step):
-                    some = rows[at : at + step]
-                    spots = ((value[some] & ((1 << low) - 1))[:, None] ^ masks).ravel()
-                    sizes = starts[spots + 1] - starts[spots]
-                    who = np.repeat(np.repeat(some, len(masks)), sizes)
-                    hit = np.repeat(starts[spots] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                    differing = (query[who] ^ code[hit]).view(np.uint64)
-                    distance = np.bitwise_count(differing).astype(np.int32)
-                    near = distance <= bound[who]
-                    who, hit, distance = who[near], hit[near], distance[near]
-                    order = np.lexsort((least[hit], distance, query[who]))
-                    who, hit, distance = who[order], hit[order], distance[order]
-                    q = query[who]
-                    first = np.searchsorted(q, q)
-                    best = np.arange(len(q)) - first < k
-                    for column, x in zip(out, (q, code[hit], least[hit], copies[hit], distance)):
-                        column.append(x[best])
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
-        return pa.table({n: np.concatenate([np.empty(0, t), *x]).astype(t) for n, x, t in zip(names, out, kinds)})
+        return _look_up(own, asked, radius, low, k)
 
-    group = ["segment", "upper", "part"]
-    cogroup = index.groupBy(*group).cogroup(probes.groupBy(*group))
+    group = ["segment", "upper", "part", "salt"]
+    cogroup = codes.groupBy(*group).cogroup(probes.groupBy(*group))
     return cogroup.applyInArrow(look_up, "query long, code long, least long, copies int, distance int")
 
 

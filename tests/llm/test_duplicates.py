@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -250,6 +252,48 @@ def test_search_against_all_rows(spark):
     assert {tuple(r) for r in found} == expected and len(found) == len(expected)
 
 
+def near_copies(n):
+    """Codes that are all alike in their lowest segment."""
+    return [(i, int(x) << 16) for i, x in enumerate(np.random.default_rng(4).integers(0, 2**12, n))]
+
+
+def test_many_queries_share_a_segment(spark, monkeypatch):
+    """Both sides of a hot group are cut, and the result is that of plain comparison."""
+    seen = spark.sparkContext.accumulator(0)
+    cogroup = type(spark.range(0).groupBy("id").cogroup(spark.range(0).groupBy("id")))
+    apply = cogroup.applyInArrow
+
+    def watched(self, run, schema):
+        def counting(own, asked):
+            seen.add(int(asked.num_rows > 200))
+            return run(own, asked)
+
+        return apply(self, counting, schema)
+
+    monkeypatch.setattr(cogroup, "applyInArrow", watched)
+    for name, value in (("ASKED", 64), ("GROUP", 64), ("HITS", 500)):
+        monkeypatch.setattr(binary_search, name, value, raising=False)
+    rows = near_copies(400)
+    table = spark.createDataFrame(rows, "id long, code long")
+    found = {tuple(r) for r in binary_search.search(table, table, k=3).collect()}
+    expected = set()
+    for n, c in rows:
+        apart = sorted((c ^ d).bit_count() * 1000 + m for m, d in rows if m != n)[:3]
+        expected |= {(n, i + 1, v % 1000, v // 1000) for i, v in enumerate(apart)}
+    assert found == expected and seen.value == 0
+
+
+def test_hits_are_held_in_bounded_parts(monkeypatch):
+    codes = np.unique([c for _, c in near_copies(6000)])
+    own = pa.table({"code": codes, "least": codes, "copies": np.ones(len(codes), np.int32), "value": codes & 0xFFFF, "upper": np.zeros(len(codes), np.int32)})
+    asked = pa.table({"query": codes, "bound": np.full(len(codes), 64), "value": codes & 0xFFFF})
+    tracemalloc.start()
+    found = binary_search._look_up(own, asked, 0, 16, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 5 * len(codes) and len(codes) ** 2 > 8_000_000 and peak < 150e6
+
+
 def test_search_of_few_or_no_rows(spark):
     table = spark.createDataFrame([(0, 5), (20, 4)], "id long, code long")
     found = {tuple(r) for r in binary_search.search(table, table, k=3).collect()}

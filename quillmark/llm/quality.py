@@ -1,13 +1,13 @@
 """Operator 3: quality by random-indexing word vectors and a small network.
 
-Words are hashed to buckets. Every bucket has a fixed sparse random index vector;
-its word vector is the sum of the index vectors of its neighbours over the whole
-corpus. A document is the mean word vector of its words, and of its different
+Every word, known by its 64-bit hash, has a fixed sparse random index vector; its
+word vector is the sum of the index vectors of its neighbours over the whole
+corpus, kept in a table of all words. A document is the mean word vector of its words, and of its different
 words. A two-layer network gives the score; its temperature is set on labelled
 rows that it was not trained on.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,98 +16,191 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import words as w
-from quillmark.llm.training import label_sample, remainder, summed
+from quillmark.llm.training import label_sample, remainder
 from quillmark.llm.worker import share, slices, texts
+from quillmark.sources.stages import stage
 
-BUCKETS_LOG, WIDTH, ONES, SEED = 13, 64, 4, 11
-BUCKETS = 1 << BUCKETS_LOG
-#: Of these, the last ones stand for how a word is written.
+WIDTH, ONES, SEED = 64, 4, 11
+#: Numbers that stand for how a word is written; others are hashes of words.
 SHAPES = 64
 WINDOW = 2
+#: Rows of words that a task holds before it sums them or sends them on.
+HELD = 300_000
+#: Words and shapes, counted each time, of the texts whose vectors a task holds at once, about.
+CHUNK = 10_000_000
 #: Labelled rows that the network is trained on, at most.
 LABELS = 20_000
 HIDDEN = 48
+SUMS = "word long, count long, sums binary"
 
 
-def _buckets(found: w.Words) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its bucket, and the bucket of its shape: kind, length, capitals."""
-    hashed = (found.hashes() >> np.uint64(64 - BUCKETS_LOG)).astype(np.int64) % (BUCKETS - SHAPES)
+def _keys(found: w.Words) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its 64-bit hash, and the number of its shape: kind, length, capitals."""
     size = found.end - found.begin
     capitals = found.capitals()
     case = np.where(capitals == 0, 0, np.where(capitals == 1, 1, np.where(capitals * 2 > size, 3, 2)))
     length = np.minimum(np.log2(size).astype(np.int64), 3)
-    return hashed, BUCKETS - SHAPES + (found.kind.astype(np.int64) * 4 + case) * 4 + length
+    return found.hashes().view(np.int64), (found.kind.astype(np.int64) * 4 + case) * 4 + length
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """The places and signs of the ones in every bucket's index vector."""
-    rng = np.random.default_rng(SEED)
-    places = rng.random((BUCKETS, WIDTH)).argsort(axis=1)[:, :ONES]
-    return places, rng.integers(0, 2, (BUCKETS, ONES)) * 2 - 1
+def _merged(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Each different key, in order, and the sums of its columns."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return [keys[first], *(np.add.reduceat(c[order], first, axis=0) if len(first) else c for c in columns)]
+
 
+def _sent(keys: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """Rows of sums, in one byte a number where they fit."""
+    small = (np.abs(sums) < 128).all(axis=1).tolist()
+    short, long = sums.astype("<i1"), sums.astype("<i8")
+    data = [(short if s else long)[n].tobytes() for n, s in enumerate(small)]
+    return pa.record_batch([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())], ["word", "count", "sums"])
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """Per bucket the sum of its neighbours' index vectors, and how often it occurs."""
-    places, signs = _index_vectors()
-    sums = np.zeros(BUCKETS * WIDTH)
-    counts = np.zeros(BUCKETS, np.int64)
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sums = np.zeros((batch.num_rows, WIDTH), np.int64)
+    data = batch.column("sums").to_pylist()
+    for kind in ("<i1", "<i8"):
+        rows = [n for n, x in enumerate(data) if len(x) == WIDTH * np.dtype(kind).itemsize]
+        sums[rows] = np.frombuffer(b"".join(data[n] for n in rows), kind).reshape(-1, WIDTH)
+    return batch.column("word").to_numpy(), batch.column("count").to_numpy(), sums
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per word and shape how often it occurs, and the sum of its neighbours' index vectors; a word may come again."""
+    held: list[tuple] = []
     for batch in slices(batches, 256):
         for group in w.parts(texts(batch)):
             found = w.words(group)
-            own, shape = _buckets(found)
-            counts += np.bincount(own, minlength=BUCKETS) + np.bincount(shape, minlength=BUCKETS)
+            own, shape = _keys(found)
+            keys, at, counts = np.unique(np.concatenate([own, shape]), return_inverse=True, return_counts=True)
+            own_at, shape_at = at[: len(own)], at[len(own) :]
+            to, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for apart in range(1, WINDOW + 1):
                 same = found.text[apart:] == found.text[:-apart]
-                left, right = own[:-apart][same], own[apart:][same]
-                for a, b in ((left, right), (right, left), (shape[:-apart][same], right), (shape[apart:][same], left)):
-                    for n in range(ONES):
-                        sums += np.bincount(a * WIDTH + places[b, n], signs[b, n], len(sums))
-    return np.concatenate([sums.astype(np.int64), counts])
-
-
-def word_vectors(documents: DataFrame) -> np.ndarray:
-    """A unit vector for every bucket, from all neighbours in all texts; rare words weigh more."""
-    both = summed(documents.select("text"), _contexts)
-    if not len(both):
-        return np.zeros((BUCKETS, WIDTH), np.float32)
-    sums, counts = both[: BUCKETS * WIDTH].reshape(BUCKETS, WIDTH).astype(float), both[BUCKETS * WIDTH :]
-    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-    weight = 1e-2 / (1e-2 + counts / max(1, counts.sum()))
+                to += [x[same] for x in (own_at[:-apart], own_at[apart:], shape_at[:-apart], shape_at[apart:])]
+                # shapes on either side are given the word on the right
+                of += [x[same] for x in (own[apart:], own[:-apart], own[apart:], own[apart:])]
+            to, of = np.concatenate(to), np.concatenate(of).view(np.uint64)
+            sums = np.zeros(len(keys) * WIDTH)
+            for n in range(ONES):
+                # the index vector is made of the word's hash: a one in each quarter
+                place = n * (WIDTH // ONES) + ((of >> np.uint64(60 - 4 * n)) & np.uint64(15)).astype(np.int64)
+                sign = ((of >> np.uint64(40 + n)) & np.uint64(1)).astype(np.int64) * 2 - 1
+                sums += np.bincount(to * WIDTH + place, sign, len(sums))
+            held.append((keys, counts, sums.astype(np.int32).reshape(-1, WIDTH)))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [tuple(_merged(*map(np.concatenate, zip(*held))))]
+                if len(held[0][0]) > HELD // 2:
+                    yield _sent(*held.pop())
+    if held:
+        yield _sent(*_merged(*map(np.concatenate, zip(*held))))
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows that are ordered by word."""
+    last = None
+    for batch in slices(batches, 4096):
+        rows = _read(batch)
+        found = _merged(*(np.concatenate(x) for x in zip(last, rows)) if last else rows)
+        last = [x[-1:] for x in found]
+        yield _sent(*(x[:-1] for x in found))
+    if last:
+        yield _sent(*last)
+
+
+def word_sums(documents: DataFrame) -> DataFrame:
+    """word, count and sums of the neighbours' index vectors in all texts, as a written table with a row for every word."""
+    met = documents.select("text").mapInArrow(_contexts, SUMS)
+    return stage(met.repartition("word").sortWithinPartitions("word").mapInArrow(_added, SUMS), "words")
+
+
+def _vectors(counts: np.ndarray, sums: np.ndarray, total: int) -> np.ndarray:
+    """Unit vectors of words; rare words weigh more."""
+    length = np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
+    weight = 1e-2 / (1e-2 + counts / max(1, total))
     return (sums / np.maximum(length, 1) * weight[:, None]).astype(np.float32)
 
 
-def _merged(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each different key, in order, and the sum of its times."""
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    return keys[first], np.add.reduceat(times, first) if len(first) else times
+def looked_up(rows: DataFrame, words: DataFrame, work: Callable, schema) -> DataFrame:
+    """What ``work`` makes of batches of rows and of their words and vectors (``pooled`` takes both).
 
+    Rows with doc_id and text are dealt into chunks; every chunk gets the vectors
+    of its own words, which come before its rows.
+    """
+    total = words.agg(F.sum("count")).first()[0] or 0
+    chunks = total // CHUNK + 1
+    names = rows.columns
+    dealt = rows.select(F.struct(*names).alias("row")).withColumn("chunk", F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(chunks)))
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            own, chunk = texts(batch), batch.column("chunk").to_numpy()
+            for n in np.unique(chunk):
+                keys = [np.unique(np.concatenate(_keys(w.words(g)))) for g in w.parts([own[i] for i in np.flatnonzero(chunk == n)])]
+                word = np.unique(np.concatenate(keys))
+                yield pa.record_batch([pa.array(np.full(len(word), n), pa.int64()), pa.array(word, pa.int64())], ["chunk", "word"])
+
+    asked = dealt.select("chunk", F.col("row.text").alias("text")).mapInArrow(different, "chunk long, word long").distinct()
+    given = asked.join(words, "word").select("chunk", "word", "count", "sums")
+    both = given.unionByName(dealt, allowMissingColumns=True)
+    # a chunk's vectors come first
+    both = both.repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNull())
 
-def _counted(many: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Text number times ``BUCKETS`` plus bucket, and how often; all of a text, however long, comes at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, table = None, [], None
+        for batch in slices(batches, 4096):
+            chunk = batch.column("chunk").to_numpy()
+            is_row = batch.column("word").is_null().to_numpy(zero_copy_only=False)
+            marks = chunk * 2 + is_row
+            starts = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(marks)]):
+                part = batch.slice(start, end - start)
+                if chunk[start] != now:
+                    now, held, table = chunk[start], [], None
+                if not is_row[start]:
+                    word, count, sums = _read(part)
+                    held.append((word, _vectors(count, sums, total)))
+                    continue
+                if table is None:
+                    word, vectors = map(np.concatenate, zip(*held)) if held else (np.empty(0, np.int64), np.empty((0, WIDTH), np.float32))
+                    order = np.argsort(word)
+                    table, held = (word[order], vectors[order]), []
+                for some in slices([part], 128):
+                    yield from work(pa.record_batch(some.column("row").flatten(), names), *table)
+
+    return both.mapInArrow(run, schema)
+
+
+def _counted(many: list[str], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number times the number of words plus place of the word, and how often; all of a text, however long, comes at once."""
     open_keys, open_times = np.empty(0, np.int64), np.empty(0, np.int64)
     for group in w.parts(many):
         found = w.words(group)
-        own = np.concatenate([found.text * BUCKETS + b for b in _buckets(found)])
+        own = np.concatenate([found.text * len(words) + np.searchsorted(words, k) for k in _keys(found)])
         times = np.concatenate([open_times, np.ones(len(own), np.int64)])
         keys, times = _merged(np.concatenate([open_keys, own]), times)
-        ended = np.searchsorted(keys, group[-1][0] * BUCKETS)  # the last text may go on in the next group
+        ended = np.searchsorted(keys, group[-1][0] * len(words))  # the last text may go on in the next group
         open_keys, open_times = keys[ended:], times[ended:]
         yield keys[:ended], times[:ended]
     yield open_keys, open_times
 
 
-def pooled(many: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Per text: mean vectors of its words and of its different words, their logarithms of number."""
+def pooled(many: list[str], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Per text: mean vectors of its words and of its different words, their logarithms of number.
+
+    ``words``, in order, holds all words and shapes of the texts.
+    """
     rows = len(many)
     sums = np.zeros((rows, 2 * WIDTH), np.float64)
     counts = np.zeros((rows, 2))
-    for keys, times in _counted(many):
+    for keys, times in _counted(many, words):
         if not len(keys):
             continue
-        text = keys // BUCKETS
-        x = vectors[keys % BUCKETS]
+        text = keys // len(words)
+        x = vectors[keys % len(words)]
         starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         at = text[starts]
         sums[at, :WIDTH] = np.add.reduceat(x * times[:, None].astype(np.float32), starts)
@@ -177,23 +270,21 @@ def _calibrated(network: Network, x: np.ndarray, y: np.ndarray) -> Network:
     return network
 
 
-def train(documents: DataFrame, labels: DataFrame, learn: Column, vectors: np.ndarray, most: int = LABELS) -> Network:
+def train(documents: DataFrame, labels: DataFrame, learn: Column, words: DataFrame, most: int = LABELS) -> Network:
     """Learns from about ``most`` labelled documents at most; every fifth sets the temperature.
 
     Without any label all scores are 1/2; with labels of one kind all are its share.
     """
     sample = label_sample(labels, "quality", learn, most)
-    shared = share(documents.sparkSession, vectors)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = shared()
-        for batch in slices(batches, 128):
-            x = pooled(texts(batch), vectors).astype("<f4")
-            data = pa.array([row.tobytes() for row in x], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), data], ["doc_id", "label", "x"])
+    def run(batch: pa.RecordBatch, words: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = pooled(texts(batch), words, vectors).astype("<f4")
+        data = pa.array([row.tobytes() for row in x], pa.binary())
+        yield pa.record_batch([batch.column("doc_id"), batch.column("label"), data], ["doc_id", "label", "x"])
 
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = known.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x binary").toArrow()
+    known = known.select("doc_id", "label", "text")
+    rows = looked_up(known, words, run, "doc_id long, label int, x binary").toArrow()
     size = 2 * WIDTH + 3
     if not rows.num_rows:
         return Network(np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), 0.0)
@@ -205,23 +296,21 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, vectors: np.nd
     return _calibrated(_fit(x[~held], y[~held]), x[held], y[held])
 
 
-def score(documents: DataFrame, network: Network, vectors: np.ndarray) -> DataFrame:
+def score(documents: DataFrame, network: Network, words: DataFrame) -> DataFrame:
     """All columns of the documents and ``quality_score``, 0 to 1; a null text scores as an empty one.
 
     A column of that name is replaced.
     """
-    shared = share(documents.sparkSession, (network, vectors))
+    shared = share(documents.sparkSession, network)
     names = [c for c in documents.columns if c != "quality_score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, vectors = shared()
-        for batch in slices(batches, 128):
-            # rounded, so that equal texts score alike in batches of any size
-            found = pa.array(network.scores(pooled(texts(batch), vectors)).round(9), pa.float64())
-            yield pa.record_batch([*(batch.column(c) for c in names), found], [*names, "quality_score"])
+    def run(batch: pa.RecordBatch, words: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # rounded, so that equal texts score alike in batches of any size
+        found = pa.array(shared().scores(pooled(texts(batch), words, vectors)).round(9), pa.float64())
+        yield pa.record_batch([*(batch.column(c) for c in names), found], [*names, "quality_score"])
 
     kept_columns = documents.select(*names)
-    return kept_columns.mapInArrow(run, kept_columns.withColumn("quality_score", F.lit(0.5).cast("double")).schema)
+    return looked_up(kept_columns, words, run, kept_columns.withColumn("quality_score", F.lit(0.5).cast("double")).schema)
 
 
 def quality(documents: DataFrame, labels: DataFrame, held_out_by: int = 3, held_out: int = 1) -> DataFrame:
@@ -230,6 +319,6 @@ def quality(documents: DataFrame, labels: DataFrame, held_out_by: int = 3, held_
     Word vectors are counted over all documents. Labels are learnt only of ids
     whose crc32 as text, modulo ``held_out_by``, is not ``held_out``.
     """
-    vectors = word_vectors(documents)
+    words = word_sums(documents)
     learn = remainder("doc_id", held_out_by) != held_out
-    return score(documents, train(documents, labels, learn, vectors), vectors)
+    return score(documents, train(documents, labels, learn, words), words)

@@ -78,17 +78,42 @@ def test_words_of_parts():
     assert len(hashes) == 2 and total == 400_002 and len(groups) > 1
 
 
+def known_words(texts):
+    """All words and shapes of the texts, in order, and a vector for each."""
+    keys = np.unique(np.concatenate([k for g in w.parts(texts) for k in quality._keys(w.words(g))]))
+    return keys, np.random.default_rng(2).normal(size=(len(keys), quality.WIDTH)).astype(np.float32)
+
+
 def test_different_words_of_long_texts_count_once(monkeypatch):
     """A text looked at in parts has the features of the same text looked at whole."""
-    vectors = np.random.default_rng(2).normal(size=(quality.BUCKETS, quality.WIDTH)).astype(np.float32)
-    short, long = quality.pooled(["one two three " * 2, "one two three " * 250_000], vectors)
+    texts = ["one two three " * 2, "one two three " * 250_000]
+    short, long = quality.pooled(texts, *known_words(texts))
     assert np.allclose(long[: 2 * quality.WIDTH], short[: 2 * quality.WIDTH], atol=1e-4)
     assert long[-2] == short[-2] and np.isclose(long[-1], np.log1p(1_500_000) - short[-2])
     rng = np.random.default_rng(3)
     texts = [" ".join(f"word{n}" for n in rng.integers(0, 50, size)) for size in (3, 900, 0, 700, 1, 40)]
-    whole = quality.pooled(texts, vectors)
+    known = known_words(texts)
+    whole = quality.pooled(texts, *known)
     monkeypatch.setattr(w, "PART", 1000)
-    assert np.allclose(quality.pooled(texts, vectors), whole)
+    assert np.allclose(quality.pooled(texts, *known), whole)
+
+
+def test_every_word_has_a_vector_of_its_own(spark, monkeypatch):
+    """No two words share a count or a vector, and neither depends on how texts are dealt out."""
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    names = ["x" + "".join(letters[[n // 8000, n // 400 % 20, n // 20 % 20, n % 20]]) for n in range(20_000)]
+    docs = spark.createDataFrame([(n, " ".join(names[n : n + 6])) for n in range(0, 20_000, 5)], "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    scores = lambda: sorted((r["doc_id"], r["quality_score"]) for r in quality.quality(docs, labels).collect())
+    plain = quality.word_sums(docs).where("word NOT BETWEEN 0 AND 63")
+    assert plain.count() == 20_000 and plain.agg(F.max("count")).first()[0] == 2
+    scored = scores()
+    for name, value in (("HELD", 300), ("CHUNK", 5_000)):
+        monkeypatch.setattr(quality, name, value)
+    again = quality.word_sums(docs).where("word NOT BETWEEN 0 AND 63")
+    read = lambda df: {r["word"]: (r["count"], bytes(r["sums"])) for r in df.collect()}
+    assert read(plain) == read(again)
+    assert np.allclose([s for _, s in scored], [s for _, s in scores()], atol=1e-6)
 
 
 # Archives

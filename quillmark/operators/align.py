@@ -1,6 +1,6 @@
 """Bring answers and items together."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators.items import cast_text, is_answered
@@ -53,11 +53,19 @@ def rejected_answers(
     rejected = nameless.unionByName(strays)
     if scored is None:
         return rejected
-    graded = scored.select(*SLOT, F.col("student_solution").alias("_graded"))
     text = F.coalesce("student_solution", F.lit(""))
-    first = Window.partitionBy(*SLOT).orderBy((text == F.col("_graded")).desc(), text)
-    others = known_answers(answers).join(graded, SLOT).withColumn("_rank", F.row_number().over(first))
-    others = others.where("_rank > 1").drop("_rank", "_graded")
+    # equal rows are counted, so all below is added up before it is shuffled, however many answers a slot has
+    rows = known_answers(answers).groupBy(*answers.columns).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_key", F.md5(F.to_json(F.struct(*answers.columns)).cast("binary")))
+    digest = F.md5(text.cast("binary")).alias("_text")
+    graded = scored.select(*SLOT, F.md5(F.col("student_solution").cast("binary")).alias("_text")).distinct()
+    same = rows.select(*SLOT, "_key", digest).join(graded, [*SLOT, "_text"]).groupBy(*SLOT).agg(F.min("_key").alias("_same"))
+    least = rows.groupBy(*SLOT).agg(F.min(F.struct(text.alias("text"), "_key"))["_key"].alias("_least"))
+    kept = graded.select(*SLOT).distinct().join(least, SLOT).join(same, SLOT, "left")
+    kept = kept.select(*SLOT, F.coalesce("_same", "_least").alias("_kept"))
+    others = rows.join(kept, SLOT).withColumn("_n", F.col("_n") - (F.col("_key") == F.col("_kept")).cast("int"))
+    others = others.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), "_n")))
+    others = others.select(*answers.columns)
     return rejected.unionByName(others.withColumn("reason", F.lit("another answer is graded")))
 
 

@@ -95,6 +95,22 @@ def test_rows_that_cannot_be_graded_are_set_aside(spark):
     assert {r.student_id for r in got.collect()} == {"s"}
 
 
+def test_one_answer_of_a_crowded_slot_is_left_out(spark, plan_of):
+    """Equal copies are rejected but one, and no task sorts the answers of a slot."""
+    texts = ["b", "a", "b", "b", None, "", "c"] * 30
+    rows = [("e", "s", 1, "n", t) for t in texts] + [("e", "t", 1, "n", t) for t in ("y", "x")] + [("e", "u", 1, "n", "z")]
+    given = spark.createDataFrame(rows, "exam_id string, student_id string, q_no int, first_name string, student_solution string")
+    one = spark.createDataFrame([("e", 1)], "exam_id string, q_no int")
+    best = [("e", "s", 1, "b"), ("e", "t", 1, "not there"), ("e", "u", 1, "z")]
+    scored = spark.createDataFrame(best, "exam_id string, student_id string, q_no int, student_solution string")
+    rejected = align.rejected_answers(given, one, scored)
+    assert "Window" not in plan_of(rejected)
+    got = sorted((r.student_id, r.student_solution) for r in rejected.collect() if r.student_solution is not None)
+    left = [("s", t) for t in texts if t is not None] + [("t", "y")]
+    left.remove(("s", "b"))
+    assert got == sorted(left) and rejected.where("student_solution is null").count() == 30
+
+
 def test_every_answer_is_graded_or_rejected(spark):
     """Two students without an id stay two rejects; of two papers the better answers are graded."""
     given = answers(

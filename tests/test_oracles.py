@@ -18,12 +18,10 @@ TYPES = {
 
 
 @pytest.fixture(scope="module")
-def duck():
-    from conftest import SF
-
+def duck(sf):
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return con
 
 

@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import binary_search, byte_bpe, lines, near_vectors, packing, quality, simhash, token_files, toxicity, warc
+from quillmark.llm import (
+    best_fit, binary_search, byte_bpe, lines, near_vectors, packing, periodic, quality, simhash, spelling, token_files, toxicity, warc,
+)
 from quillmark.llm.training import remainder
 from quillmark.session import new_path
 from quillmark.sources.stages import stage
@@ -108,6 +110,51 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of all words of the corpus, with one letter left out of about one run in 199."""
+    runs = spelling.runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "run").cast("binary"))
+    gone = F.pmod(h, F.length("run").cast("long")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), gone), F.substring("run", gone + 2, F.length("run")))
+    runs = runs.select(F.when(h % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.frequent(runs, least_letters=6, least=5), times=5)
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    packed = best_fit.write_sequences(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+    return best_fit.placed_pieces(packed).drop("ids")
+
+
+def _with_repeats(documents: DataFrame) -> DataFrame:
+    """Every tenth document, by the checksum of its id, repeats a stretch of its words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(periodic.WORD), F.lit(0))
+    rows = documents.select("doc_id", "text", h.alias("h")).withColumn("own", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("own"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", F.when(n > 0, F.pmod(g, n)).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    again = F.transform("own", lambda w, i: F.get("own", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_repeats(_table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    by_length = F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    found = found.withColumn("best", F.array_max(by_length))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.n div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,5 +168,8 @@ QUERIES = {
         op8_lines,
         op9_near_vectors,
         op10_warc,
+        op11_spelling,
+        op12_best_fit,
+        op13_periodic_runs,
     )
 }

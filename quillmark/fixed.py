@@ -52,11 +52,6 @@ NOT_ANSWERED = "Question has not been answered"
 GENERATION = {"top_k": 3, "top_p": 0.5, "temperature": 0.5}
 PROMPT_TOKENS = 924
 
-# Where a student's name and id stand on a paper.
-FIRST_NAME_FIELD = rf"(?s){END_FIRST_NAME}(.*?){FRONT_SURNAME}"
-SURNAME_FIELD = rf"(?s){END_SURNAME}(.*?){FRONT_STUDENT_ID}"
-STUDENT_ID_FIELD = rf"(?s){END_STUDENT_ID}(.*?){FRONT_QUESTION} 1(?!\d)"
-
 # First number in a reply.
 NUMBER = r"[-+]?\d*\.\d+|\d+"
 

@@ -1,5 +1,12 @@
-"""Marked-up papers to rows. Each paper is read inside its own row: nothing is
-shuffled, and a question's fields meet by number, not by a join."""
+"""Marked-up papers to rows by one scan for marks.
+
+A paper is cut once, in front of every mark, so each part begins with a mark and
+ends before the next one. A field is the part behind the mark that opens it, and
+it is whole if the next mark is the one that closes it. So a broken mark costs the
+field it belongs to and no other, and no field swallows another one. All of this
+happens inside the paper's row: nothing is shuffled, and a question's fields meet
+by number, not by a join.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,43 +15,95 @@ from quillmark import fixed
 from quillmark.functions.text import remove, strip
 from quillmark.schemas import ANSWER, ITEM, conform
 
-# A mark's number has to be the whole number: 1 is not the 1 of 10.
-_BETWEEN = r"(?s){end} (\d+)(?!\d)(.*?){front} \1(?!\d)"
-
-QUESTION = _BETWEEN.format(end=fixed.END_QUESTION, front=fixed.FRONT_ANSWER)
-SAMPLE = _BETWEEN.format(end=fixed.END_ANSWER, front=fixed.FRONT_ALTERNATIVE)
-ALTERNATIVE = _BETWEEN.format(end=fixed.END_ALTERNATIVE, front=fixed.FRONT_POINTS)
-ANSWERED = _BETWEEN.format(end=fixed.END_ANSWER, front=fixed.FRONT_POINTS)
-POINTS = rf"(?s){fixed.END_POINTS} (\d+)(?!\d)\s*(\d+(?:\.\d+)?)"
-# Any mark of a question that carries its number.
-NUMBERED = "(?:{}) (\\d{{1,6}})(?!\\d)"
-ASKED = NUMBERED.format(fixed.END_QUESTION)
-MARKED = NUMBERED.format("|".join((fixed.END_QUESTION, fixed.FRONT_ANSWER, fixed.END_ANSWER, fixed.FRONT_POINTS)))
+_PLAIN = "|".join((
+    fixed.FRONT_FIRST_NAME, fixed.END_FIRST_NAME, fixed.FRONT_SURNAME, fixed.END_SURNAME,
+    fixed.FRONT_STUDENT_ID, fixed.END_STUDENT_ID,
+))
+_NUMBERED = "|".join((
+    fixed.FRONT_QUESTION, fixed.END_QUESTION, fixed.FRONT_ANSWER, fixed.END_ANSWER,
+    fixed.FRONT_ALTERNATIVE, fixed.END_ALTERNATIVE, fixed.FRONT_POINTS, fixed.END_POINTS,
+))
+# A mark's number is the whole number: 1 is not the 1 of 10.
+MARK = rf"(?:{_PLAIN}|(?:{_NUMBERED}) \d+)"
+#: A question's number; longer ones are no numbers of questions.
+NUMBER = r"^\d{1,6}$"
+POINTS = r"^\s*(\d+(?:\.\d+)?)"
+
+#: The mark that opens a field, and the one that closes it.
+FIELDS = {
+    "question": (fixed.END_QUESTION, fixed.FRONT_ANSWER),
+    "sample_solution": (fixed.END_ANSWER, fixed.FRONT_ALTERNATIVE),
+    "alternative_solution": (fixed.END_ALTERNATIVE, fixed.FRONT_POINTS),
+    "answer": (fixed.END_ANSWER, fixed.FRONT_POINTS),
+    "first_name": (fixed.END_FIRST_NAME, fixed.FRONT_SURNAME),
+    "surname": (fixed.END_SURNAME, fixed.FRONT_STUDENT_ID),
+    "student_id": (fixed.END_STUDENT_ID, fixed.FRONT_QUESTION),
+}
+
+
+def scan_marks(docs: DataFrame) -> DataFrame:
+    """Adds ``_marks``, all marks of the text in their order: kind, k (the number
+    as it is written, empty for marks without), and text, what stands up to the next mark.
+
+    A null or empty text has none.
+    """
+    parts = F.split(F.coalesce("text", F.lit("")), f"(?={MARK})")
+    headed = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, f"^{MARK}", 0).alias("head"), p.alias("part")))
+    marks = F.transform(
+        F.filter(headed, lambda x: x["head"] != ""),
+        lambda x: F.struct(
+            F.substring_index(x["head"], " ", 1).alias("kind"),
+            F.regexp_extract(x["head"], r" (\d+)$", 1).alias("k"),
+            F.substring(x["part"], F.length(x["head"]) + 1, F.length(x["part"])).alias("text"),
+        ),
+    )
+    return docs.withColumn("_marks", marks)
 
 
-def _parts(pattern: str, group: int) -> Column:
-    return F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+def _closed(at: Column, closing: str) -> Column:
+    """Whether the mark behind place ``at`` is that one, of the same number; a mark
+    without number is closed by the first question's."""
+    here, behind = F.get("_marks", at), F.get("_marks", at + 1)
+    k = F.when(here["k"] != "", here["k"]).when(behind["k"] != "", F.lit("1")).otherwise(F.lit(""))
+    return F.coalesce((behind["kind"] == closing) & (behind["k"] == k), F.lit(False))
 
 
-def _with_fields(docs: DataFrame, **patterns: str) -> DataFrame:
-    """Adds, per field, the numbers found (latest first) and the texts found."""
-    for name, pattern in patterns.items():
-        docs = docs.withColumns(
-            {f"_{name}_k": F.reverse(_parts(pattern, 1)), f"_{name}": F.reverse(_parts(pattern, 2))}
+def _with_fields(docs: DataFrame, *names: str, unclosed: bool = False) -> DataFrame:
+    """Adds, per field, the whole ones found, latest first: k and text. With
+    ``unclosed`` those that no mark closes are there too, behind all whole ones."""
+    for name in names:
+        opening, closing = FIELDS[name]
+        opened = F.filter(
+            F.transform("_marks", lambda m, i: F.struct(m["kind"].alias("kind"), m["k"].alias("k"), m["text"].alias("text"), _closed(i, closing).alias("closed"))),  # noqa: B023
+            lambda m: m["kind"] == opening,  # noqa: B023
         )
+        docs = docs.withColumn(f"_{name}_all", F.reverse(opened))
+        found = F.filter(f"_{name}_all", lambda m: m["closed"])
+        if unclosed:
+            found = F.concat(found, F.filter(f"_{name}_all", lambda m: ~m["closed"]))
+        docs = docs.withColumn(f"_{name}", found).drop(f"_{name}_all")
     return docs
 
 
+def _with_points(docs: DataFrame) -> DataFrame:
+    """Adds the points found, latest first: the number behind the mark."""
+    points = F.transform(
+        F.filter("_marks", lambda m: m["kind"] == fixed.END_POINTS),
+        lambda m: F.struct(m["k"].alias("k"), F.regexp_extract(m["text"], POINTS, 1).alias("text")),
+    )
+    return docs.withColumn("_points", F.reverse(F.filter(points, lambda m: m["text"] != "")))
+
+
 def _field(name: str) -> Column:
-    """Text of the last place with the number ``q_no``; null if there is none."""
-    at = F.array_position(F.col(f"_{name}_k"), F.col("q_no").cast("string"))
-    return strip(F.get(F.col(f"_{name}"), at.cast("int") - 1))
+    """Text of the last field with the number ``q_no``; null if there is none."""
+    at = F.array_position(F.col(f"_{name}.k"), F.col("q_no").cast("string"))
+    return strip(F.get(F.col(f"_{name}.text"), at.cast("int") - 1))
 
 
-def _numbers(*names: str) -> Column:
-    """All question numbers any of those fields has."""
-    found = F.array_distinct(F.concat(*[F.col(f"_{n}_k") for n in names]))
-    return F.explode(F.transform(found, lambda k: k.try_cast("int")))
+def _numbers(written: Column) -> Column:
+    """The different question numbers among those."""
+    numbers = F.filter(F.array_distinct(written), lambda k: k.rlike(NUMBER))
+    return F.transform(numbers, lambda k: k.cast("int"))
 
 
 def _exam(docs: DataFrame, exam: str | None = None) -> DataFrame:
@@ -56,75 +115,98 @@ def _exam(docs: DataFrame, exam: str | None = None) -> DataFrame:
     return docs.withColumn("exam_id", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
 
 
-def _one_field(docs: DataFrame, name: str, pattern: str) -> DataFrame:
-    rows = _with_fields(_exam(docs), **{name: pattern}).withColumn("q_no", _numbers(name))
+def _one_field(docs: DataFrame, name: str) -> DataFrame:
+    marked = scan_marks(_exam(docs))
+    rows = _with_points(marked) if name == "points" else _with_fields(marked, name)
+    rows = rows.withColumn("q_no", F.explode(_numbers(F.col(f"_{name}.k"))))
     return rows.select("exam_id", "path", "q_no", _field(name).alias(name))
 
 
 def extract_questions(docs: DataFrame) -> DataFrame:
-    return _one_field(docs, "question", QUESTION)
+    return _one_field(docs, "question")
 
 
 def extract_sample(docs: DataFrame) -> DataFrame:
-    return _one_field(docs, "sample_solution", SAMPLE)
+    return _one_field(docs, "sample_solution")
 
 
 def extract_alternative(docs: DataFrame) -> DataFrame:
-    return _one_field(docs, "alternative_solution", ALTERNATIVE)
+    return _one_field(docs, "alternative_solution")
 
 
 def extract_points(docs: DataFrame) -> DataFrame:
-    return _one_field(docs, "points", POINTS).withColumn("points", F.col("points").try_cast("double"))
+    return _one_field(docs, "points").withColumn("points", F.col("points").try_cast("double"))
+
+
+def _with_identity(docs: DataFrame) -> DataFrame:
+    """The last whole field of each; one that no mark closes ends with its line, as
+    the label of a question whose mark is broken may stand below."""
+    names = ("first_name", "surname", "student_id")
+    rows = _with_fields(docs, *names, unclosed=True)
+    for name in names:
+        found = F.get(F.col(f"_{name}"), F.lit(0))
+        line = F.regexp_extract(found["text"], r"^[^\r\n]*", 0)
+        rows = rows.withColumn(f"_{name}", strip(remove(F.when(found["closed"], found["text"]).otherwise(line), ":")))
+    return rows.withColumns({name: F.col(f"_{name}") for name in names}).drop(*(f"_{name}" for name in names))
 
 
 def extract_identity(docs: DataFrame, exam: str | None = None) -> DataFrame:
     """First name, surname and student id of each paper; null where not found."""
-    last = lambda p: strip(remove(F.try_element_at(_parts(p, 1), F.lit(-1)), ":"))
-    return _exam(docs, exam).withColumns(
-        {
-            "first_name": last(fixed.FIRST_NAME_FIELD),
-            "surname": last(fixed.SURNAME_FIELD),
-            "student_id": last(fixed.STUDENT_ID_FIELD),
-        }
-    )
+    return _with_identity(scan_marks(_exam(docs, exam))).drop("_marks")
+
+
+def _handed_in() -> Column:
+    """Whether a paper is a student's: a teacher's has marks for alternative solutions."""
+    teachers = (fixed.FRONT_ALTERNATIVE, fixed.END_ALTERNATIVE)
+    return ~F.exists("_marks", lambda m: m["kind"].isin(*teachers))
+
+
+def _asked() -> Column:
+    labels = F.filter("_marks", lambda m: m["kind"] == fixed.END_QUESTION)
+    return F.size(_numbers(F.transform(labels, lambda m: m["k"])))
 
 
 def count_questions(docs: DataFrame) -> DataFrame:
     """Adds ``n_questions``, the different questions of a student's paper; a
     teacher's paper, which has places for alternative solutions, has none."""
-    numbers = F.array_distinct(_parts(ASKED, 1))
-    handed_in = ~F.contains("text", F.lit(fixed.FRONT_ALTERNATIVE))
-    return docs.withColumn("n_questions", F.when(handed_in, F.size(numbers)).otherwise(F.lit(0)))
+    rows = scan_marks(docs)
+    return rows.withColumn("n_questions", F.when(_handed_in(), _asked()).otherwise(F.lit(0))).drop("_marks")
 
 
-def _answer_rows(docs: DataFrame) -> DataFrame:
+def _answer_rows(marked: DataFrame, unclosed: bool) -> DataFrame:
     """One row per question of each student's paper, with its answer.
 
     A question is there if any of its marks is, so a broken label hides neither
-    the question nor those behind it.
+    the question nor those behind it, and a paper whose labels are all broken
+    still has its answers.
     """
-    n = F.col("n_questions")
-    rows = _with_fields(count_questions(docs), answer=ANSWERED)
-    named = F.transform(_parts(MARKED, 1), lambda k: k.cast("int"))
-    numbers = F.array_union(F.sequence(F.lit(1), n), F.filter(named, lambda k: k > 0))
-    rows = rows.withColumn("q_no", F.explode(F.when(n > 0, numbers)))
-    return rows.withColumn("student_solution", _field("answer"))
-
-
-def extract_answers(docs: DataFrame) -> DataFrame:
-    """Answer to each question of each paper; null where its marks are broken."""
-    return _answer_rows(_exam(docs)).select("exam_id", "path", "q_no", "student_solution")
+    rows = _with_fields(marked, "answer", unclosed=unclosed).withColumn("n_questions", _asked())
+    named = F.filter(_numbers(F.col("_marks.k")), lambda k: k > 0)
+    counted = F.when(F.col("n_questions") > 0, F.sequence(F.lit(1), F.col("n_questions"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("q_no", F.explode(F.when(_handed_in(), F.array_union(counted, named))))
+    answer = _field("answer")
+    if unclosed:
+        # where its front mark is broken, the label of the points stands at the end
+        answer = strip(F.regexp_replace(answer, rf"{fixed.POINTS_LABEL.format(k=r'\d+').strip()}$", ""))
+    return rows.withColumn("student_solution", answer)
+
+
+def extract_answers(docs: DataFrame, keep_unclosed: bool = False) -> DataFrame:
+    """Answer to each question of each paper; null where its own marks are broken.
+
+    With ``keep_unclosed`` an answer whose closing mark alone is broken is what
+    stands up to the next mark.
+    """
+    rows = _answer_rows(scan_marks(_exam(docs)), keep_unclosed)
+    return rows.select("exam_id", "path", "q_no", "student_solution")
 
 
 def extract_items(docs: DataFrame, exam: str | None = None) -> DataFrame:
     """Item table from teachers' papers, all of one ``exam`` if it is named."""
-    rows = _with_fields(
-        _exam(docs, exam),
-        question=QUESTION,
-        sample_solution=SAMPLE,
-        alternative_solution=ALTERNATIVE,
-        points=POINTS,
-    ).withColumn("q_no", _numbers("question", "sample_solution", "points"))
+    rows = _with_points(scan_marks(_exam(docs, exam)))
+    rows = _with_fields(rows, "question", "sample_solution", "alternative_solution")
+    written = F.concat(F.col("_question.k"), F.col("_sample_solution.k"), F.col("_points.k"))
+    rows = rows.withColumn("q_no", F.explode(_numbers(written)))
     names = ("question", "sample_solution", "alternative_solution", "points")
     return conform(
         rows.select("exam_id", "q_no", *[_field(n).alias(n) for n in names]).withColumns(
@@ -137,6 +219,6 @@ def extract_items(docs: DataFrame, exam: str | None = None) -> DataFrame:
     )
 
 
-def extract_student_table(docs: DataFrame, exam: str | None = None) -> DataFrame:
-    """Answer table from students' papers, all of one ``exam`` if it is named."""
-    return conform(_answer_rows(extract_identity(docs, exam)), ANSWER)
+def extract_student_table(docs: DataFrame, exam: str | None = None, keep_unclosed: bool = False) -> DataFrame:
+    """Answer table from students' papers, all of one ``exam`` if it is named; see ``extract_answers``."""
+    return conform(_answer_rows(_with_identity(scan_marks(_exam(docs, exam))), keep_unclosed), ANSWER)

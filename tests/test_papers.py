@@ -1,3 +1,5 @@
+import itertools
+
 from pyspark.sql import functions as F
 
 from quillmark.catalog.bindings import packed
@@ -202,3 +204,70 @@ def test_a_run_leaves_nothing_behind(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert not new_path(spark, "x").startswith(folder)
+
+
+QUESTION_LABELS = ("front_QU35T10N {k} ", "Question {k}:", "end_QU35T10N {k}")
+
+
+def test_answers_outlive_any_broken_labels(spark):
+    """Every set of broken question marks and labels, a paper of one question included."""
+    docs, expected = [], {}
+    for n in (1, 2, 3):
+        text = broken_paper(spark, 9).first().text
+        if n < 3:
+            text = text[: text.index(f"front_QU35T10N {n + 1}")]
+        for part in range(1, 8):
+            for hurt in itertools.product((False, True), repeat=n):
+                bad = text
+                for k in (k for k, h in enumerate(hurt, 1) if h):
+                    for bit, mark in enumerate(QUESTION_LABELS):
+                        if part >> bit & 1:
+                            bad = bad.replace(mark.format(k=k), "?")
+                path = f"x/E1/{n}-{part}-{''.join(map(str, map(int, hurt)))}.docx"
+                docs.append((path, bad))
+                expected[path] = {k: f"answer {k}" for k in range(1, n + 1)}
+    docs = spark.createDataFrame(docs, "path string, text string")
+    got = {}
+    for r in extract.extract_answers(docs).collect():
+        got.setdefault(r.path, {})[r.q_no] = r.student_solution
+    assert got == expected
+    names = extract.extract_student_table(docs).select("student_id", "first_name", "surname").distinct().collect()
+    assert [tuple(r) for r in names] == [("007", "Ann", "Lee")]
+
+
+def test_a_field_without_its_closing_mark_swallows_nothing(spark):
+    """The paper stands twice in the text, and the first time the points' front mark of question 2 is broken."""
+    text = broken_paper(spark, 9).first().text
+    first = text.replace("front_P01NT5 2", "")
+    docs = spark.createDataFrame([("x/E1/a.docx", first + "\n" + text), ("x/E1/b.docx", first)], "path string, text string")
+    got = {(r.path[-6], r.q_no): r.student_solution for r in extract.extract_answers(docs).collect()}
+    assert got == {("a", 1): "answer 1", ("a", 2): "answer 2", ("a", 3): "answer 3", ("b", 1): "answer 1", ("b", 2): None, ("b", 3): "answer 3"}
+    kept = {(r.path[-6], r.q_no): r.student_solution for r in extract.extract_answers(docs, keep_unclosed=True).collect()}
+    assert kept == {(p, k): f"answer {k}" for p in "ab" for k in (1, 2, 3)}
+
+
+def test_a_broken_field_of_an_item_costs_only_itself(spark):
+    text = render.render_teacher(exam(spark, 2)).first().text
+    fields = {"question": "front_4N5W3R 1", "sample_solution": "front_41T 1", "alternative_solution": "front_P01NT5 1", "points": "end_P01NT5 1"}
+    for name, mark in fields.items():
+        docs = spark.createDataFrame([("x/E1/t.docx", text.replace(mark, ""))], "path string, text string")
+        whole = {r.q_no: r.asDict() for r in exam(spark, 2).collect()}
+        got = {r.q_no: r.asDict() for r in extract.extract_items(docs).collect()}
+        whole[1][name] = "" if name == "alternative_solution" else None
+        assert got == whole
+
+
+def test_odd_papers(spark):
+    docs = spark.createDataFrame(
+        [("x/E/1", None), ("x/E/2", ""), ("x/E/3", "no marks"), ("x/E/4", "end_4N5W3R 1"), ("x/E/5", "end_4N5W3R 1a front_P01NT5 1"),
+         ("x/E/6", "end_4N5W3R 12345678901 a front_P01NT5 12345678901"), ("x/E/7", "end_4N5W3R 0 a front_P01NT5 0")],
+        "path string, text string",
+    )
+    assert [tuple(r)[1:] for r in extract.extract_answers(docs).collect()] == [("x/E/4", 1, None), ("x/E/5", 1, "a")]
+    assert extract.extract_identity(docs).where("student_id IS NULL").count() == 7
+
+
+def test_a_paper_is_scanned_once(spark, plan_of):
+    docs = spark.createDataFrame([("x/E/1.docx", "t")], "path string, text string")
+    for df in (extract.extract_items(docs), extract.extract_student_table(docs), extract.extract_answers(docs)):
+        assert plan_of(df).count(f"split(coalesce(text") == 1

@@ -543,6 +543,9 @@ ORACLES: dict[str, str] = {
     "fit_quadratic_by_exam": _sql(f"""
         SELECT exam_id, {_six('b0')} AS b0, {_six('b1')} AS b1, {_six('b2')} AS b2, n, degenerate
         FROM model_by_exam""", "model_by_exam"),
+    "fit_by_steps": _sql(f"""
+        SELECT exam_id, {_six('b0')} AS b0, {_six('b1')} AS b1, {_six('b2')} AS b2, n, degenerate
+        FROM model_by_exam""", "model_by_exam"),
     "mean_pool": f"""
         SELECT label, pos, {_six('avg(v)')} AS mean_value FROM (
           SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v,

@@ -11,7 +11,7 @@ from quillmark.functions import text as text_functions
 from quillmark.functions.grades import relative, round_up
 from quillmark.functions.vectors import cosine
 from quillmark.operators import (
-    align, calibrate, embed, extract, generate, items, rank, render, reshape, sampling, similarity,
+    align, calibrate, embed, extract, generate, items, moments, rank, render, reshape, sampling, similarity,
 )
 from quillmark.operators.joins import lookup
 from quillmark.plans import generative, grading, scoring
@@ -374,6 +374,24 @@ def fit_quadratic_by_exam(data: Data) -> DataFrame:
     return rounded(model, "b0", "b1", "b2")
 
 
+@query
+def fit_by_steps(data: Data) -> DataFrame:
+    """One curve per exam, from gradings that come in four steps. In the second step a
+    third of them is entered twice, which the third step takes back."""
+    scored = b.vector_stage(data)
+    merged = calibrate.join_gradings(b.vector_grading(data, scored), scored)
+    points = calibrate.training_points(merged, ["exam_id", "identification"])
+    points = stages.stage(points, "training_points")
+    path, by, step = new_path(data.spark, "model"), ["exam_id"], F.pmod("identification", F.lit(4))
+    none = points.where("false").select(*by, "x", "y")
+    moments.grow(path, 0, calibrate.anchor_points(none, by, scored), by=by)
+    twice = points.where(F.pmod("identification", F.lit(3)) == 0)
+    for n in range(4):
+        came = points.where(step == n)
+        moments.grow(path, n + 1, came.unionByName(twice) if n == 1 else came, twice if n == 2 else None, by)
+    return rounded(moments.solve(moments.state_at(data.spark, path, 4), by), "b0", "b1", "b2")
+
+
 @query
 def mean_pool(data: Data) -> DataFrame:
     pooled = similarity.mean_pool(b.table(data, "embeddings"), ["label"], "embedding")

@@ -1,6 +1,7 @@
 """Text expressions. All of them stay inside the JVM."""
 
 import re
+from math import isqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,21 +58,34 @@ def to_last_full_stop(text: Column) -> Column:
     return F.when(tail > 0, cut).otherwise(F.concat(rstrip(text), F.lit(".")))
 
 
+def _first_tokens(text: Column, count: Column, most: int) -> Column:
+    """First ``count`` pre-tokens of the text, at most ``most``.
+
+    One match from the beginning that ends with the last of them, so what is behind
+    is never looked at. Pre-tokens cover every character, so there is always a next
+    one until the text ends. They are counted in groups, each matched for good, so
+    that the matcher's stack holds no more than a group of them.
+    """
+    group = isqrt(most) + 1
+    token = f"(?:{PRE_TOKEN})"
+    times = lambda n: F.concat(F.lit("{0,"), n.cast("string"), F.lit("}"))
+    groups, rest = F.floor(count / group), F.pmod(count, F.lit(group))
+    pattern = F.concat(F.lit(f"^(?>(?>{token}{{0,{group}}})"), times(groups), F.lit(f")(?>{token}"), times(rest), F.lit(")"))
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
+
+
 def truncate_tokens(text: Column, budget: int = PROMPT_TOKENS, keep_suffix: str = "") -> Column:
-    """First ``budget`` pre-tokens of the text.
+    """First ``budget`` pre-tokens of the text, in time that does not depend on what follows.
 
-    The pre-tokens cover every character, so joining them gives a piece of the
-    text itself. With ``keep_suffix`` a text that is cut still ends with it.
+    With ``keep_suffix`` a text that is cut still ends with it.
     """
-    tokens = F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
-    head = F.array_join(F.slice(tokens, 1, budget), "")
+    head = _first_tokens(text, F.lit(budget), budget)
     if not keep_suffix:
         return head
     suffix = F.lit(" " + keep_suffix)
-    room = F.lit(budget) - F.size(F.regexp_extract_all(suffix, F.lit(PRE_TOKEN), F.lit(0)))
-    return F.when(F.size(tokens) <= budget, head).otherwise(
-        F.concat(F.array_join(F.slice(tokens, F.lit(1), room), ""), suffix)
-    )
+    room = F.greatest(F.lit(budget) - F.size(F.regexp_extract_all(suffix, F.lit(PRE_TOKEN), F.lit(0))), F.lit(0))
+    cut = F.concat(_first_tokens(text, room, budget), suffix)
+    return F.when(F.octet_length(head) == F.octet_length(text), text).otherwise(cut)
 
 
 def words(text: Column) -> Column:

@@ -7,6 +7,7 @@ from quillmark.fixed import CURVE_POINTS
 from quillmark.functions.grades import capped, relative, within
 from quillmark.operators.items import is_answered
 from quillmark.operators.joins import lookup
+from quillmark.operators.moments import moments, solve
 from quillmark.schemas import TRAIN, conform
 
 
@@ -48,35 +49,8 @@ def anchor_points(
 
 
 def fit_quadratic(train: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Least squares for y = b0 + b1 x + b2 x^2 in one aggregation.
-
-    Tasks send a handful of moments each. Where all x are 0 or 1, x and x^2 are
-    the same column and the fit of smallest norm shares the slope between them.
-    """
-    x, y = F.col("x"), F.col("y")
-    sums = train.withColumn("x2", x * x).groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg("x").alias("mx"),
-        F.avg("x2").alias("mx2"),
-        F.avg("y").alias("my"),
-        F.regr_sxx("x", "x").alias("a"),
-        F.regr_sxx("x2", "x2").alias("b"),
-        F.regr_sxy("x", "x2").alias("c"),
-        F.regr_sxy("y", "x").alias("p"),
-        F.regr_sxy("y", "x2").alias("q"),
-    )
-    det = F.expr("a * b - c * c")
-    degenerate = F.coalesce(det <= 1e-12 * F.col("a") * F.col("b"), F.lit(True))
-    half = F.coalesce(F.expr("try_divide(p, a) / 2"), F.lit(0.0))
-    solved = sums.withColumn("degenerate", degenerate).withColumns(
-        {
-            "b1": F.when(F.col("degenerate"), half).otherwise(F.try_divide(F.expr("p * b - q * c"), det)),
-            "b2": F.when(F.col("degenerate"), half).otherwise(F.try_divide(F.expr("q * a - p * c"), det)),
-        }
-    )
-    return solved.select(
-        *by, F.expr("my - b1 * mx - b2 * mx2").alias("b0"), "b1", "b2", "n", "degenerate"
-    )
+    """Least squares for y = b0 + b1 x + b2 x^2 in one aggregation; see ``moments``."""
+    return solve(moments(train, by), by)
 
 
 def poly_features(df: DataFrame, x: str) -> DataFrame:

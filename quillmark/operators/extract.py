@@ -15,16 +15,13 @@ from quillmark import fixed
 from quillmark.functions.text import remove, strip
 from quillmark.schemas import ANSWER, ITEM, conform
 
-_PLAIN = "|".join((
-    fixed.FRONT_FIRST_NAME, fixed.END_FIRST_NAME, fixed.FRONT_SURNAME, fixed.END_SURNAME,
-    fixed.FRONT_STUDENT_ID, fixed.END_STUDENT_ID,
-))
-_NUMBERED = "|".join((
-    fixed.FRONT_QUESTION, fixed.END_QUESTION, fixed.FRONT_ANSWER, fixed.END_ANSWER,
-    fixed.FRONT_ALTERNATIVE, fixed.END_ALTERNATIVE, fixed.FRONT_POINTS, fixed.END_POINTS,
-))
+# Marks begin with "front_" or "end_"; what is common stands in front, so that a scan is quick to leave other text.
+_PLAIN = "|".join(m.removeprefix("end_") for m in (fixed.END_FIRST_NAME, fixed.END_SURNAME, fixed.END_STUDENT_ID))
+_NUMBERED = "|".join(
+    m.removeprefix("end_") for m in (fixed.END_QUESTION, fixed.END_ANSWER, fixed.END_ALTERNATIVE, fixed.END_POINTS)
+)
 # A mark's number is the whole number: 1 is not the 1 of 10.
-MARK = rf"(?:{_PLAIN}|(?:{_NUMBERED}) \d+)"
+MARK = rf"[ef](?:ront|nd)_(?:{_PLAIN}|(?:{_NUMBERED}) \d+)"
 #: A question's number; longer ones are no numbers of questions.
 NUMBER = r"^\d{1,6}$"
 POINTS = r"^\s*(\d+(?:\.\d+)?)"
@@ -43,7 +40,8 @@ FIELDS = {
 
 def scan_marks(docs: DataFrame) -> DataFrame:
     """Adds ``_marks``, all marks of the text in their order: kind, k (the number
-    as it is written, empty for marks without), and text, what stands up to the next mark.
+    as it is written, empty for marks without), text, what stands up to the next
+    mark, and that one's kind and number, ``next`` and ``next_k``.
 
     A null or empty text has none.
     """
@@ -53,36 +51,36 @@ def scan_marks(docs: DataFrame) -> DataFrame:
         F.filter(headed, lambda x: x["head"] != ""),
         lambda x: F.struct(
             F.substring_index(x["head"], " ", 1).alias("kind"),
-            F.regexp_extract(x["head"], r" (\d+)$", 1).alias("k"),
+            F.when(F.contains(x["head"], F.lit(" ")), F.substring_index(x["head"], " ", -1)).otherwise(F.lit("")).alias("k"),
             F.substring(x["part"], F.length(x["head"]) + 1, F.length(x["part"])).alias("text"),
         ),
     )
-    return docs.withColumn("_marks", marks)
+    def following(m: Column, i: Column) -> Column:
+        behind = F.get("_marks", i + 1)
+        return F.struct(m["kind"].alias("kind"), m["k"].alias("k"), m["text"].alias("text"), behind["kind"].alias("next"), behind["k"].alias("next_k"))
 
+    return docs.withColumn("_marks", marks).withColumn("_marks", F.transform("_marks", following))
 
-def _closed(at: Column, closing: str) -> Column:
-    """Whether the mark behind place ``at`` is that one, of the same number; a mark
-    without number is closed by the first question's."""
-    here, behind = F.get("_marks", at), F.get("_marks", at + 1)
-    k = F.when(here["k"] != "", here["k"]).when(behind["k"] != "", F.lit("1")).otherwise(F.lit(""))
-    return F.coalesce((behind["kind"] == closing) & (behind["k"] == k), F.lit(False))
+
+def _closed(mark: Column, closing: str) -> Column:
+    """Whether the next mark is that one, of the same number; a mark without
+    number is closed by the first question's."""
+    k = F.when(mark["k"] != "", mark["k"]).when(mark["next_k"] != "", F.lit("1")).otherwise(F.lit(""))
+    return F.coalesce((mark["next"] == closing) & (mark["next_k"] == k), F.lit(False))
 
 
 def _with_fields(docs: DataFrame, *names: str, unclosed: bool = False) -> DataFrame:
-    """Adds, per field, the whole ones found, latest first: k and text. With
+    """Adds, per field, the marks of the whole ones found, latest first. With
     ``unclosed`` those that no mark closes are there too, behind all whole ones."""
-    for name in names:
+
+    def found(name: str) -> Column:
         opening, closing = FIELDS[name]
-        opened = F.filter(
-            F.transform("_marks", lambda m, i: F.struct(m["kind"].alias("kind"), m["k"].alias("k"), m["text"].alias("text"), _closed(i, closing).alias("closed"))),  # noqa: B023
-            lambda m: m["kind"] == opening,  # noqa: B023
-        )
-        docs = docs.withColumn(f"_{name}_all", F.reverse(opened))
-        found = F.filter(f"_{name}_all", lambda m: m["closed"])
-        if unclosed:
-            found = F.concat(found, F.filter(f"_{name}_all", lambda m: ~m["closed"]))
-        docs = docs.withColumn(f"_{name}", found).drop(f"_{name}_all")
-    return docs
+        whole = F.reverse(F.filter("_marks", lambda m: (m["kind"] == opening) & _closed(m, closing)))
+        if not unclosed:
+            return whole
+        return F.concat(whole, F.reverse(F.filter("_marks", lambda m: (m["kind"] == opening) & ~_closed(m, closing))))
+
+    return docs.withColumns({f"_{name}": found(name) for name in names})
 
 
 def _with_points(docs: DataFrame) -> DataFrame:
@@ -146,7 +144,8 @@ def _with_identity(docs: DataFrame) -> DataFrame:
     for name in names:
         found = F.get(F.col(f"_{name}"), F.lit(0))
         line = F.regexp_extract(found["text"], r"^[^\r\n]*", 0)
-        rows = rows.withColumn(f"_{name}", strip(remove(F.when(found["closed"], found["text"]).otherwise(line), ":")))
+        text = F.when(_closed(found, FIELDS[name][1]), found["text"]).otherwise(line)
+        rows = rows.withColumn(f"_{name}", strip(remove(text, ":")))
     return rows.withColumns({name: F.col(f"_{name}") for name in names}).drop(*(f"_{name}" for name in names))
 
 

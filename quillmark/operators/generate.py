@@ -14,7 +14,8 @@ from quillmark.functions.text import (
 )
 from quillmark.operators.items import is_answered, scheme_text
 from quillmark.schemas import empty
-from quillmark.sources.stages import stage
+from quillmark.session import new_path
+from quillmark.sources.stages import restore, stage
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -98,6 +99,24 @@ def generate(
     return df.withColumn(out, replies(F.col(prompt)))
 
 
+def queue(prompts: DataFrame, slices: int) -> Iterator[DataFrame]:
+    """The rows of ``prompts`` in that many slices, by a hash of ``prompt_key``.
+
+    Each slice is written to a folder of its own, and reading one opens no file of
+    another: however many slices there are, every prompt is read once. Rows of a
+    slice are written by one task, which is bounded by the size of a slice.
+    """
+    if slices < 2:
+        yield from [prompts] * slices
+        return
+    folder = new_path(prompts.sparkSession, "queue")
+    dealt = prompts.withColumn("slice", F.pmod(F.xxhash64("prompt_key"), F.lit(slices)))
+    dealt.repartition("slice").write.partitionBy("slice").parquet(folder)
+    listed = restore(prompts.sparkSession, folder).select("slice").distinct().collect()
+    for n in sorted(r["slice"] for r in listed):
+        yield restore(prompts.sparkSession, f"{folder}/slice={n}", prompts.schema)
+
+
 def generate_once(
     df: DataFrame,
     make_generator: Callable[[dict], Generate],
@@ -128,12 +147,9 @@ def generate_once(
     )
     kept = spark.read.schema(table).parquet(path)
     new = stage(wanted.join(kept.select("prompt_key"), "prompt_key", "left_anti"), "prompts")
-    slices = -(-new.count() // slice_rows)
     tasks = callers or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for n in range(slices):
-        part = new.where(F.pmod(F.xxhash64("prompt_key"), F.lit(slices)) == n)
-        part = part.repartition(tasks, "prompt_key")
-        replies = generate(part, make_generator, "_prompt", out, per_call)
+    for part in queue(new, -(-new.count() // slice_rows)):
+        replies = generate(part.repartition(tasks, "prompt_key"), make_generator, "_prompt", out, per_call)
         replies.select("prompt_key", out).write.mode("append").parquet(path)
     replies = spark.read.schema(table).parquet(path).groupBy("prompt_key").agg(F.min(out).alias(out))
     # Rows without prompt meet nothing; a key of their own spreads them.

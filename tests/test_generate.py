@@ -8,6 +8,7 @@ from quillmark.operators import embed, generate
 from quillmark.plans import generative
 from quillmark.schemas import SCORED
 from quillmark.session import new_path
+from quillmark.sources.stages import stage
 
 
 def scored(spark, *texts):
@@ -189,6 +190,19 @@ def test_a_failed_job_keeps_its_replies(spark, tmp_path):
     assert len(second) == 100 - len(kept) == len(set(second))
 
 
+def test_a_slice_of_the_queue_opens_no_file_of_another(spark):
+    prompts = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("prompt_key"), F.col("id").cast("string").alias("_prompt"))
+    slices = list(generate.queue(stage(prompts, "prompts"), 20))
+    files = [set(part.inputFiles()) for part in slices]
+    assert len(slices) == 20 and sum(map(len, files)) == len(set().union(*files))
+    assert [part.columns for part in slices] == [prompts.columns] * 20
+    counts = [part.count() for part in slices]
+    assert sum(counts) == 5000 and min(counts) > 150  # every prompt is read once
+    assert sorted(int(r._prompt) for part in slices for r in part.collect()) == list(range(5000))
+    assert list(generate.queue(prompts.where("false"), 0)) == []
+    assert [part.count() for part in generate.queue(prompts, 1)] == [5000]
+
+
 def test_own_tokenizer(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, None)], "id int, prompt string")
     cut = generate.truncate_prompts(df, tokenizer=lambda: lambda t, n: " ".join(t.split()[:n]), budget=2)

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from quillmark.operators import calibrate, sampling
+from quillmark.operators import calibrate, moments, sampling
 from quillmark.plans import grading
 from quillmark.schemas import GRADING, SCORED, TRAIN
 from quillmark.session import new_path
@@ -213,3 +213,47 @@ def test_growth_by_steps_keeps_its_plan(spark, plan_of):
         assert grade.select("identification").distinct().count() == grade.count() == min(total, step + 2)
         assert rest.count() == total - grade.count()
     assert max(sizes) < 1.2 * min(sizes)
+
+
+def state_of(spark, points):
+    return moments.moments(spark.createDataFrame(points, "g string, x double, y double"), ["g"])
+
+
+def test_merged_moments_are_those_of_all_points(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(n % 5), float(x), float(y)) for n, (x, y) in enumerate(1000 + 0.01 * rng.random((300, 2)))]
+    rows += [(None, 0.5, 0.25), (None, 0.75, 0.5), ("alone", 1.0, 1.0)]
+    whole = {r.g: r for r in state_of(spark, rows).collect()}
+    parts = [state_of(spark, rows[a::7]) for a in range(7)]
+    merged = {r.g: r for r in moments.merge(parts, ["g"]).collect()}
+    assert set(merged) == set(whole)
+    for g, r in whole.items():
+        assert tuple(merged[g])[1:] == pytest.approx(tuple(r)[1:], rel=1e-9, abs=1e-12)
+    rest = moments.merge([state_of(spark, rows), moments.negated(state_of(spark, rows[:200]))], ["g"])
+    left = {r.g: r for r in state_of(spark, rows[200:]).collect()}
+    for r in rest.collect():
+        assert tuple(r)[1:] == pytest.approx(tuple(left[r.g])[1:], rel=1e-6, abs=1e-9)
+
+
+def test_nothing_is_left_of_a_state_without_its_points(spark):
+    rows = [("a", 0.3, 0.4), ("a", 0.7, 0.5), ("b", 0.1, 0.2)]
+    state = moments.merge([state_of(spark, rows), moments.negated(state_of(spark, rows[:2]))], ["g"])
+    got = {r.g: r for r in state.collect()}
+    assert tuple(got["a"])[1:] == (0, *[0.0] * 8) and got["b"].n == 1
+    again = {r.g: r.n for r in moments.merge([state, state_of(spark, rows)], ["g"]).collect()}
+    assert again == {"a": 2, "b": 2}
+    models = {r.g: r for r in moments.solve(state, ["g"]).collect()}
+    assert models["a"].b0 is None and models["b"].b0 == pytest.approx(0.2)
+
+
+def test_a_step_reads_only_what_is_new(spark):
+    path = new_path(spark, "model")
+    points = [(n / 40, (n / 40) ** 2 / 2 + 0.1 * (n % 3)) for n in range(40)]
+    for step in range(4):
+        state = moments.grow(path, step, train(spark, points[10 * step : 10 * step + 10]))
+    assert len(state.inputFiles()) == 1  # the state after three steps is one row, not forty points
+    assert coefficients(moments.solve(state)) == pytest.approx(coefficients(calibrate.fit_quadratic(train(spark, points))))
+    moments.grow(path, 3, train(spark, points[30:]))  # a step that runs again
+    again = moments.grow(path, 4, train(spark, []), removed=train(spark, points[35:]))
+    assert coefficients(moments.solve(again)) == pytest.approx(coefficients(calibrate.fit_quadratic(train(spark, points[:35]))))
+    assert again.first().n == 35

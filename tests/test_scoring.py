@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -233,3 +235,25 @@ def test_melting_keeps_blank_alternatives_on_request(spark):
     rows = items(spark)
     assert reshape.melt_solutions(rows).count() == 6
     assert reshape.melt_solutions(rows, keep_blank_alternative=True).count() == 8
+
+
+def test_cosine_counts_repeated_words(spark):
+    rng = random.Random(7)
+    words = [" ".join(rng.choice("aab cd e ff ggg hh".split()) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    rows = spark.createDataFrame(list(zip(words, words[1:] + [None])), "a string, s string")
+    prepared = similarity.count_words(similarity.count_words(rows, "a", "_a"), "s", "_s")
+    got = prepared.select("a", "s", similarity.word_cosine(F.col("_a"), F.col("_s")).alias("c")).collect()
+    assert all(r.c == pytest.approx(by_hand(r.a, r.s or "")) for r in got)
+
+
+def test_cosine_of_many_words_takes_no_square_of_time(spark):
+    def seconds(n):
+        rows = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, n + k)),) for k in range(4)], "a string").coalesce(1)
+        prepared = similarity.count_words(rows, "a", "_a")
+        value = similarity.word_cosine(F.col("_a"), F.col("_a"))
+        start = time.perf_counter()
+        assert [r[0] for r in prepared.select(value).collect()] == pytest.approx([1.0] * 4)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(64_000) < 16 * max(seconds(8_000), 0.5)

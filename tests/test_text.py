@@ -1,3 +1,5 @@
+import time
+
 import regex
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def test_truncation_may_keep_the_cue(spark):
     assert got[1] == "short"
 
 
+def test_what_follows_the_budget_is_not_looked_at(spark):
+    values = [" ".join("ab"[n % 2] * (n % 7 + 1) + "!1"[n % 3 == 0] for n in range(3000)), "\n" * 3000, "x" * 9000, "  a\u00a0b" * 900, "", None]
+    for budget in (1, 3, 924, 2500):
+        got = apply(spark, lambda v: text.truncate_tokens(v, budget), *values)  # noqa: B023
+        assert got == [v and "".join(PUBLISHED.findall(v)[:budget]) for v in values]
+    long = spark.createDataFrame([("one 2, " * 2_000_000,)], "v string").select(text.truncate_tokens(F.col("v")).alias("v"))
+    start = time.perf_counter()
+    assert len(PUBLISHED.findall(long.first().v)) == 924
+    assert time.perf_counter() - start < 5
+
+
 def test_rounding_up(spark):
     df = spark.createDataFrame([(2.0000000001,), (2.01,), (0.0,), (-0.3,), (1.25,), (None,)], "v double")
     read = lambda m: [r[0] for r in df.select(round_up(F.col("v"), m)).collect()]

@@ -543,6 +543,13 @@ ORACLES: dict[str, str] = {
     "fit_quadratic_by_exam": _sql(f"""
         SELECT exam_id, {_six('b0')} AS b0, {_six('b1')} AS b1, {_six('b2')} AS b2, n, degenerate
         FROM model_by_exam""", "model_by_exam"),
+    "slots_in_buckets": _sql(f"""
+        SELECT {', '.join(f's.{c}' for c in ('exam_id', 'student_id', 'q_no'))}, a.vec_id, {_six('s.cosine_similarity')} AS cosine_similarity,
+               CASE WHEN a.vec_id % 3 = 0
+                 THEN CAST(least(CAST(a.vec_id % 5 AS DOUBLE), CAST((a.vec_id - 2 * {_N}) % {_N} % 5 AS DOUBLE)) AS VARCHAR)
+                 ELSE '' END AS grading
+        FROM vector_scored s JOIN vector_answers a ON a.exam_id = s.exam_id
+          AND a.student_id = s.student_id AND a.q_no = s.q_no""", "vector_scored"),
     "fit_by_steps": _sql(f"""
         SELECT exam_id, {_six('b0')} AS b0, {_six('b1')} AS b1, {_six('b2')} AS b2, n, degenerate
         FROM model_by_exam""", "model_by_exam"),

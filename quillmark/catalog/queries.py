@@ -97,6 +97,17 @@ def stage_roundtrip(data: Data) -> DataFrame:
     return stages.stage(b.evaluation(data), "evaluation", by=["exam_id"])
 
 
+@query
+def slots_in_buckets(data: Data) -> DataFrame:
+    """Scored rows next to their answer and what the teacher entered: all three tables
+    lie in buckets by slot, so no row of them is shuffled again."""
+    answers = stages.stage_by(b.raw_vector_answers(data).select(*SLOT, "vec_id"), "answers", SLOT)
+    scored = stages.stage_by(b.vector_scored(data), "scored", SLOT)
+    entered = stages.stage_by(b.entered_vector_gradings(data), "entered", SLOT)
+    rows = scored.join(answers, SLOT).join(entered, SLOT)
+    return rounded(rows.select(*SLOT, "vec_id", "cosine_similarity", "grading"), "cosine_similarity")
+
+
 @query
 def sheet_generative(data: Data) -> DataFrame:
     rows = generate.parse_score(generate.strip_echo(_answered_replies(data)))

@@ -34,39 +34,54 @@ def known_answers(answers: DataFrame) -> DataFrame:
     return answers.where(is_answered(F.col("student_id")))
 
 
+def _graded_rows(known: DataFrame, scored: DataFrame) -> DataFrame:
+    """Per graded slot the one answer that was graded: its digest ``_kept`` and how
+    many rows are equal to it, ``_equal``. Found on digests alone.
+
+    It is one with the graded text; if none has it, one whose text begins with the
+    least 32 characters; of several the one with the least digest.
+    """
+    text = F.coalesce("student_solution", F.lit(""))
+    rows = known.select(*SLOT, "_key", F.md5(text.cast("binary")).alias("_text"), F.substring(text, 1, 32).alias("_head"))
+    # equal rows are counted before they are shuffled, however many answers a slot has
+    counted = rows.groupBy(*SLOT, "_key", "_text", "_head").agg(F.count(F.lit(1)).alias("_equal"))
+    graded = scored.select(*SLOT, F.md5(F.col("student_solution").cast("binary")).alias("_graded")).distinct()
+    head = F.when(F.col("_text") != F.col("_graded"), F.col("_head"))  # null, which comes first, where it is the graded text
+    first = F.min(F.struct(head.alias("head"), F.col("_key").alias("_kept"), "_equal"))
+    return counted.join(graded, SLOT).groupBy(*SLOT).agg(first.alias("_first")).select(*SLOT, "_first._kept", "_first._equal")
+
+
 def rejected_answers(
     answers: DataFrame, items: DataFrame, scored: DataFrame | None = None
 ) -> DataFrame:
     """Answers that are not graded, with the reason: no student id, or no such
     question in the exam, or, where the ``scored`` rows are given, another answer
-    of the same student to the same question. Every other answer is graded."""
+    of the same student to the same question. Every other answer is graded.
+
+    Which answers those are is found on digests of the rows; texts are moved once,
+    to the digest of their slot's graded answer.
+    """
     nameless = answers.where(~is_answered(F.col("student_id"))).withColumn(
         "reason", F.lit("no student id")
     )
     listed = items.select(*ITEM_KEY).withColumn("_listed", F.lit(True))
-    strays = (
-        lookup(known_answers(answers), listed, ITEM_KEY, "left")
-        .where("_listed is null")
-        .drop("_listed")
-        .withColumn("reason", F.lit("no such question"))
-    )
-    rejected = nameless.unionByName(strays)
+    stray = F.when(F.col("_listed").isNull(), F.lit("no such question"))
+    known = known_answers(answers)
     if scored is None:
-        return rejected
-    text = F.coalesce("student_solution", F.lit(""))
-    # equal rows are counted, so all below is added up before it is shuffled, however many answers a slot has
-    rows = known_answers(answers).groupBy(*answers.columns).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.withColumn("_key", F.md5(F.to_json(F.struct(*answers.columns)).cast("binary")))
-    digest = F.md5(text.cast("binary")).alias("_text")
-    graded = scored.select(*SLOT, F.md5(F.col("student_solution").cast("binary")).alias("_text")).distinct()
-    same = rows.select(*SLOT, "_key", digest).join(graded, [*SLOT, "_text"]).groupBy(*SLOT).agg(F.min("_key").alias("_same"))
-    least = rows.groupBy(*SLOT).agg(F.min(F.struct(text.alias("text"), "_key"))["_key"].alias("_least"))
-    kept = graded.select(*SLOT).distinct().join(least, SLOT).join(same, SLOT, "left")
-    kept = kept.select(*SLOT, F.coalesce("_same", "_least").alias("_kept"))
-    others = rows.join(kept, SLOT).withColumn("_n", F.col("_n") - (F.col("_key") == F.col("_kept")).cast("int"))
-    others = others.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), "_n")))
-    others = others.select(*answers.columns)
-    return rejected.unionByName(others.withColumn("reason", F.lit("another answer is graded")))
+        strays = lookup(known, listed, ITEM_KEY, "left").withColumn("reason", stray).drop("_listed")
+        return nameless.unionByName(strays.where("reason is not null"))
+    known = known.withColumn("_key", F.md5(F.to_json(F.struct(*answers.columns)).cast("binary")))
+    kept = _graded_rows(known, scored)
+    others = known.join(kept.drop("_equal"), SLOT, "left").where("_kept is null or _key <> _kept")
+    reason = F.coalesce(stray, F.when(F.col("_kept").isNotNull(), F.lit("another answer is graded")))
+    others = lookup(others, listed, ITEM_KEY, "left").withColumn("reason", reason).where("reason is not null")
+    # of equal rows one is graded; each of the others is listed
+    again = known.join(kept.where("_equal > 1").withColumnRenamed("_kept", "_key"), [*SLOT, "_key"])
+    again = again.groupBy(*SLOT, "_key").agg(F.min(F.struct(*answers.columns)).alias("_row"), F.min("_equal").alias("_equal"))
+    again = again.withColumn("_n", F.explode(F.sequence(F.lit(2).cast("long"), "_equal"))).select("_row.*")
+    again = again.withColumn("reason", F.lit("another answer is graded"))
+    columns = [*answers.columns, "reason"]
+    return nameless.unionByName(others.select(*columns)).unionByName(again.select(*columns))
 
 
 def roster(answers: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.operators import calibrate, moments, sampling
@@ -257,3 +258,25 @@ def test_a_step_reads_only_what_is_new(spark):
     again = moments.grow(path, 4, train(spark, []), removed=train(spark, points[35:]))
     assert coefficients(moments.solve(again)) == pytest.approx(coefficients(calibrate.fit_quadratic(train(spark, points[:35]))))
     assert again.first().n == 35
+
+
+def test_tables_in_buckets_meet_without_a_shuffle(spark, plan_of):
+    rows = spark.range(3000).select(F.format_string("e%d", F.col("id") % 7).alias("e"), (F.col("id") % 501).alias("s"), "id")
+    one, other = (stages.stage_by(rows.withColumnRenamed("id", c), c, ["e", "s"], 5) for c in ("a", "b"))
+    unique = other.groupBy("e", "s").agg(F.min("b").alias("b"))
+    ranked = one.withColumn("n", F.row_number().over(Window.partitionBy("e", "s").orderBy("a")))
+    joined = ranked.join(unique, ["e", "s"], "left")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (unique, ranked, joined, one.join(other, ["e", "s"], "left_anti")):
+            assert "Exchange" not in plan_of(df)
+        got = sorted(map(tuple, joined.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected, met = [], {}
+    for n in range(3000):
+        met.setdefault((f"e{n % 7}", n % 501), []).append(n)
+    for key, ids in met.items():
+        expected += [(*key, n, k, ids[0]) for k, n in enumerate(ids, 1)]
+    assert got == sorted(expected)
+    assert len(one.inputFiles()) <= 5

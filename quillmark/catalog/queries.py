@@ -659,7 +659,9 @@ def grade_papers_rejects(data: Data) -> DataFrame:
     blank = F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(F.col("student_id"))
     stray = F.when(F.col("doc_id") % 11 == 0, F.col("q_no") + 1000).otherwise(F.col("q_no"))
     given = rows.unionByName(second).withColumns({"student_id": blank, "q_no": stray}).drop("doc_id")
-    scored = stages.stage(scoring.score_answers(given, b.items(data)), "scored")
+    given = stages.stage(given, "answers")
+    scored = scoring.score_answers(given, b.items(data)).select(*SLOT, "student_solution")
+    scored = stages.stage(scored, "scored")
     rejected = align.rejected_answers(given, b.items(data), scored)
     return rejected.select(*SLOT, F.md5(F.col("student_solution").cast("binary")).alias("answer_md5"), "reason")
 

@@ -2,13 +2,15 @@
 
 Every word, known by its 64-bit hash, has a fixed sparse random index vector; its
 word vector is the sum of the index vectors of its neighbours over the whole
-corpus, kept in a table of all words. A document is the mean word vector of its words, and of its different
-words. A two-layer network gives the score; its temperature is set on labelled
-rows that it was not trained on.
+corpus. A table keeps it for each word of two texts or more; what a word of one
+text only would have there is found in that text when it is pooled. A document is
+the mean word vector of its words, and of its different words. A two-layer network
+gives the score; its temperature is set on labelled rows that it was not trained on.
 """
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,16 @@ WIDTH, ONES, SEED = 64, 4, 11
 SHAPES = 64
 WINDOW = 2
 #: Rows of words that a task holds before it sums them or sends them on.
-HELD = 300_000
+HELD = 200_000
 #: Words and shapes, counted each time, of the texts whose vectors a task holds at once, about.
-CHUNK = 10_000_000
+CHUNK = 12_000_000
 #: Labelled rows that the network is trained on, at most.
 LABELS = 20_000
 HIDDEN = 48
-SUMS = "word long, count long, sums binary"
+#: Rows of sums that are sent at a time, and the most ones a row is sent as.
+SENT, FEW = 8192, 40
+SUMS = "word long, count long, texts long, sums binary"
+SUMS_NAMES = ["word", "count", "texts", "sums"]
 
 
 def _keys(found: w.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -51,25 +56,74 @@ def _merged(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [keys[first], *(np.add.reduceat(c[order], first, axis=0) if len(first) else c for c in columns)]
 
 
-def _sent(keys: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    """Rows of sums, in one byte a number where they fit."""
-    small = (np.abs(sums) < 128).all(axis=1).tolist()
-    short, long = sums.astype("<i1"), sums.astype("<i8")
-    data = [(short if s else long)[n].tobytes() for n, s in enumerate(small)]
-    return pa.record_batch([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())], ["word", "count", "sums"])
-
-
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sums = np.zeros((batch.num_rows, WIDTH), np.int64)
-    data = batch.column("sums").to_pylist()
-    for kind in ("<i1", "<i8"):
-        rows = [n for n, x in enumerate(data) if len(x) == WIDTH * np.dtype(kind).itemsize]
-        sums[rows] = np.frombuffer(b"".join(data[n] for n in rows), kind).reshape(-1, WIDTH)
-    return batch.column("word").to_numpy(), batch.column("count").to_numpy(), sums
+def _packed(sums: np.ndarray) -> pa.Array:
+    """Rows of sums as bytes: few ones as their places, with the sign in the highest
+    bit; else one byte a number where they fit, else eight."""
+    ones = np.abs(sums).sum(axis=1)
+    kind = np.where(ones <= FEW, 0, np.where(np.abs(sums).max(axis=1, initial=0) < 128, 1, 2))
+    sizes = np.where(kind == 0, ones, np.where(kind == 1, WIDTH, 8 * WIDTH))
+    begin = np.cumsum(sizes) - sizes
+    data = np.zeros(int(sizes.sum()), np.uint8)
+    row, place = np.nonzero(sums * (kind == 0)[:, None])
+    value = sums[row, place]
+    units = np.repeat(place + 128 * (value < 0), np.abs(value)).astype(np.uint8)
+    few = np.flatnonzero(kind == 0)
+    data[np.repeat(begin[few] - (np.cumsum(sizes[few]) - sizes[few]), sizes[few]) + np.arange(len(units))] = units
+    for n, number in ((1, "<i1"), (2, "<i8")):
+        rows = np.flatnonzero(kind == n)
+        raw = sums[rows].astype(number).view(np.uint8)
+        data[begin[rows][:, None] + np.arange(raw.shape[1])] = raw
+    offsets = np.append(begin, len(data)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sums), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _sent(keys: np.ndarray, counts: np.ndarray, many: np.ndarray, sums: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of sums. At last only their direction counts, and they take a byte a number at most."""
+    for at in range(0, len(keys), SENT):
+        part = sums[at : at + SENT].astype(np.int64)
+        if last and len(part):
+            most = np.abs(part).max(axis=1, keepdims=True)
+            part = np.where(most < 128, part, np.rint(part * (127 / np.maximum(most, 1))).astype(np.int64))
+        numbers = [pa.array(x[at : at + SENT], pa.int64()) for x in (keys, counts, many)]
+        yield pa.record_batch([*numbers, _packed(part)], SUMS_NAMES)
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data, sizes = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.diff(bounds)
+    sums = np.zeros((len(column), WIDTH), np.int64)
+    for number in ("<i1", "<i8"):
+        rows = np.flatnonzero(sizes == WIDTH * np.dtype(number).itemsize)
+        raw = data[bounds[rows][:, None] + np.arange(WIDTH * np.dtype(number).itemsize)]
+        sums[rows] = np.ascontiguousarray(raw).view(number)
+    few = np.flatnonzero(sizes <= FEW)
+    row = np.repeat(few, sizes[few])
+    units = data[np.repeat(bounds[few] - (np.cumsum(sizes[few]) - sizes[few]), sizes[few]) + np.arange(len(row))].astype(np.int64)
+    np.add.at(sums, (row, units & 127), np.where(units > 127, -1, 1))
+    return sums
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    numbers = (batch.column(c).to_numpy(zero_copy_only=False) for c in SUMS_NAMES[:-1])
+    return (*numbers, _unpacked(batch.column("sums")))
+
+
+def _summed(to: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of index vectors of the words ``of``, by the rows ``to``."""
+    of = of.view(np.uint64)
+    sums = np.zeros(rows * WIDTH)
+    for n in range(ONES):
+        # the index vector is made of the word's hash: a one in each quarter
+        place = n * (WIDTH // ONES) + ((of >> np.uint64(60 - 4 * n)) & np.uint64(15)).astype(np.int64)
+        sign = ((of >> np.uint64(40 + n)) & np.uint64(1)).astype(np.int64) * 2 - 1
+        sums += np.bincount(to * WIDTH + place, sign, len(sums))
+    return sums.astype(np.int32).reshape(-1, WIDTH)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per word and shape how often it occurs, and the sum of its neighbours' index vectors; a word may come again."""
+    """Per word and shape how often it occurs, in how many texts (of more than one, at
+    least two), and the sum of its neighbours' index vectors; a word may come again."""
     held: list[tuple] = []
     for batch in slices(batches, 256):
         for group in w.parts(texts(batch)):
@@ -77,60 +131,89 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, shape = _keys(found)
             keys, at, counts = np.unique(np.concatenate([own, shape]), return_inverse=True, return_counts=True)
             own_at, shape_at = at[: len(own)], at[len(own) :]
+            first, last = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+            both = np.concatenate([found.text, found.text])
+            last[at], first[at[::-1]] = both, both[::-1]
+            many = 1 + (first != last)
             to, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for apart in range(1, WINDOW + 1):
                 same = found.text[apart:] == found.text[:-apart]
                 to += [x[same] for x in (own_at[:-apart], own_at[apart:], shape_at[:-apart], shape_at[apart:])]
                 # shapes on either side are given the word on the right
                 of += [x[same] for x in (own[apart:], own[:-apart], own[apart:], own[apart:])]
-            to, of = np.concatenate(to), np.concatenate(of).view(np.uint64)
-            sums = np.zeros(len(keys) * WIDTH)
-            for n in range(ONES):
-                # the index vector is made of the word's hash: a one in each quarter
-                place = n * (WIDTH // ONES) + ((of >> np.uint64(60 - 4 * n)) & np.uint64(15)).astype(np.int64)
-                sign = ((of >> np.uint64(40 + n)) & np.uint64(1)).astype(np.int64) * 2 - 1
-                sums += np.bincount(to * WIDTH + place, sign, len(sums))
-            held.append((keys, counts, sums.astype(np.int32).reshape(-1, WIDTH)))
+            held.append((keys, counts, many, _summed(np.concatenate(to), np.concatenate(of), len(keys))))
             if sum(len(x[0]) for x in held) > HELD:
                 held = [tuple(_merged(*map(np.concatenate, zip(*held))))]
                 if len(held[0][0]) > HELD // 2:
-                    yield _sent(*held.pop())
+                    yield from _sent(*held.pop())
     if held:
-        yield _sent(*_merged(*map(np.concatenate, zip(*held))))
+        yield from _sent(*_merged(*map(np.concatenate, zip(*held))))
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of rows that are ordered by word."""
+def _added(batches: Iterator[pa.RecordBatch], least_texts: int) -> Iterator[pa.RecordBatch]:
+    """Sums of rows that are ordered by word, of words of so many texts and of all shapes."""
     last = None
+
+    def kept(rows) -> Iterator[pa.RecordBatch]:
+        keys, many = rows[0], rows[2]
+        some = (many >= least_texts) | ((keys >= 0) & (keys < SHAPES))
+        yield from _sent(*(x[some] for x in rows), last=True)
+
     for batch in slices(batches, 4096):
+        if not batch.num_rows:
+            continue
         rows = _read(batch)
         found = _merged(*(np.concatenate(x) for x in zip(last, rows)) if last else rows)
         last = [x[-1:] for x in found]
-        yield _sent(*(x[:-1] for x in found))
+        yield from kept([x[:-1] for x in found])
     if last:
-        yield _sent(*last)
+        yield from kept(last)
+
 
+def word_sums(documents: DataFrame, least_texts: int = 1) -> DataFrame:
+    """word, count, texts and sums of the neighbours' index vectors over all texts, as a
+    written table with a row for every shape and every word of so many texts (1 or 2).
 
-def word_sums(documents: DataFrame) -> DataFrame:
-    """word, count and sums of the neighbours' index vectors in all texts, as a written table with a row for every word."""
+    A word that occurs in one text only needs no row: all its neighbours stand in
+    that text, where ``pooled`` finds the same sums.
+    """
     met = documents.select("text").mapInArrow(_contexts, SUMS)
-    return stage(met.repartition("word").sortWithinPartitions("word").mapInArrow(_added, SUMS), "words")
+    added = lambda batches: _added(batches, least_texts)
+    return stage(met.repartition("word").sortWithinPartitions("word").mapInArrow(added, SUMS), "words")
 
 
-def _vectors(counts: np.ndarray, sums: np.ndarray, total: int) -> np.ndarray:
-    """Unit vectors of words; rare words weigh more."""
-    length = np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
+def _scales(counts: np.ndarray, sums: np.ndarray, total: int) -> np.ndarray:
+    """What sums are multiplied with to make unit vectors of words; rare words weigh more."""
+    length = np.sqrt((sums.astype(float) ** 2).sum(axis=1))
     weight = 1e-2 / (1e-2 + counts / max(1, total))
-    return (sums / np.maximum(length, 1) * weight[:, None]).astype(np.float32)
+    return (weight / np.maximum(length, 1)).astype(np.float32)
+
+
+class Table(NamedTuple):
+    """Words in order with their vectors: one byte a number, and a scale for each; ``total`` words and shapes in all texts."""
+
+    words: np.ndarray
+    sums: np.ndarray
+    scales: np.ndarray
+    total: int
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], total: int) -> "Table":
+        if not parts:
+            return Table(np.empty(0, np.int64), np.empty((0, WIDTH), np.int8), np.empty(0, np.float32), total)
+        words, sums, scales = map(np.concatenate, zip(*parts))
+        order = np.argsort(words)
+        return Table(words[order], sums[order], scales[order], total)
 
 
 def looked_up(rows: DataFrame, words: DataFrame, work: Callable, schema) -> DataFrame:
-    """What ``work`` makes of batches of rows and of their words and vectors (``pooled`` takes both).
+    """What ``work`` makes of batches of rows and of the ``Table`` of their words.
 
     Rows with doc_id and text are dealt into chunks; every chunk gets the vectors
     of its own words, which come before its rows.
     """
-    total = words.agg(F.sum("count")).first()[0] or 0
+    # each word has one shape
+    total = 2 * (words.where(F.col("word").between(0, SHAPES - 1)).agg(F.sum("count")).first()[0] or 0)
     chunks = total // CHUNK + 1
     names = rows.columns
     dealt = rows.select(F.struct(*names).alias("row")).withColumn("chunk", F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(chunks)))
@@ -144,7 +227,7 @@ def looked_up(rows: DataFrame, words: DataFrame, work: Callable, schema) -> Data
                 yield pa.record_batch([pa.array(np.full(len(word), n), pa.int64()), pa.array(word, pa.int64())], ["chunk", "word"])
 
     asked = dealt.select("chunk", F.col("row.text").alias("text")).mapInArrow(different, "chunk long, word long").distinct()
-    given = asked.join(words, "word").select("chunk", "word", "count", "sums")
+    given = asked.join(words, "word").select("chunk", *SUMS_NAMES)
     both = given.unionByName(dealt, allowMissingColumns=True)
     # a chunk's vectors come first
     both = both.repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNull())
@@ -161,52 +244,71 @@ def looked_up(rows: DataFrame, words: DataFrame, work: Callable, schema) -> Data
                 if chunk[start] != now:
                     now, held, table = chunk[start], [], None
                 if not is_row[start]:
-                    word, count, sums = _read(part)
-                    held.append((word, _vectors(count, sums, total)))
+                    word, count, _, sums = _read(part)
+                    held.append((word, sums.astype(np.int8), _scales(count, sums, total)))
                     continue
                 if table is None:
-                    word, vectors = map(np.concatenate, zip(*held)) if held else (np.empty(0, np.int64), np.empty((0, WIDTH), np.float32))
-                    order = np.argsort(word)
-                    table, held = (word[order], vectors[order]), []
+                    table, held = Table.of(held, total), []
                 for some in slices([part], 128):
-                    yield from work(pa.record_batch(some.column("row").flatten(), names), *table)
+                    yield from work(pa.record_batch(some.column("row").flatten(), names), table)
 
     return both.mapInArrow(run, schema)
 
 
-def _counted(many: list[str], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Text number times the number of words plus place of the word, and how often; all of a text, however long, comes at once."""
-    open_keys, open_times = np.empty(0, np.int64), np.empty(0, np.int64)
-    for group in w.parts(many):
-        found = w.words(group)
-        own = np.concatenate([found.text * len(words) + np.searchsorted(words, k) for k in _keys(found)])
-        times = np.concatenate([open_times, np.ones(len(own), np.int64)])
-        keys, times = _merged(np.concatenate([open_keys, own]), times)
-        ended = np.searchsorted(keys, group[-1][0] * len(words))  # the last text may go on in the next group
-        open_keys, open_times = keys[ended:], times[ended:]
-        yield keys[:ended], times[:ended]
-    yield open_keys, open_times
+def _alone(found: w.Words, own: np.ndarray, unknown: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of one text only: their text, how often they stand there, and their vectors, from their neighbours there."""
+    places = np.flatnonzero(unknown)
+    _, first, at, times = np.unique(own[places], return_index=True, return_inverse=True, return_counts=True)
+    to, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for apart in range(1, WINDOW + 1):
+        for beside in (places + apart, places - apart):
+            inside = (beside >= 0) & (beside < len(own))
+            inside[inside] = found.text[beside[inside]] == found.text[places[inside]]
+            to.append(at[inside])
+            of.append(own[beside[inside]])
+    sums = _summed(np.concatenate(to), np.concatenate(of), len(first))
+    return found.text[places[first]], times, sums * _scales(times, sums, total)[:, None]
 
 
-def pooled(many: list[str], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def pooled(many: list[str], words: np.ndarray, vectors: np.ndarray, scales: np.ndarray | None = None, total: int = 1) -> np.ndarray:
     """Per text: mean vectors of its words and of its different words, their logarithms of number.
 
-    ``words``, in order, holds all words and shapes of the texts.
+    ``words``, in order, have the vectors, times their scales if given. Other words
+    of the texts must be those of one text only, of ``total`` words and shapes in
+    all. A text, however long, is counted as a whole.
     """
-    rows = len(many)
-    sums = np.zeros((rows, 2 * WIDTH), np.float64)
-    counts = np.zeros((rows, 2))
-    for keys, times in _counted(many, words):
-        if not len(keys):
-            continue
-        text = keys // len(words)
-        x = vectors[keys % len(words)]
-        starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        at = text[starts]
-        sums[at, :WIDTH] = np.add.reduceat(x * times[:, None].astype(np.float32), starts)
-        sums[at, WIDTH:] = np.add.reduceat(x, starts)
-        counts[at, 0] = np.add.reduceat(times, starts)
-        counts[at, 1] = np.diff(np.append(starts, len(keys)))
+    rows, size = len(many), max(1, len(words))
+    scales = np.ones(len(words), np.float32) if scales is None else scales
+    sums, counts = np.zeros((rows, 2 * WIDTH), np.float64), np.zeros((rows, 2))
+
+    def add(keys: np.ndarray, times: np.ndarray) -> None:
+        """Texts times the words plus their place, in order, and how often."""
+        if len(keys):
+            text, word = keys // size, keys % size
+            x = vectors[word] * scales[word][:, None]
+            starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            at = text[starts]
+            sums[at, :WIDTH] += np.add.reduceat(x * times[:, None].astype(np.float32), starts)
+            sums[at, WIDTH:] += np.add.reduceat(x, starts)
+            counts[at, 0] += np.add.reduceat(times, starts)
+            counts[at, 1] += np.diff(np.append(starts, len(keys)))
+
+    open_keys, open_times = np.empty(0, np.int64), np.empty(0, np.int64)
+    for group in w.parts(many):
+        found = w.words(group)
+        own, shape = _keys(found)
+        spots = [np.searchsorted(words, k) for k in (own, shape)]
+        known = [(np.append(words, 0)[x] == k) & (x < len(words)) for x, k in zip(spots, (own, shape))]
+        keys = np.concatenate([found.text[k] * size + x[k] for x, k in zip(spots, known)])
+        keys, times = _merged(np.concatenate([open_keys, keys]), np.concatenate([open_times, np.ones(len(keys), np.int64)]))
+        ended = np.searchsorted(keys, group[-1][0] * size)  # the last text may go on in the next group
+        open_keys, open_times = keys[ended:], times[ended:]
+        add(keys[:ended], times[:ended])
+        if not known[0].all():
+            text, times, x = _alone(found, own, ~known[0], total)
+            np.add.at(sums, text, np.hstack([x * times[:, None], x]))
+            np.add.at(counts, text, np.stack([times, np.ones(len(times))], axis=1))
+    add(open_keys, open_times)
     means = sums / np.maximum(np.repeat(counts, WIDTH, axis=1), 1)
     return np.hstack([means, np.log1p(counts), np.log1p(counts[:, :1]) - np.log1p(counts[:, 1:])])
 
@@ -277,8 +379,8 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, words: DataFra
     """
     sample = label_sample(labels, "quality", learn, most)
 
-    def run(batch: pa.RecordBatch, words: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x = pooled(texts(batch), words, vectors).astype("<f4")
+    def run(batch: pa.RecordBatch, table: Table) -> Iterator[pa.RecordBatch]:
+        x = pooled(texts(batch), *table).astype("<f4")
         data = pa.array([row.tobytes() for row in x], pa.binary())
         yield pa.record_batch([batch.column("doc_id"), batch.column("label"), data], ["doc_id", "label", "x"])
 
@@ -304,9 +406,9 @@ def score(documents: DataFrame, network: Network, words: DataFrame) -> DataFrame
     shared = share(documents.sparkSession, network)
     names = [c for c in documents.columns if c != "quality_score"]
 
-    def run(batch: pa.RecordBatch, words: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch, table: Table) -> Iterator[pa.RecordBatch]:
         # rounded, so that equal texts score alike in batches of any size
-        found = pa.array(shared().scores(pooled(texts(batch), words, vectors)).round(9), pa.float64())
+        found = pa.array(shared().scores(pooled(texts(batch), *table)).round(9), pa.float64())
         yield pa.record_batch([*(batch.column(c) for c in names), found], [*names, "quality_score"])
 
     kept_columns = documents.select(*names)
@@ -319,6 +421,6 @@ def quality(documents: DataFrame, labels: DataFrame, held_out_by: int = 3, held_
     Word vectors are counted over all documents. Labels are learnt only of ids
     whose crc32 as text, modulo ``held_out_by``, is not ``held_out``.
     """
-    words = word_sums(documents)
+    words = word_sums(documents, least_texts=2)
     learn = remainder("doc_id", held_out_by) != held_out
     return score(documents, train(documents, labels, learn, words), words)

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,61 @@ def test_every_word_has_a_vector_of_its_own(spark, monkeypatch):
     assert np.allclose([s for _, s in scored], [s for _, s in scores()], atol=1e-6)
 
 
+def test_words_of_one_text_are_pooled_as_if_they_had_a_row(spark):
+    """Features are those of a table of all words, and of the method done plainly, word by word."""
+    rng = np.random.default_rng(8)
+    common = [f"w{n}" for n in range(40)]
+    texts = [" ".join([*rng.choice(common, rng.integers(0, 30)), f"Only{n}", *rng.choice(common, 5), f"only{n}", f"rare{n}!"]) for n in range(150)]
+    texts += ["", "alone", texts[3], "x" * 3000 + " y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    features = {}
+    for least in (1, 2):
+        table = quality.word_sums(docs, least)
+        run = lambda batch, table: [pa.record_batch([batch.column("doc_id"), pa.array(quality.pooled(batch.column("text").to_pylist(), *table).tolist())], ["doc_id", "x"])]
+        found = quality.looked_up(docs, table, run, "doc_id long, x array<double>").collect()
+        features[least] = np.array([r["x"] for r in sorted(found, key=lambda r: r["doc_id"])])
+    assert quality.word_sums(docs, 2).count() < quality.word_sums(docs, 1).count() - 100
+    assert np.allclose(features[1], features[2], atol=1e-6)
+    keys = [quality._keys(w.words(next(w.parts([t])))) for t in texts]
+    vector, count = {}, {}
+
+    def index(word):
+        word, x = int(word) % 2**64, np.zeros(quality.WIDTH)
+        for n in range(4):
+            x[16 * n + (word >> 60 - 4 * n & 15)] += (word >> 40 + n & 1) * 2 - 1
+        return x
+
+    for own, shape in keys:
+        for i, word in enumerate(own):
+            near = [(j, index(own[j])) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
+            for key, x in ((word, [v for _, v in near]), (shape[i], [])):
+                vector[key] = vector.get(key, 0) + sum(x, np.zeros(quality.WIDTH))
+                count[key] = count.get(key, 0) + 1
+        for i in range(len(own)):
+            for j in (i + 1, i + 2):
+                if j < len(own):
+                    vector[shape[i]] = vector[shape[i]] + index(own[j])
+                    vector[shape[j]] = vector[shape[j]] + index(own[j])
+    total = sum(count.values())
+    for n, (own, shape) in enumerate(keys):
+        both = [*own, *shape]
+        unit = lambda k: vector[k] / max(1, np.linalg.norm(vector[k])) * 0.01 / (0.01 + count[k] / total)
+        for at, some in ((0, both), (quality.WIDTH, sorted(set(both)))):
+            mean = sum(map(unit, some), np.zeros(quality.WIDTH)) / max(1, len(some))
+            # sums beyond a byte are rounded to one
+            assert np.allclose(features[2][n][at : at + quality.WIDTH], mean, atol=3e-3)
+        assert np.isclose(features[2][n][-3], np.log1p(len(both))) and np.isclose(features[2][n][-2], np.log1p(len(set(both))))
+
+
+@pytest.mark.parametrize("most", [1, 5, 127, 128, 10**6])
+def test_sums_are_read_as_they_were_sent(most):
+    rng = np.random.default_rng(most)
+    sums = rng.integers(-most, most + 1, (500, quality.WIDTH)) * (rng.random((500, quality.WIDTH)) < rng.random((500, 1)))
+    assert (quality._unpacked(quality._packed(sums)) == sums).all()
+    assert (quality._unpacked(quality._packed(sums).slice(7, 100)) == sums[7:107]).all()
+    assert len(quality._packed(sums[:0])) == 0
+
+
 # Archives
 
 

@@ -27,7 +27,7 @@ WIDTH, ONES, SEED = 64, 4, 11
 SHAPES = 64
 WINDOW = 2
 #: Rows of words that a task holds before it sums them or sends them on.
-HELD = 200_000
+HELD = 120_000
 #: Words and shapes, counted each time, of the texts whose vectors a task holds at once, about.
 CHUNK = 12_000_000
 #: Labelled rows that the network is trained on, at most.
@@ -49,11 +49,29 @@ def _keys(found: w.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """Each different key, in order, and the sums of its columns."""
+    """Each different key, in order, and the sums of its columns; wide ones are added up in parts."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    return [keys[first], *(np.add.reduceat(c[order], first, axis=0) if len(first) else c for c in columns)]
+
+    def added(column: np.ndarray) -> np.ndarray:
+        if not len(first):
+            return column
+        if column.ndim == 1:
+            return np.add.reduceat(column[order], first)
+        sums = np.empty((len(first), column.shape[1]), column.dtype)
+        for at in range(0, column.shape[1], 8):
+            sums[:, at : at + 8] = np.add.reduceat(column[:, at : at + 8][order], first, axis=0)
+        return sums
+
+    return [keys[first], *map(added, columns)]
+
+
+def _joined(held: list[tuple]) -> list[np.ndarray]:
+    """The tables in ``held``, which is emptied, as one."""
+    columns = list(zip(*held))
+    held.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
 
 
 def _packed(sums: np.ndarray) -> pa.Array:
@@ -111,14 +129,14 @@ def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def _summed(to: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
     """Sums of index vectors of the words ``of``, by the rows ``to``."""
-    of = of.view(np.uint64)
-    sums = np.zeros(rows * WIDTH)
+    of, part = of.view(np.uint64), WIDTH // ONES
+    sums = np.empty((rows, WIDTH), np.int32)
     for n in range(ONES):
         # the index vector is made of the word's hash: a one in each quarter
-        place = n * (WIDTH // ONES) + ((of >> np.uint64(60 - 4 * n)) & np.uint64(15)).astype(np.int64)
-        sign = ((of >> np.uint64(40 + n)) & np.uint64(1)).astype(np.int64) * 2 - 1
-        sums += np.bincount(to * WIDTH + place, sign, len(sums))
-    return sums.astype(np.int32).reshape(-1, WIDTH)
+        place = to * part + ((of >> np.uint64(60 - 4 * n)) & np.uint64(15)).astype(np.int64)
+        sign = ((of >> np.uint64(40 + n)) & np.uint64(1)).astype(np.int8) * 2 - 1
+        sums[:, n * part : (n + 1) * part] = np.bincount(place, sign, rows * part).reshape(rows, part)
+    return sums
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +161,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of += [x[same] for x in (own[apart:], own[:-apart], own[apart:], own[apart:])]
             held.append((keys, counts, many, _summed(np.concatenate(to), np.concatenate(of), len(keys))))
             if sum(len(x[0]) for x in held) > HELD:
-                held = [tuple(_merged(*map(np.concatenate, zip(*held))))]
+                held = [tuple(_merged(*_joined(held)))]
                 if len(held[0][0]) > HELD // 2:
                     yield from _sent(*held.pop())
     if held:
-        yield from _sent(*_merged(*map(np.concatenate, zip(*held))))
+        yield from _sent(*_merged(*_joined(held)))
 
 
 def _added(batches: Iterator[pa.RecordBatch], least_texts: int) -> Iterator[pa.RecordBatch]:
@@ -298,7 +316,7 @@ def pooled(many: list[str], words: np.ndarray, vectors: np.ndarray, scales: np.n
         found = w.words(group)
         own, shape = _keys(found)
         spots = [np.searchsorted(words, k) for k in (own, shape)]
-        known = [(np.append(words, 0)[x] == k) & (x < len(words)) for x, k in zip(spots, (own, shape))]
+        known = [words[np.minimum(x, len(words) - 1)] == k if len(words) else np.zeros(len(k), bool) for x, k in zip(spots, (own, shape))]
         keys = np.concatenate([found.text[k] * size + x[k] for x, k in zip(spots, known)])
         keys, times = _merged(np.concatenate([open_keys, keys]), np.concatenate([open_times, np.ones(len(keys), np.int64)]))
         ended = np.searchsorted(keys, group[-1][0] * size)  # the last text may go on in the next group

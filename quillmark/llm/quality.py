@@ -127,16 +127,15 @@ def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return (*numbers, _unpacked(batch.column("sums")))
 
 
-def _summed(to: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of index vectors of the words ``of``, by the rows ``to``."""
+def _sum_up(sums: np.ndarray, to: np.ndarray, of: np.ndarray) -> None:
+    """Adds the index vectors of the words ``of`` to the rows ``to``."""
     of, part = of.view(np.uint64), WIDTH // ONES
-    sums = np.empty((rows, WIDTH), np.int32)
     for n in range(ONES):
         # the index vector is made of the word's hash: a one in each quarter
         place = to * part + ((of >> np.uint64(60 - 4 * n)) & np.uint64(15)).astype(np.int64)
         sign = ((of >> np.uint64(40 + n)) & np.uint64(1)).astype(np.int8) * 2 - 1
-        sums[:, n * part : (n + 1) * part] = np.bincount(place, sign, rows * part).reshape(rows, part)
-    return sums
+        found = np.bincount(place, sign, len(sums) * part).astype(np.int32)
+        sums[:, n * part : (n + 1) * part] += found.reshape(-1, part)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +152,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.concatenate([found.text, found.text])
             last[at], first[at[::-1]] = both, both[::-1]
             many = 1 + (first != last)
-            to, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sums = np.zeros((len(keys), WIDTH), np.int32)
             for apart in range(1, WINDOW + 1):
                 same = found.text[apart:] == found.text[:-apart]
-                to += [x[same] for x in (own_at[:-apart], own_at[apart:], shape_at[:-apart], shape_at[apart:])]
+                to = [x[same] for x in (own_at[:-apart], own_at[apart:], shape_at[:-apart], shape_at[apart:])]
                 # shapes on either side are given the word on the right
-                of += [x[same] for x in (own[apart:], own[:-apart], own[apart:], own[apart:])]
-            held.append((keys, counts, many, _summed(np.concatenate(to), np.concatenate(of), len(keys))))
+                of = [x[same] for x in (own[apart:], own[:-apart], own[apart:], own[apart:])]
+                _sum_up(sums, np.concatenate(to), np.concatenate(of))
+            held.append((keys, counts, many, sums))
             if sum(len(x[0]) for x in held) > HELD:
                 held = [tuple(_merged(*_joined(held)))]
                 if len(held[0][0]) > HELD // 2:
@@ -277,14 +277,12 @@ def _alone(found: w.Words, own: np.ndarray, unknown: np.ndarray, total: int) ->
     """Words of one text only: their text, how often they stand there, and their vectors, from their neighbours there."""
     places = np.flatnonzero(unknown)
     _, first, at, times = np.unique(own[places], return_index=True, return_inverse=True, return_counts=True)
-    to, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    sums = np.zeros((len(first), WIDTH), np.int32)
     for apart in range(1, WINDOW + 1):
         for beside in (places + apart, places - apart):
             inside = (beside >= 0) & (beside < len(own))
             inside[inside] = found.text[beside[inside]] == found.text[places[inside]]
-            to.append(at[inside])
-            of.append(own[beside[inside]])
-    sums = _summed(np.concatenate(to), np.concatenate(of), len(first))
+            _sum_up(sums, at[inside], own[beside[inside]])
     return found.text[places[first]], times, sums * _scales(times, sums, total)[:, None]
 
 

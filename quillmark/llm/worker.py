@@ -11,6 +11,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 
 
+def _give_back() -> None:
+    """A worker goes on, or waits for its next task, with all memory it ever had, unless it gives back what is free."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(key: str, make: Callable):
     """What a worker makes once and uses in all its tasks, such as a tokenizer.
 
@@ -22,6 +28,7 @@ def kept(key: str, make: Callable):
     state = sys.modules.setdefault("quillmark_worker_state", ModuleType("quillmark_worker_state"))
     if getattr(state, "key", None) != key:
         state.key = state.value = None
+        _give_back()
         state.value = make()
         state.key = key
     return state.value
@@ -32,9 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    # a worker waits for its next task with all it ever had, unless it gives back what is free
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    _give_back()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

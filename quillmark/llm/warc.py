@@ -5,9 +5,11 @@
     spark.read.format("warc").load(folder).where("record_type = 'response'")
 
 Every record is a gzip member of its own, whose extra field ``sl`` tells its
-length, so a reader inflates a record's header and passes over the rest unread.
-Other people's archives, plain or gzipped, with or without that field, are read
-too.
+length, so a reader inflates a record's header, up to a kibibyte beyond it, and
+passes over the rest. Files are read once, 64 KiB ahead; what a jump leaves beyond
+that is not read. Other people's archives, plain or gzipped, with or without that
+field, are read too. Records without a header are null there, an archive that
+ends within a record is an error, and an empty folder has no records.
 """
 
 import json
@@ -50,7 +52,9 @@ ARROW = pa.schema(
     [(name, pa.string()) for name in NAMED]
     + [("payload_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
 )
-CHUNK = 1 << 16
+#: Bytes read ahead of a file; fed to inflation at once; inflated at once in search of a blank line.
+CHUNK, FEED, HEAD = 1 << 16, 1 << 12, 1 << 10
+BLANK = b"\r\n\r\n"
 #: A file is closed and a new one begun beyond this size; a batch of records is passed on.
 FILE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
@@ -153,13 +157,21 @@ class Files(InputPartition):
 
 
 class _Input:
-    """Bytes of a file, or of its gzip members, with passing over."""
+    """Bytes of a file from a place on, through one buffer: what was read ahead is not
+    read again, and what is passed over beyond it is not read at all."""
 
     def __init__(self, file):
         self.file, self.size, self.at = file, file.size(), 0
+        self.ahead, self.begin = b"", 0
 
     def plain(self, n: int) -> bytes:
-        return self.file.read_at(min(n, self.size - self.at), self.at)
+        """The next ``n`` bytes, fewer at the end of the file."""
+        n = min(n, self.size - self.at)
+        if self.at + n > self.begin + len(self.ahead):
+            kept = self.ahead[self.at - self.begin :] if self.at >= self.begin else b""
+            self.ahead = kept + self.file.read_at(max(n, CHUNK) - len(kept), self.at + len(kept))
+            self.begin = self.at
+        return self.ahead[self.at - self.begin :][:n]
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -170,73 +182,80 @@ def _headers(data: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in pairs}
 
 
-def _blocks(file, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+def _blocks(file, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of the records; ``wanted`` tells by the headers: None to leave out
-    the record, or how many bytes of the block to inflate (-1: all)."""
+    the record, else whether the whole block is needed or only the HTTP headers it begins with."""
     source = _Input(file)
     while source.at < source.size:
-        start = source.plain(CHUNK)
-        if start[:2] == b"\x1f\x8b":
-            yield from _gzipped(source, start, wanted)
+        if source.plain(2) == b"\x1f\x8b":
+            yield from _gzipped(source, wanted)
         else:
             yield from _plain(source, wanted)
 
 
-def _gzipped(source: _Input, start: bytes, wanted):
-    begin = source.at
-    flags = start[3]
+def _is_http(headers: dict[str, str]) -> bool:
+    return headers.get("content-type", "").startswith("application/http")
+
+
+def _gzipped(source: _Input, wanted):
+    """One member: inflated step by step up to the blank line, then as far as is wanted."""
+    begin, start = source.at, source.plain(24)
     jump = None
-    if flags & 4 and start[12:14] == b"sl":
+    if start[3] & 4 and start[12:14] == b"sl":
         jump = struct.unpack_from("<I", start, 16)[0]
     inflate = zlib.decompressobj(31)
-    source.at += len(start)
-    data = inflate.decompress(start)
 
-    def more() -> bytes:
-        part = source.plain(CHUNK)
+    def more(most: int) -> bytes:
+        part = inflate.unconsumed_tail
         if not part:
+            part = source.plain(FEED)
+            source.at += len(part)
+        found = inflate.decompress(part, most)
+        if not part and not found and not inflate.eof:
             raise ValueError("an archive ends within a record")
-        source.at += len(part)
-        return inflate.decompress(part)
+        return found
 
-    while (end := data.find(b"\r\n\r\n")) < 0 and not inflate.eof:
-        data += more()
+    data = b""
+    while (end := data.find(BLANK)) < 0 and not inflate.eof:
+        data += more(max(HEAD, len(data)))
     headers = _headers(data[:end])
-    length = int(headers.get("content-length", 0))
-    want = wanted(headers)
-    if want is not None:
-        need = end + 4 + (length if want < 0 else min(want, length))
-        parts, have = [data], len(data)
-        while have < need and not inflate.eof:
-            parts.append(more())
+    whole = wanted(headers)
+    if whole is not None:
+        length = int(headers.get("content-length", 0))
+        most = length if whole else min(length, CHUNK) if _is_http(headers) else 0
+        parts = [data[end + 4 :]]
+        have = len(parts[0])
+        while have < most and not inflate.eof and (whole or BLANK not in b"".join(parts)):
+            parts.append(more(most - have if whole else HEAD))
             have += len(parts[-1])
-        yield headers, b"".join(parts)[end + 4 : need]
+        yield headers, b"".join(parts)[:most]
     if jump:
         source.at = begin + jump
+        if source.at > source.size:
+            raise ValueError("an archive ends within a record")
         return
     while not inflate.eof:
-        more()
+        more(CHUNK)
     source.at -= len(inflate.unused_data)
 
 
 def _plain(source: _Input, wanted):
-    data, size = b"", CHUNK
-    while (end := data.find(b"\r\n\r\n")) < 0:
+    data, size = b"", HEAD
+    while (end := data.find(BLANK, len(data) - len(data.lstrip(b"\r\n")))) < 0:
         data = source.plain(size)
-        if not data.strip():
+        if len(data) < size and BLANK not in data.lstrip(b"\r\n"):
+            if data.strip():
+                raise ValueError("an archive ends within a header")
             source.at += len(data)
             return
-        if end < 0 and len(data) < size and b"\r\n\r\n" not in data:
-            raise ValueError("an archive ends within a header")
         size *= 2
-    lead = len(data) - len(data.lstrip(b"\r\n"))
-    headers = _headers(data[lead:end])
+    headers = _headers(data[:end].lstrip(b"\r\n"))
     length = int(headers.get("content-length", 0))
-    body = source.at + end + 4
-    want = wanted(headers)
-    if want is not None:
-        yield headers, source.file.read_at(length if want < 0 else min(want, length), body)
-    source.at = min(source.size, body + length + 4)
+    source.at += end + 4
+    whole = wanted(headers)
+    if whole is not None:
+        yield headers, source.plain(length if whole else min(length, CHUNK) if _is_http(headers) else 0)
+    source.at = min(source.size, source.at + length + 4)
 
 
 class WarcReader(DataSourceReader):
@@ -297,10 +316,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        def wanted(headers: dict[str, str]) -> int | None:
-            if not self._passes(headers):
-                return None
-            return -1 if self.with_payload else CHUNK
+        def wanted(headers: dict[str, str]) -> bool | None:
+            return self.with_payload if self._passes(headers) else None
 
         rows, held = [], 0
         for path in partition.paths:
@@ -327,8 +344,8 @@ def _value(headers: dict[str, str], name: str) -> str | None:
 def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> dict:
     row = {name: _value(headers, key) for name, key in NAMED.items()} | {"headers": list(headers.items())}
     length, payload = int(headers.get("content-length", 0)), block
-    if headers.get("content-type", "").startswith("application/http"):
-        head, _, payload = block.partition(b"\r\n\r\n")
+    if _is_http(headers):
+        head, _, payload = block.partition(BLANK)
         told = re.search(rb"(?im)^content-length:\s*(\d+)", head)
         length = int(told[1]) if told else length - len(head) - 4
     whole = with_payload and row["record_type"] != "revisit"
@@ -362,19 +379,21 @@ def page_records(pages: DataFrame, least: int = 100, date: str = "1970-01-01T00:
     page_id is a response and the others are revisits of it; all smaller ones
     are responses. A null html is an empty payload, a null url has no target,
     and a null page_id is never the one referred to unless all are null.
-    Repeated rows of the smallest id are responses each. The digest is computed
-    once, ids are reduced per digest before the shuffle, and only the join back
-    moves payloads.
+    Repeated rows of the smallest id are responses each, an empty table has no
+    records, and further columns, whatever they are called, are left out. Ids are
+    reduced per digest before the shuffle, and only the join back moves payloads:
+    those of at least ``least`` bytes, as no smaller one meets another.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     records = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"))
     records = records.withColumns(
         {"payload_length": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)}
     )
-    large = F.col("payload_length") >= least
-    firsts = records.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = records.join(firsts.where("n > 1").drop("n"), "digest", "left")
-    revisit = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    large = records.where(F.col("payload_length") >= least)
+    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    small = records.where(F.col("payload_length") < least).withColumn("first", F.lit(None))
+    joined = large.join(firsts.where("n > 1").drop("n"), "digest", "left").unionByName(small)
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     return joined.select(
         name("page_id").alias("record_id"),

@@ -227,18 +227,94 @@ def test_predicates_reach_the_reader_and_payloads_stay_unread(spark, plan_of):
     assert found == ["revisit"] * 5
 
 
-def test_large_payloads_are_passed_over(spark, monkeypatch):
-    """A record that isn't wanted is not read beyond its first chunk."""
-    rng = np.random.default_rng(0)
-    big = "".join(map(chr, rng.integers(33, 126, 2_000_000)))
-    folder = written(spark, spark.createDataFrame([(1, "u", big), (2, "u", "small")], "page_id long, url string, html string").coalesce(1))
-    read = []
-    plain = warc._Input.plain
-    monkeypatch.setattr(warc._Input, "plain", lambda self, n: read.append(len(data := plain(self, n))) or data)
-    own = warc.WarcReader({"path": folder})
-    list(own.pushFilters([warc.EqualTo(("record_id",), "urn:page:2")]))
-    assert [r for p in own.partitions() for b in own.read(p) for r in b.column("payload").to_pylist()] == [b"small"]
-    assert sum(read) < 4 * warc.CHUNK
+class Watched:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        assert 0 <= at < len(self.data) or n == 0
+        self.read += len(self.data[at : at + n])
+        return self.data[at : at + n]
+
+
+@pytest.fixture
+def inflated(monkeypatch):
+    """How many bytes each call of an inflater has given."""
+    sizes, make = [], warc.zlib.decompressobj
+
+    class Inflater:
+        def __init__(self, *args):
+            self.own = make(*args)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def decompress(self, data, *most):
+            sizes.append(len(found := self.own.decompress(data, *most)))
+            return found
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Inflater)
+    return sizes
+
+
+def members(payloads):
+    return b"".join(
+        warc._member(warc._record({
+            "record_id": f"urn:page:{n}", "record_type": "response", "target_uri": "u", "date": "d", "refers_to": None,
+            "payload_digest": "sha256:0", "payload_length": None, "payload": payload,
+        }))
+        for n, payload in enumerate(payloads)
+    )
+
+
+def noise(size, seed=0):
+    return np.random.default_rng(seed).integers(33, 126, size).astype(np.uint8).tobytes()
+
+
+def test_small_pages_that_are_not_wanted_are_neither_inflated_nor_read_twice(inflated):
+    payloads = [noise(3000 + n, n) for n in range(250)]
+    file = Watched(members(payloads))
+    assert list(warc._blocks(file, lambda headers: None)) == []
+    assert file.read <= len(file.data)
+    assert sum(inflated) <= 250 * warc.HEAD < sum(map(len, payloads)) // 2
+    del inflated[:]
+    heads = list(warc._blocks(Watched(file.data), lambda headers: False))
+    assert [int(h["content-length"]) > len(p) for (h, _), p in zip(heads, payloads)] == [True] * 250
+    assert sum(inflated) <= 250 * 2 * warc.HEAD
+    whole = Watched(file.data)
+    found = [block.partition(warc.BLANK)[2] for _, block in warc._blocks(whole, lambda headers: True)]
+    assert found == payloads and whole.read == len(file.data)
+
+
+def test_large_payloads_are_passed_over(inflated):
+    """Of a record that isn't wanted no more is read than what was read ahead."""
+    file = Watched(members([noise(2_000_000), b"small", noise(1_000_000), b""]))
+    wanted = lambda headers: True if headers["warc-record-id"] == "<urn:page:1>" else None
+    assert [block.partition(warc.BLANK)[2] for _, block in warc._blocks(file, wanted)] == [b"small"]
+    assert file.read <= 4 * warc.CHUNK and sum(inflated) <= 5 * warc.HEAD
+
+
+@pytest.mark.parametrize("size", [0, 1, warc.FEED, warc.CHUNK - 1, warc.CHUNK, 300_000])
+def test_payloads_of_any_size_come_back(size):
+    """Well and badly packed ones, which end anywhere in what is read ahead."""
+    payloads = [noise(size), b"x" * size, b"\r\n\r\n" * size, noise(size, 1)]
+    data = members(payloads)
+    for one in (data, b"".join(gzip.compress(gzip.decompress(members([p]))) for p in payloads)):
+        found = [block.partition(warc.BLANK)[2] for _, block in warc._blocks(Watched(one), lambda headers: True)]
+        assert found == payloads
+        assert [block.count(warc.BLANK) > 0 for _, block in warc._blocks(Watched(one), lambda headers: False)] == [True] * 4
+
+
+@pytest.mark.parametrize("cut", [1, 40, 2000])
+def test_archives_cut_short_are_an_error(cut):
+    data = members([b"a", noise(5000)])[:-cut]
+    with pytest.raises(ValueError):
+        list(warc._blocks(Watched(data), lambda headers: True))
 
 
 def record(kind, body, **more):

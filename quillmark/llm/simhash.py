@@ -1,11 +1,14 @@
 """Operator 6: near duplicates by SimHash, with pivot distance tables.
 
 Two fingerprints within a distance r differ in their distance to any third, a
-pivot, by at most r. Each fingerprint's distances to many pivots are computed
-once per row; a pair is discarded as soon as one of them differs by more, and only
-survivors are compared bit by bit. Pivots alone would have all pairs looked at, so
-pairs meet only where they must agree: of ``blocks`` parts of the bits at most r
-differ, so some ``blocks - r`` parts are equal, and each choice of them is a key.
+pivot, by at most r. Each different fingerprint's distances to many pivots are
+computed once and written down; they are its coordinates. Pivots alone would have
+all pairs looked at, so pairs meet only where they must agree: of ``blocks`` parts
+of the bits at most r differ, so some ``blocks - r`` parts are equal, and each
+choice of them is a key. The rows of a key are sorted by the coordinate that
+spreads them most, and a row is paired only with those up to r further on; a pair
+is discarded if any other coordinate differs by more, and only survivors are
+compared bit by bit.
 """
 
 from collections.abc import Iterator
@@ -23,6 +26,8 @@ from quillmark.sources.stages import stage
 
 BITS = 64
 SEED = 42
+#: Fingerprints a key may have by chance before more blocks are taken.
+CROWD = 256
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -77,23 +82,57 @@ def _masks(bits: int, blocks: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def links(classes: DataFrame, bits: int = 4, blocks: int = 6, pivots: int = 24) -> DataFrame:
-    """Links a, b between ids of near fingerprints (id, fp): enough to hold each group together.
+def _blocks(classes: int, bits: int) -> int:
+    """So many blocks that a key has a few hundred fingerprints of different groups at most."""
+    blocks = bits + 2
+    while classes >> (BITS * (blocks - bits) // blocks) > CROWD and blocks < 2 * bits:
+        blocks += 1
+    return blocks
+
+
+def with_distances(classes: DataFrame, pivots: int = 24) -> DataFrame:
+    """The table with the Hamming distances of ``fp`` to fixed pivots, eight in a long each."""
+    drawn = np.random.default_rng(SEED).integers(-1 << 63, (1 << 63) - 1, pivots, np.int64, endpoint=True)
+    far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) for p in drawn.tolist()]
+    eights = [far[n : n + 8] for n in range(0, pivots, 8)]
+    packed = [sum((F.shiftleft(d.cast("long"), 8 * n) for n, d in enumerate(e)), F.lit(0).cast("long")) for e in eights]
+    return classes.withColumns({f"pivots_{n}": column for n, column in enumerate(packed)})
+
+
+def _windows(end: np.ndarray, distances: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, tile by tile, and there the row each row's partners end before.
+
+    A tile is sorted by the pivot whose distances vary most in it.
+    """
+    begin = np.concatenate([[0], np.flatnonzero(end[1:] != end[:-1]) + 1])
+    size = np.diff(np.append(begin, len(end)))
+    far = distances.astype(np.int64)
+    spread = np.add.reduceat(far * far, begin) * size[:, None] - np.add.reduceat(far, begin) ** 2
+    tile = np.repeat(np.arange(len(begin)), size)
+    own = far[np.arange(len(end)), np.repeat(spread.argmax(axis=1), size)] + tile * (4 * BITS)
+    order = np.argsort(own, kind="stable")
+    return order, np.searchsorted(own[order], own[order] + bits, "right")
+
+
+def links(classes: DataFrame, bits: int = 4, blocks: int = 6) -> DataFrame:
+    """Links a, b between ids of near fingerprints (id, fp, distances): enough to hold each group together.
 
     Rows of a null id are left out. Any two fingerprints that differ in at most
     ``bits`` bits are compared, in each tile of the keys they share; of a dense
     tile only the links that join what was apart are given, at most one per row.
-    ``blocks`` may grow with the data: more blocks make more and rarer keys.
+    More blocks make more and rarer keys, and the same links.
     """
     masks = _masks(bits, blocks)
     keys = F.array(*(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m))) for n, m in enumerate(masks)))
-    keyed = classes.where("id IS NOT NULL").select("id", "fp", F.explode(keys).alias("key"))
-    references = np.random.default_rng(SEED).integers(0, 1 << 63, (1, pivots), np.uint64) * np.uint64(2) + np.uint64(1)
+    coordinates = [c for c in classes.columns if c.startswith("pivots_")]
+    keyed = classes.where("id IS NOT NULL").select("id", "fp", *coordinates, F.explode(keys).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, end in whole_runs(batches, "key"):
-            ids, fps = table["id"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-            distances = np.bitwise_count(fps[:, None] ^ references).astype(np.int8)
+            distances = np.stack([table[c].to_numpy() for c in coordinates], axis=1).view(np.int8)
+            order, end = _windows(end, distances, bits)
+            ids, fps = table["id"].to_numpy()[order], table["fp"].to_numpy().view(np.uint64)[order]
+            distances = distances[order]
             linked = Linked(len(ids))
             for a, b in pairs(end):
                 new = linked.apart(a, b)
@@ -116,11 +155,12 @@ def near_duplicates(documents: DataFrame, words: int = 4, bits: int = 4) -> Data
     Equal fingerprints, that of all texts without words included, are one class
     and searched once. Rows without an id keep their fingerprint and get the
     component of others with it, or null; repeated rows each keep their row.
-    ``row`` is a hash of the text.
+    An empty table gives an empty one; other columns, whatever they are called, are
+    left out. ``row`` is a hash of the text.
     """
     prints = stage(fingerprints(documents, words), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    found = components(links(classes, bits))
+    classes = stage(with_distances(prints.groupBy("fp").agg(F.min("doc_id").alias("id"))), "classes")
+    found = components(links(classes, bits, _blocks(classes.count(), bits)))
     placed = classes.join(found, classes["id"] == found["node"], "left")
     placed = placed.select(F.col("fp"), F.coalesce("component", "id").alias("component_id"))
     return prints.join(placed, "fp").select("doc_id", "fp", "component_id", "row")

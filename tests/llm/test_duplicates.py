@@ -87,7 +87,8 @@ def test_one_document_of_each_group_stays(spark, documents, no_documents):
     assert simhash.without_near_duplicates(no_documents).count() == 0
 
 
-def test_links_of_random_and_dense_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [6, 8])
+def test_links_of_random_and_dense_fingerprints(spark, monkeypatch, blocks):
     """Chains of near prints, a dense group beyond one tile, and prints at distance 4 and 5."""
     monkeypatch.setattr(buckets, "MOST", 64)
     monkeypatch.setattr(buckets.deal, "__defaults__", (64,))
@@ -97,11 +98,52 @@ def test_links_of_random_and_dense_fingerprints(spark, monkeypatch):
     prints = [*base, *(flips(x, 4) for x in base), *(flips(x, 5) for x in base), *(flips(base[0], 2) for _ in range(500))]
     p = np.unique(np.array(prints, np.uint64))
     rows = [(n, int(v)) for n, v in enumerate(p.view(np.int64))]
-    links = simhash.links(spark.createDataFrame(rows, "id long, fp long")).collect()
+    classes = simhash.with_distances(spark.createDataFrame(rows, "id long, fp long"))
+    links = simhash.links(classes, blocks=blocks).collect()
     a, b = np.nonzero(np.triu(np.bitwise_count(p[:, None] ^ p) <= 4, 1))
     assert groups(len(p), [(r["a"], r["b"]) for r in links]) == groups(len(p), zip(a.tolist(), b.tolist()))
 
 
+def test_pivot_distances_are_written_down(spark):
+    prints = np.random.default_rng(5).integers(-1 << 63, 1 << 62, 50)
+    rows = simhash.with_distances(spark.createDataFrame([(int(f),) for f in prints], "fp long"), pivots=24).collect()
+    drawn = np.random.default_rng(simhash.SEED).integers(-1 << 63, (1 << 63) - 1, 24, np.int64, endpoint=True)
+    for r in rows:
+        found = np.array([r[f"pivots_{n}"] for n in range(3)]).view(np.int8)
+        assert found.tolist() == np.bitwise_count((np.int64(r["fp"]) ^ drawn).view(np.uint64)).tolist()
+
+
+def test_a_row_is_paired_only_within_the_window_of_a_pivot():
+    """No near pair is lost, and far fewer pairs are looked at than the tiles have."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 600, np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64))
+    tile = np.sort(rng.integers(0, 4, 1200))
+    end = np.searchsorted(tile, tile, "right")
+    fps = rng.permutation(np.concatenate([base, near]))
+    drawn = rng.integers(0, 1 << 63, 24, np.uint64)
+    distances = np.bitwise_count(fps[:, None] ^ drawn).astype(np.int8)
+    order, windows = simhash._windows(end, distances, 4)
+    assert (tile[order] == tile).all() and (windows <= end).all()
+    looked, survive, found = 0, 0, set()
+    for a, b in buckets.pairs(windows):
+        looked += len(a)
+        a, b = order[a], order[b]
+        kept = np.abs(distances[a] - distances[b]).max(axis=1) <= 4
+        survive += int(kept.sum())
+        hit = kept & (np.bitwise_count(fps[a] ^ fps[b]) <= 4)
+        found |= {(min(x, y), max(x, y)) for x, y in zip(a[hit].tolist(), b[hit].tolist())}
+    a, b = np.nonzero(np.triu((np.bitwise_count(fps[:, None] ^ fps) <= 4) & (tile[:, None] == tile), 1))
+    assert found == set(zip(a.tolist(), b.tolist()))
+    every = int((end - np.arange(1200) - 1).sum())
+    assert looked < 0.6 * every and survive < 0.01 * every
+
+
+def test_more_fingerprints_have_more_blocks():
+    assert [simhash._blocks(n, 4) for n in (0, 10**6, 10**9, 10**10, 10**11, 10**15)] == [6, 6, 7, 7, 8, 8]
+    assert simhash._blocks(10**12, 0) == 2
+
+
 # Lines
 
 

@@ -563,6 +563,10 @@ ORACLES: dict[str, str] = {
         SELECT {_SLOT}, solution_type,
                dense_rank() OVER (ORDER BY exam_id, student_id, q_no) - 1 AS identification
         FROM word_pairs""", "word_pairs"),
+    "lasting_identification": _sql(f"""
+        SELECT {_SLOT}, row_number() OVER (
+          ORDER BY CAST(student_id AS INTEGER) % 3, exam_id, student_id, q_no) - 1 AS identification
+        FROM (SELECT DISTINCT {_SLOT} FROM word_pairs)""", "word_pairs"),
     "sort_sheet": _sql("SELECT surname, first_name, identification FROM vector_scored", "vector_scored"),
     "sample_training": _sql(f"""
         SELECT identification, question, student_solution FROM {_POOL}
@@ -720,6 +724,11 @@ ORACLES: dict[str, str] = {
 }
 
 # From papers to the sheet: the same scores on stripped texts, calibrated on the labels.
+ORACLES["papers_in_steps"] = _sql(f"""
+    SELECT {_SLOT}, solution_type, {_six('cosine_similarity')} AS cosine_similarity, row_number() OVER (
+      ORDER BY CAST(student_id AS INTEGER) % 2, exam_id, student_id, q_no) - 1 AS identification
+    FROM word_scored""", "word_scored")
+
 ORACLES["grade_papers"] = _sql(f"""
     , paper_train AS (
       SELECT s.cosine_similarity AS x, CAST(g.grading AS DOUBLE) / s.points AS y

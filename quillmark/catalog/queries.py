@@ -11,13 +11,14 @@ from quillmark.functions import text as text_functions
 from quillmark.functions.grades import relative, round_up
 from quillmark.functions.vectors import cosine
 from quillmark.operators import (
-    align, calibrate, embed, extract, generate, items, moments, rank, render, reshape, sampling, similarity,
+    align, calibrate, embed, extract, generate, items, moments, numbers, rank, render, reshape, sampling, similarity,
 )
 from quillmark.operators.joins import lookup
 from quillmark.plans import generative, grading, scoring
 from quillmark.schemas import ITEM_KEY, SLOT
 from quillmark.session import new_path
 from quillmark.sources import documents, sheets, stages
+from quillmark.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -420,6 +421,17 @@ def identification(data: Data) -> DataFrame:
     return numbered.select(*SLOT, "solution_type", "identification")
 
 
+@query
+def lasting_identification(data: Data) -> DataFrame:
+    """Slots that come in three steps, by student; the second brings those of the first again."""
+    keys = b.candidates(data).select(*SLOT)
+    came = F.pmod(F.col("student_id").cast("int"), F.lit(3))
+    folder = new_path(data.spark, "numbers")
+    for n, of_step in enumerate((came == 0, came < 2, came == 2)):
+        numbers.number_new(keys.where(of_step), folder, n)
+    return numbers.lasting_numbers(data.spark, folder, keys.schema)
+
+
 @query
 def sort_sheet(data: Data) -> DataFrame:
     rows = sheets.sort_sheet(b.vector_scored(data))
@@ -650,6 +662,19 @@ def grade_papers(data: Data) -> DataFrame:
     return grading.similarity_scores(grading.calibrate(scored, graded), "Quarter Points")
 
 
+@query
+def papers_in_steps(data: Data) -> DataFrame:
+    """Papers of every other student arrive first, the others' when those are scored and numbered."""
+    exam = stages.stage(extract.extract_items(b.teacher_papers(data)), "items")
+    inbox, folder = new_path(data.spark, "inbox"), new_path(data.spark, "arrivals")
+    for n in range(2):
+        came = F.pmod(F.col("student_id").cast("int"), F.lit(2)) == n
+        documents.write_papers(render.render_answered(b.evaluation(data).where(came)), inbox, append=n > 0)
+        arrivals.take_in(arrivals.arriving_papers(data.spark, inbox), exam, folder)
+    scored = arrivals.scored_so_far(data.spark, folder)
+    return rounded(scored.select(*SLOT, "solution_type", "cosine_similarity", "identification"), "cosine_similarity")
+
+
 @query
 def grade_papers_rejects(data: Data) -> DataFrame:
     """Answers that are not graded, and why: one in 13 has a blank id, one in 11 belongs

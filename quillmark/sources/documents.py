@@ -77,9 +77,10 @@ def read_plain_texts(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def write_papers(papers: DataFrame, folder: str) -> None:
+def write_papers(papers: DataFrame, folder: str, append: bool = False) -> None:
     """``exam_id, text``: one text file per paper, in a folder per exam."""
     writer = papers.select("exam_id", F.col("text").alias("value")).write
+    writer = writer.mode("append" if append else "errorifexists")
     writer.option("maxRecordsPerFile", 1).partitionBy("exam_id").text(folder)
 
 

@@ -42,16 +42,6 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Pieces of at most ``window`` ids: doc_id, start, length, doc_tokens, ids.
-
-    A document longer than the window fills as many windows as it can, and what
-    is left is one more piece; others stay whole. A document without ids has no
-    piece. ``ids`` is binary as in ``tokens.encode_texts``.
-    """
-    return tokens.select("doc_id", "ids").mapInArrow(lambda batches: _cut(batches, window), PIECE)
-
-
 def _kept_small(df: DataFrame, name: str) -> DataFrame:
     """``stage`` for tables of ids, which take much less room so."""
     path = new_path(df.sparkSession, name)
@@ -74,7 +64,14 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def number_texts(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
-    """``cut`` of ``tokens.encode_texts`` in one Python step, as a written table; ``within`` ranks a task's pieces of a length."""
+    """Pieces of at most ``window`` ids: doc_id, start, length, doc_tokens, ids, part and within, as a written table.
+
+    Encoded as by ``tokens.encode_texts``, cut and ranked in one Python step: ``part``
+    is the task, ``within`` the rank among its pieces of a length. A document longer
+    than the window fills as many windows as it can, and what is left is one more
+    piece; others stay whole. A null or empty text is the end id alone; repeated
+    rows and null ids have pieces each, and an empty table has none.
+    """
     run = lambda batches: _numbered(_cut(encoded(batches, tokenizer, end_id), window))
     cut = documents.select("doc_id", "text").mapInArrow(run, f"{PIECE}, within long")
     return _kept_small(cut.withColumn("part", F.spark_partition_id()), "pieces")
@@ -132,43 +129,44 @@ def _before(dealt: DataFrame) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds ``rank``, from 0 without gaps among pieces of the same length.
+def _in_blocks(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The rows of ``slots``, one for each block of ranks they reach into, with the block
+    behind the length; and each length's ranks per block.
 
-    A frequent length is ranked in as many parts as a shuffle has, and the parts
-    are put one behind the other by their counts.
+    Blocks are as wide as the length's slots are on average. So there are at most
+    twice as many rows, and a rank is held against about two of them on average,
+    however many slots its length has and however uneven they are.
     """
-    spark = pieces.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
-    counts = _before(dealt)
-    order = Window.partitionBy("length", "part").orderBy(*[c for c in pieces.columns if c != "length"])
-    numbered = dealt.withColumn("within", F.row_number().over(order) - 1)
-    joined = numbered.join(counts.drop("count"), ["length", "part"])
-    return joined.withColumn("rank", F.col("before") + F.col("within")).drop("part", "before", "within")
-
-
-def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Gives every piece its sequence_id and its offset there.
-
-    ``pieces`` needs doc_id, start and length (1 to ``window``) and is read more
-    than once, so it should be a written table. Sequences are numbered from 0
-    and filled from offset 0 without gaps. Repeated rows are packed each; a table
-    without rows gives none.
-    """
-    return _placed(ranked(pieces), pieces.groupBy("length").count(), window)
+    of_length: dict[int, list[tuple]] = {}
+    for row in rows:
+        of_length.setdefault(row[0], []).append(row)
+    widths = {length: -(-max(r[2] for r in own) // len(own)) for length, own in of_length.items()}
+    cut = [
+        (length, block, first, end, *rest)
+        for length, first, end, *rest in rows
+        for block in range(first // widths[length], (end - 1) // widths[length] + 1)
+    ]
+    return cut, [*widths.items()]
 
 
 def _placed(numbered: DataFrame, histogram: DataFrame, window: int) -> DataFrame:
-    """Pieces with a rank by their length, as ``pack`` gives them; histogram: length and count."""
-    kinds = "length long, rank_from long, rank_to long, sequence_from long, offset long"
+    """Pieces with a rank by their length, with sequence_id and offset; histogram: length and count.
+
+    Sequences are numbered from 0 and filled from offset 0 without gaps.
+    """
+    spark = numbered.sparkSession
     counts = {r["length"]: r["count"] for r in histogram.collect()}
-    plan = numbered.sparkSession.createDataFrame(slots(patterns(counts, window)), kinds)
+    rows, widths = _in_blocks(slots(patterns(counts, window)))
     # at most two patterns per length and a window of slots per pattern: bounded, not by the data
-    here = (numbered["length"] == plan["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    placed = numbered.join(F.broadcast(plan), here).drop(plan["length"])
+    kinds = "length long, block long, rank_from long, rank_to long, sequence_from long, offset long"
+    plan = F.broadcast(spark.createDataFrame(rows, kinds))
+    wide = numbered.join(F.broadcast(spark.createDataFrame(widths, "length long, width long")), "length")
+    wide = wide.withColumn("block", F.expr("rank div width"))
+    here = (wide["length"] == plan["length"]) & (wide["block"] == plan["block"])
+    here = here & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
+    placed = wide.join(plan, here).drop(plan["length"], plan["block"])
     sequence = F.col("sequence_from") + F.col("rank") - F.col("rank_from")
-    return placed.withColumn("sequence_id", sequence).drop("rank", "rank_from", "rank_to", "sequence_from")
+    return placed.withColumn("sequence_id", sequence).drop("rank", "width", "block", "rank_from", "rank_to", "sequence_from")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +209,13 @@ def placed_pieces(packed: DataFrame) -> DataFrame:
     return found.select("doc_id", "start", length, "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def stage_pieces(pieces: DataFrame) -> DataFrame:
-    """Pieces as a written table, with their ids and the checksum of them."""
-    return stage(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
-
-
 def write_sequences(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """``sequences`` of all texts, encoded and cut, as a written table.
 
     Pieces are numbered by the counts of the tasks that cut them, so their ids
-    are moved once, to their sequence; twice if there are too many counts.
+    are moved once, to their sequence; twice if there are too many counts. Null
+    and empty texts, repeated rows and null ids are packed like others, texts of
+    any length are cut, other columns are left out, and an empty table has no sequence.
     """
     pieces = number_texts(documents, tokenizer, end_id, window)
     counts = stage(_before(pieces), "counts")

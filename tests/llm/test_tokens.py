@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quillmark.llm import byte_bpe, packing, pfor, token_files
 from quillmark.llm.queries import QUERIES
-from quillmark.llm.tokens import ChunkEncoder, encode_texts
+from quillmark.llm.tokens import ChunkEncoder
 from quillmark.session import new_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -134,24 +134,43 @@ def test_op2_query(spark, sf):
 def test_packing_of_odd_documents(spark, documents, no_documents, texts):
     unique = documents.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     ids = dict(zip([d for d, _ in texts], [[*x, 2] for x in ids_of(WORDS, [t for _, t in texts])]))
-    pieces = packing.stage_pieces(packing.cut(encode_texts(unique, WORDS, end_id=2)))
-    check_packing(packing.pack(pieces).collect(), ids)
-    every = packing.stage_pieces(packing.cut(encode_texts(documents, WORDS, end_id=2)))
-    packed = packing.pack(every)
-    assert packed.count() == every.count() and packed.where("doc_id IS NULL").count() == 2
-    none = packing.stage_pieces(packing.cut(encode_texts(no_documents, WORDS, end_id=2)))
-    assert packing.pack(none).count() == 0
+    packed = lambda df, **more: packing.placed_pieces(packing.write_sequences(df, WORDS, 2, **more))
+    check_packing(packed(unique).collect(), ids)
+    rows = packed(documents).collect()
+    whole = [r["doc_tokens"] for r in rows if r["start"] == 0]
+    assert len(whole) == documents.count() and sum(r["doc_id"] is None for r in rows) == 2
+    assert sum(r["length"] for r in rows) == sum(whole)
+    assert packed(no_documents).count() == 0
+    short = packed(unique, window=64).collect()
+    assert max(r["length"] for r in short) == 64
+    check_packing(short, ids, window=64)
 
 
 def test_sequences_hold_the_ids(spark, documents):
-    cut = packing.cut(encode_texts(documents.where("doc_id < 8"), WORDS, end_id=2), window=512)
-    packed = packing.pack(cut, window=512)
-    total = sum(len(r["ids"]) // 4 for r in cut.select("ids").collect())
-    rows = packing.sequences(packed).collect()
+    rows = packing.write_sequences(documents.where("doc_id < 8"), WORDS, 2, window=512).collect()
+    total = sum(x["length"] for r in rows for x in r["pieces"])
     assert sum(len(r["ids"]) // 4 for r in rows) == total
     assert all(len(r["ids"]) == 4 * r["n_tokens"] <= 4 * 512 for r in rows)
 
 
+def test_every_rank_has_one_slot_and_is_held_against_few():
+    rng = random.Random(8)
+    for histogram in ({1: 10**6, **{n: rng.randint(1, 50) for n in range(2, 4000)}}, {n: rng.choice([1, 10**5]) for n in range(1, 900)}):
+        rows = packing.slots(packing.patterns(histogram))
+        cut, widths = packing._in_blocks(rows)
+        widths = dict(widths)
+        assert set(widths) == set(histogram) and len(cut) <= 2 * len(rows)
+        held = {}
+        for length, block, first, end, *_ in cut:
+            assert first < (block + 1) * widths[length] and end > block * widths[length]
+            held[length] = held.get(length, 0) + widths[length]
+        assert all(held[n] <= 2 * count + 2 * widths[n] for n, count in histogram.items())
+        for length in rng.sample(sorted(histogram), 50):
+            for rank in {0, histogram[length] - 1, rng.randrange(histogram[length])}:
+                block = rank // widths[length]
+                assert sum(r[:2] == (length, block) and r[2] <= rank < r[3] for r in cut) == 1
+
+
 @pytest.mark.parametrize("most", [packing.COUNTS, 0])
 def test_digests_come_from_written_sequences(spark, documents, sf, monkeypatch, most):
     """Ids altered in the written sequences show in op2's rows, and the pipeline's last stage keeps the ids."""

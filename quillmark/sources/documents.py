@@ -85,9 +85,12 @@ def write_papers(papers: DataFrame, folder: str, append: bool = False) -> None:
 
 
 def read_papers(spark: SparkSession, folder: str) -> DataFrame:
-    """What ``write_papers`` has written: ``path, exam_id, text``."""
-    exam = F.regexp_extract("path", r"exam_id=([^/]+)/[^/]+$", 1)
-    return read_plain_texts(spark, folder).select("path", exam.alias("exam_id"), "text")
+    """What ``write_papers`` has written: ``path, exam_id, text``.
+
+    The exam is the folder, so a predicate on it leaves other exams' files unopened.
+    """
+    files = spark.read.schema("value string, exam_id string").text(folder, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "exam_id", F.col("value").alias("text"))
 
 
 def write_bundle(bundle: DataFrame, folder: str) -> None:

@@ -10,7 +10,7 @@ from quillmark.operators.render import render_answered
 from quillmark.plans.scoring import score_answers
 from quillmark.schemas import ANSWER, EVAL, ITEM, SLOT
 from quillmark.session import new_path
-from quillmark.sources.documents import write_papers
+from quillmark.sources.documents import read_papers, write_papers
 from quillmark.sources.stages import stage
 from quillmark.sources.steps import restore_steps, save_step, whole_steps
 from quillmark.streaming import arrivals
@@ -127,3 +127,14 @@ def test_old_groups_are_not_numbered_again(spark, monkeypatch):
     for step, n in enumerate((400, 450, 500)):
         number_new(many.where(F.col("student_id").cast("int") < n), folder, step)
     assert seen == [400, 50, 50]
+
+
+def test_papers_of_other_exams_stay_unopened(spark, rows, plan_of):
+    folder = new_path(spark, "papers")
+    given = spark.createDataFrame([("E1", "a"), ("E/2 x", "b"), ("E1", "c"), (None, "d")], "exam_id string, text string")
+    write_papers(given, folder)
+    found = read_papers(spark, folder).withColumn("text", F.trim(F.regexp_replace("text", "\n", "")))
+    assert rows(found, "exam_id", "text") == rows(given)
+    one = found.where("exam_id = 'E/2 x'")
+    assert rows(one, "exam_id", "text") == [("E/2 x", "b")]
+    assert "PartitionFilters: [isnotnull(exam_id" in plan_of(one)

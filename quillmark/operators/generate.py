@@ -2,7 +2,9 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -72,6 +74,33 @@ def truncate_prompts(
     return df.withColumn(prompt, cut(F.col(prompt)))
 
 
+def _replies(prompts: pa.Array, ask: Generate, per_call: int) -> Iterator[pa.Array]:
+    """Replies to the rows of a batch, in order and in parts, one part a call.
+
+    Only the texts of one call are Python objects. A reply is held while its prompt
+    still has rows to come.
+    """
+    met = prompts.dictionary_encode()  # numbered as they first appear
+    codes = met.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    different = met.dictionary
+    known, first = np.unique(codes, return_index=True)
+    first = first[known >= 0]
+    last = np.zeros(len(different), np.int64)
+    last[codes[codes >= 0]] = np.flatnonzero(codes >= 0)
+    held: dict[int, str | None] = {}
+    at = 0
+    for begin in range(0, len(different), per_call):
+        numbers = range(begin, min(begin + per_call, len(different)))
+        held.update(zip(numbers, ask(different.slice(begin, per_call).to_pylist()), strict=True))
+        end = int(first[numbers.stop]) if numbers.stop < len(different) else len(codes)
+        yield pa.array([held.get(c) for c in codes[at:end].tolist()], prompts.type)
+        for c in {*codes[at:end].tolist()}.intersection(held):
+            if last[c] < end:
+                del held[c]
+        at = end
+    yield pa.nulls(len(codes) - at, prompts.type)
+
+
 def generate(
     df: DataFrame,
     make_generator: Callable[[dict], Generate],
@@ -83,18 +112,14 @@ def generate(
 
     ``make_generator`` gets the generation settings and runs once per task; the
     task hands it the different prompts of each Arrow batch, at most ``per_call``
-    at a time. Only the prompt travels to Python.
+    at a time. Only the prompt travels to Python, and replies leave it call by call.
     """
 
-    @F.pandas_udf("string")
-    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def replies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ask = make_generator(dict(fixed.GENERATION))
         for prompts in batches:
-            codes, different = pd.factorize(prompts)
-            answers = []
-            for at in range(0, len(different), per_call):
-                answers += ask(list(different[at : at + per_call]))
-            yield pd.Series([answers[c] if c >= 0 else None for c in codes], dtype=object)
+            yield from _replies(prompts, ask, per_call)
 
     return df.withColumn(out, replies(F.col(prompt)))
 

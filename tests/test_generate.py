@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,34 @@ def test_each_prompt_is_asked_once(spark, tmp_path):
     assert sorted(open(log).read().split()) == ["new", "p0", "p1", "p2"]
 
 
+def test_replies_leave_call_by_call():
+    """No more than a call's replies, and those whose prompt comes again, are held at a time."""
+    asked = []
+
+    def ask(prompts):
+        asked.append(prompts)
+        return [p + "!" for p in prompts]
+
+    given = ["a", None, "b", "a", "c", "", None, "d", "b", "e", None]
+    parts = generate._replies(pa.array(given), ask, 2)
+    assert asked == [] and next(parts).to_pylist() == ["a!", None, "b!", "a!"] and asked == [["a", "b"]]
+    assert next(parts).to_pylist() == ["c!", "!", None] and len(asked) == 2
+    rest = [x for part in parts for x in part.to_pylist()]
+    assert rest == ["d!", "b!", "e!", None] and asked == [["a", "b"], ["c", ""], ["d", "e"]]
+    assert [p.to_pylist() for p in generate._replies(pa.array([None, None], "string"), ask, 2)] == [[None, None]]
+    with pytest.raises(ValueError):
+        list(generate._replies(pa.array(["a", "b"]), lambda prompts: ["one"], 2))
+
+
+def test_replies_meet_their_rows(spark):
+    """Over several Arrow batches, with repeated, empty and null prompts."""
+    text = F.when(F.col("id") % 7 != 0, F.repeat(F.lit("x"), (F.col("id") % 1000).cast("int")))
+    df = spark.range(0, 25_000, 1, 2).withColumn("prompt", text)
+    make = lambda settings: lambda prompts: [f"{len(p)}" for p in prompts]
+    right = F.col("generated_text").eqNullSafe(F.length("prompt").cast("string"))
+    assert generate.generate(df, make, per_call=16).where(right).count() == 25_000
+
+
 def test_sorting_a_sheet_does_not_ask_twice(spark, tmp_path):
     log = str(tmp_path / "asked")
 

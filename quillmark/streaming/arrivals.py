@@ -8,6 +8,9 @@ is in the stream's checkpoint; every step writes folders of its own, so a step
 that is broken off and runs again replaces itself, and no paper counts twice.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,6 +37,22 @@ def arriving_papers(spark: SparkSession, folder: str, most: int | None = None) -
     return files.select(F.col("_metadata.file_path").alias("path"), "exam_id", F.col("value").alias("text"))
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Streams that run inside list a step's papers in as many tasks as a shuffle has.
+
+    By default there is a task for each paper up to 10,000, which takes ten times as
+    long; and a stream that goes on lists the papers of its last step once more.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def take_in(papers: DataFrame, items: DataFrame, folder: str, measure=WORDS) -> None:
     """Extracts, scores and numbers the answers of all papers that have arrived.
 
@@ -49,7 +68,8 @@ def take_in(papers: DataFrame, items: DataFrame, folder: str, measure=WORDS) ->
         save_step(conform(scored, ROWS), f"{folder}/scored", number)
 
     writer = papers.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    with _few_listing_tasks(papers.sparkSession):
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def scored_so_far(spark: SparkSession, folder: str) -> DataFrame:

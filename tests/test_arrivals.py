@@ -129,6 +129,22 @@ def test_old_groups_are_not_numbered_again(spark, monkeypatch):
     assert seen == [400, 50, 50]
 
 
+def test_papers_of_a_step_are_listed_in_few_tasks(spark):
+    """Not in a task each; the setting of the session stays as it was."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    given = [(f"s{n:03d}", "of the heat", "slowly") for n in range(60)]
+    items, box, folder = exam(spark), inbox(spark, given), new_path(spark, "arrivals")
+    before, store = spark.conf.get(key), spark.sparkContext._jsc.sc().statusStore()
+    seen = store.jobsList(None).size()
+    arrivals.take_in(arrivals.arriving_papers(spark, box), items, folder)
+    jobs = store.jobsList(None)
+    jobs = [jobs.apply(n) for n in range(jobs.size() - seen)]  # latest first
+    listing = [j.numTasks() for j in jobs if "Listing leaf files" in j.description().toString()]
+    assert 0 < max(listing) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get(key) == before
+    assert arrivals.scored_so_far(spark, folder).count() == 120
+
+
 def test_papers_of_other_exams_stay_unopened(spark, rows, plan_of):
     folder = new_path(spark, "papers")
     given = spark.createDataFrame([("E1", "a"), ("E/2 x", "b"), ("E1", "c"), (None, "d")], "exam_id string, text string")

@@ -2,7 +2,7 @@
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -14,6 +14,44 @@ from quillmark.llm.worker import kept, slices, texts
 IDS = np.dtype("<u4")
 
 
+def _whole(library, text: str) -> bytes:
+    return np.array(library.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+
+
+class _Known(dict):
+    """Ids by chunk; those of a chunk that is not there yet are found and kept."""
+
+    MARKS = ".,;:!?|#$%&*"
+    #: Small letters that no normal form changes; each run of them is one word.
+    LETTERS = "".join(x for x in map(chr, range(256)) if x.isalpha() and x.islower())
+    WORD = re.compile(f"[{LETTERS}]+")
+    #: Words to try the tokenizer's model with.
+    WORDS = (*LETTERS, LETTERS, LETTERS[::-1], "st", "the", "llama", "dont", "endoftext", "stra\xdfe", "\xe9t\xe9", "qq" * 40)
+
+    def __init__(self, library, items: Iterable[tuple[str, bytes]] = ()):
+        super().__init__(items)
+        self.library, self.model = library, library.model
+        #: Letters as the model is given them.
+        self.given = str.maketrans({x: "".join(p for p, _ in library.pre_tokenizer.pre_tokenize_str(x)) for x in self.LETTERS})
+        self.by_word = all(self._of_model(x) == _whole(library, x) for x in self.WORDS)
+
+    def _of_model(self, word: str) -> bytes:
+        word = word if word.isascii() else word.translate(self.given)
+        return np.array([x.id for x in self.model.tokenize(word)], IDS).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Marks behind a word are parted from it, as words recur more."""
+        word = chunk.rstrip(self.MARKS)
+        if self.by_word and self.WORD.fullmatch(chunk):
+            ids = self._of_model(chunk)
+        elif word != chunk and word[-1:].lower()[-1:].isalnum():
+            ids = self[word] + self[chunk[len(word) :]]
+        else:
+            ids = _whole(self.library, chunk)
+        self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Encodes each different chunk between white space once and joins the ids.
 
@@ -27,7 +65,6 @@ class ChunkEncoder:
     MOST = 500_000
     #: White space to Python's ``split`` but not to the tokenizer.
     ODD = re.compile("[\x1c-\x1f]")
-    MARKS = ".,;:!?|#$%&*"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,15 +73,15 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
         #: Added tokens in small letters; the library looks for them before it lower-cases.
         self.added = [x.content.lower() for x in self.library.get_added_tokens_decoder().values()]
         probe = "Ab, c? .1!"
         parts = ["ab", ",", "c", "?", ".1", "!"]
         self.by_chunk = self.whole(probe) == b"".join(map(self.whole, parts))
+        self.known = _Known(self.library) if self.by_chunk else {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+        return _whole(self.library, text)
 
     def _chunks(self, text: str) -> list[str] | None:
         """The chunks of a text, in small letters where that is sure to change no id."""
@@ -57,20 +94,6 @@ class ChunkEncoder:
         lower = text.lower()
         return text.split() if any(x in lower for x in self.added) else lower.split()
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new chunks; marks behind a word are parted from it, as words recur more."""
-        parts = {}
-        for chunk in new:
-            word = chunk.rstrip(self.MARKS)
-            if word != chunk and word[-1:].lower()[-1:].isalnum():
-                parts[chunk] = word, chunk[len(word) :]
-        needed = new.difference(parts).union(*parts.values()).difference(self.known)
-        needed = [*needed]
-        for chunk, x in zip(needed, self.library.encode_batch_fast(needed, add_special_tokens=False)):
-            self.known[chunk] = np.array(x.ids, IDS).tobytes()
-        for chunk, (word, marks) in parts.items():
-            self.known[chunk] = self.known[word] + self.known[marks]
-
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
@@ -78,9 +101,7 @@ class ChunkEncoder:
             return [np.array(x.ids, IDS).tobytes() for x in found]
         chunks = [self._chunks(text) for text in many]
         if len(self.known) > self.MOST:  # what was met first is what recurs most
-            self.known = dict(islice(self.known.items(), self.MOST // 2))
-        if new := set().union(*(own for own in chunks if own)).difference(self.known):
-            self._learn(new)
+            self.known = _Known(self.library, islice(self.known.items(), self.MOST // 2))
         known = self.known.__getitem__
         return [
             self.whole(text) if own is None else b"".join(map(known, own))

@@ -52,6 +52,25 @@ def test_chunks_encode_as_whole_texts():
     assert got == ids_of(WORDS, texts)
 
 
+def test_new_words_of_small_letters_go_straight_to_the_model():
+    rng = random.Random(7)
+    letters = [x for x in map(chr, range(256)) if x.isalpha() and x.islower()]
+    words = ["".join(rng.choices(letters if n % 2 else "etaoins", k=rng.randint(1, 12))) for n in range(2000)]
+    encoder = ChunkEncoder(WORDS)
+    encoder.known.update({x: encoder.whole(x) for x in (".", ",", "?!")})
+    encoder.library = encoder.known.library = None  # nothing else is to be encoded as a text
+    texts = [" ".join(words), *words[:200], *(f"{w}, {w}?!\nAE{w}." for w in words[200:300])]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == ids_of(WORDS, texts)
+
+
+def test_words_are_encoded_alike_when_some_are_forgotten(monkeypatch):
+    monkeypatch.setattr(ChunkEncoder, "MOST", 50)
+    encoder, texts = ChunkEncoder(WORDS), [f"W\xf6rter{n}, stra\xdfe \xc9t\xe9{chr(97 + n % 26)} don't #{n}!" for n in range(300)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in (y for at in range(0, 300, 20) for y in encoder.encode(texts[at : at + 20]))]
+    assert got == ids_of(WORDS, texts)
+
+
 def test_added_tokens_in_capitals_are_plain_text():
     """The library looks for them before it lower-cases; only the exact spelling is a control token."""
     marks = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startOfText|>", "<|endoftext|>", "<|startoftext|>"]

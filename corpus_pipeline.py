@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import quillmark
 from quillmark.llm import lines, packing, quality, simhash, toxicity
+from quillmark.session import small_batches
 from quillmark.sources.stages import stage
 
 # Python workers need not have the package installed.
@@ -28,6 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds less likely to be toxic than not."""
+    small_batches(spark)
     scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(F.col("toxic_score") < 0.5).select(*docs.columns)
 
@@ -39,11 +41,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near fingerprints."""
+    small_batches(spark)
     return simhash.without_near_duplicates(docs, words=4, bits=4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place and their ids in the packed sequences, which are written."""
+    small_batches(spark)
     return packing.placed_pieces(packing.write_sequences(docs, public_tokenizers.path(TOKENIZER), end_id=2))
 
 

@@ -20,14 +20,19 @@ from pyspark.sql import functions as F
 from quillmark.llm import words as w
 from quillmark.llm.training import label_sample, remainder
 from quillmark.llm.worker import share, slices, texts
+from quillmark.session import passing_shuffles, small_batches
 from quillmark.sources.stages import stage
 
 WIDTH, ONES, SEED = 64, 4, 11
 #: Numbers that stand for how a word is written; others are hashes of words.
 SHAPES = 64
 WINDOW = 2
-#: Rows of words that a task holds before it sums them or sends them on.
-HELD = 120_000
+#: Rows of words that a task holds before it sums them or sends them on, about 90 bytes each.
+HELD = 320_000
+#: Words of chunks that a task holds before it asks for them.
+ASKED = 1_000_000
+#: Bytes of texts whose words are found at a time, if no text is longer.
+GROUP = 1 << 18
 #: Words and shapes, counted each time, of the texts whose vectors a task holds at once, about.
 CHUNK = 12_000_000
 #: Labelled rows that the network is trained on, at most.
@@ -67,11 +72,36 @@ def _merged(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [keys[first], *map(added, columns)]
 
 
-def _joined(held: list[tuple]) -> list[np.ndarray]:
-    """The tables in ``held``, which is emptied, as one."""
-    columns = list(zip(*held))
-    held.clear()
-    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+def _small(rows: tuple) -> tuple[tuple, tuple]:
+    """Rows whose sums fit one byte a number, kept so, and the others."""
+    fits = np.abs(rows[-1]).max(axis=1, initial=0) < 128
+    return (*(x[fits] for x in rows[:-1]), rows[-1][fits].astype(np.int8)), tuple(x[~fits] for x in rows)
+
+
+def _joined(held: list[tuple]) -> tuple[tuple, tuple]:
+    """The tables in ``held``, all ``_small``, merged as one: rows that are still small, and the others."""
+    order = np.argsort(np.concatenate([x[0] for x in held]), kind="stable")
+    keys = np.concatenate([x[0] for x in held])[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    numbers = [keys[first], *(np.add.reduceat(np.concatenate([x[n] for x in held])[order], first) for n in (1, 2))]
+    sums, large = np.empty((len(first), WIDTH), np.int8), np.zeros(len(first), bool)
+    for at in range(0, WIDTH, 8):
+        part = np.concatenate([x[3][:, at : at + 8] for x in held])[order]
+        part = np.add.reduceat(part, first, axis=0, dtype=np.int32)
+        large |= np.abs(part).max(axis=1) > 127
+        sums[:, at : at + 8] = part.astype(np.int8)
+    # the few rows that need more than a byte are added up once more
+    sizes = np.diff(np.append(first, len(order)))
+    rows, begin = order[np.repeat(large, sizes)], np.cumsum([0, *(len(x[0]) for x in held)])
+    wide = np.empty((len(rows), WIDTH), np.int32)
+    for n, x in enumerate(held):
+        own = (rows >= begin[n]) & (rows < begin[n + 1])
+        wide[own] = x[3][rows[own] - begin[n]]
+    starts = np.cumsum(sizes[large]) - sizes[large]
+    wide = np.add.reduceat(wide, starts, axis=0) if len(starts) else wide
+    if not large.any():
+        return (*numbers, sums), (*(x[large] for x in numbers), wide)
+    return (*(x[~large] for x in numbers), sums[~large]), (*(x[large] for x in numbers), wide)
 
 
 def _packed(sums: np.ndarray) -> pa.Array:
@@ -140,10 +170,13 @@ def _sum_up(sums: np.ndarray, to: np.ndarray, of: np.ndarray) -> None:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per word and shape how often it occurs, in how many texts (of more than one, at
-    least two), and the sum of its neighbours' index vectors; a word may come again."""
+    least two), and the sum of its neighbours' index vectors; a word may come again.
+
+    What is held takes a byte a number; a row that needs more is sent on at once.
+    """
     held: list[tuple] = []
     for batch in slices(batches, 256):
-        for group in w.parts(texts(batch)):
+        for group in w.parts(texts(batch), GROUP):
             found = w.words(group)
             own, shape = _keys(found)
             keys, at, counts = np.unique(np.concatenate([own, shape]), return_inverse=True, return_counts=True)
@@ -159,13 +192,20 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # shapes on either side are given the word on the right
                 of = [x[same] for x in (own[apart:], own[:-apart], own[apart:], own[apart:])]
                 _sum_up(sums, np.concatenate(to), np.concatenate(of))
-            held.append((keys, counts, many, sums))
+            few, large = _small((keys, counts, many, sums))
+            yield from _sent(*large)
+            held.append(few)
             if sum(len(x[0]) for x in held) > HELD:
-                held = [tuple(_merged(*_joined(held)))]
-                if len(held[0][0]) > HELD // 2:
-                    yield from _sent(*held.pop())
-    if held:
-        yield from _sent(*_merged(*_joined(held)))
+                few, large = _joined(held)
+                held.clear()
+                yield from _sent(*large)
+                if len(few[0]) > HELD // 2:
+                    yield from _sent(*few)
+                else:
+                    held.append(few)
+                del few
+    for rows in _joined(held) if held else ():
+        yield from _sent(*rows)
 
 
 def _added(batches: Iterator[pa.RecordBatch], least_texts: int) -> Iterator[pa.RecordBatch]:
@@ -219,9 +259,15 @@ class Table(NamedTuple):
     def of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], total: int) -> "Table":
         if not parts:
             return Table(np.empty(0, np.int64), np.empty((0, WIDTH), np.int8), np.empty(0, np.float32), total)
-        words, sums, scales = map(np.concatenate, zip(*parts))
+        words = np.concatenate([x[0] for x in parts])
         order = np.argsort(words)
-        return Table(words[order], sums[order], scales[order], total)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        sums, scales, at = np.empty((len(words), WIDTH), np.int8), np.empty(len(words), np.float32), 0
+        for own, numbers, scale in parts:
+            to = place[at : at + len(own)]
+            sums[to], scales[to], at = numbers, scale, at + len(own)
+        return Table(words[order], sums, scales, total)
 
 
 def looked_up(rows: DataFrame, words: DataFrame, work: Callable, schema) -> DataFrame:
@@ -237,13 +283,22 @@ def looked_up(rows: DataFrame, words: DataFrame, work: Callable, schema) -> Data
     dealt = rows.select(F.struct(*names).alias("row")).withColumn("chunk", F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(chunks)))
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            own, chunk = texts(batch), batch.column("chunk").to_numpy()
-            for n in np.unique(chunk):
-                keys = [np.unique(np.concatenate(_keys(w.words(g)))) for g in w.parts([own[i] for i in np.flatnonzero(chunk == n)])]
-                word = np.unique(np.concatenate(keys))
+        held: dict[int, list[np.ndarray]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for n in list(held):
+                word = np.unique(np.concatenate(held.pop(n)))
                 yield pa.record_batch([pa.array(np.full(len(word), n), pa.int64()), pa.array(word, pa.int64())], ["chunk", "word"])
 
+        for batch in slices(batches, 1024):
+            own, chunk = texts(batch), batch.column("chunk").to_numpy()
+            for n in np.unique(chunk).tolist():
+                groups = w.parts([own[i] for i in np.flatnonzero(chunk == n)], GROUP)
+                held.setdefault(n, []).extend(np.unique(np.concatenate(_keys(w.words(g)))) for g in groups)
+            if sum(len(x) for own in held.values() for x in own) > ASKED:
+                yield from sent()
+        yield from sent()
+
     asked = dealt.select("chunk", F.col("row.text").alias("text")).mapInArrow(different, "chunk long, word long").distinct()
     given = asked.join(words, "word").select("chunk", *SUMS_NAMES)
     both = given.unionByName(dealt, allowMissingColumns=True)
@@ -310,7 +365,7 @@ def pooled(many: list[str], words: np.ndarray, vectors: np.ndarray, scales: np.n
             counts[at, 1] += np.diff(np.append(starts, len(keys)))
 
     open_keys, open_times = np.empty(0, np.int64), np.empty(0, np.int64)
-    for group in w.parts(many):
+    for group in w.parts(many, GROUP):
         found = w.words(group)
         own, shape = _keys(found)
         spots = [np.searchsorted(words, k) for k in (own, shape)]
@@ -437,6 +492,9 @@ def quality(documents: DataFrame, labels: DataFrame, held_out_by: int = 3, held_
     Word vectors are counted over all documents. Labels are learnt only of ids
     whose crc32 as text, modulo ``held_out_by``, is not ``held_out``.
     """
-    words = word_sums(documents, least_texts=2)
-    learn = remainder("doc_id", held_out_by) != held_out
-    return score(documents, train(documents, labels, learn, words), words)
+    spark = documents.sparkSession
+    small_batches(spark)
+    with passing_shuffles(spark):
+        words = word_sums(documents, least_texts=2)
+        network = train(documents, labels, remainder("doc_id", held_out_by) != held_out, words)
+        return score(documents, network, words)

@@ -59,8 +59,8 @@ class Words:
         return counts[self.end] - counts[self.begin]
 
 
-def parts(texts: list[str]) -> Iterator[list[tuple[int, bytes]]]:
-    """The texts' bytes in groups of about ``PART`` bytes; a longer text comes in several parts."""
+def parts(texts: list[str], most: int = PART) -> Iterator[list[tuple[int, bytes]]]:
+    """The texts' bytes in groups of about ``most`` bytes; a text longer than ``PART`` comes in several parts."""
     group, size = [], 0
     for n, text in enumerate(texts):
         data = text.encode()
@@ -70,7 +70,7 @@ def parts(texts: list[str]) -> Iterator[list[tuple[int, bytes]]]:
             if end < len(data):
                 space = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
                 end = space + 1 if space > at else end
-            if group and size + end - at > PART:
+            if group and size + end - at > most:
                 yield group
                 group, size = [], 0
             group.append((n, data[at:end]))

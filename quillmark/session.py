@@ -68,3 +68,24 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         _RUNS.remove(folder)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on, Python workers of this session get batches of about 4 MB, not of up to 64 MB.
+
+    A batch of whole texts is held several times over by the executor and its
+    worker. Rows and their order do not depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is run inside the block leaves no shuffle files behind once it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

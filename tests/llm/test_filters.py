@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -175,6 +176,76 @@ def test_sums_are_read_as_they_were_sent(most):
 # Archives
 
 
+def sent_sums(texts):
+    """Rows that a task sends for some texts, and what they come to for each word or shape."""
+    batches = pa.table({"text": pa.array(texts, pa.string())}).to_batches(100)
+    rows, found = 0, {}
+    for batch in quality._contexts(iter(batches)):
+        rows += batch.num_rows
+        for key, count, many, sums in zip(*quality._read(batch)):
+            old = found.get(int(key), (0, 0, 0))
+            found[int(key)] = old[0] + int(count), old[1] + int(many), old[2] + sums
+    return rows, found
+
+
+def plain_sums(texts):
+    found = {}
+    for text in texts:
+        words = w.words([(0, text.encode())])
+        own, shape = (x.tolist() for x in quality._keys(words))
+        for n, key in [*enumerate(own), *enumerate(shape)]:
+            found.setdefault(key, [0, set(), np.zeros(quality.WIDTH, np.int64)])
+            found[key][0] += 1
+            found[key][1].add(text)
+        for n in range(len(own)):
+            for m in range(n + 1, min(n + quality.WINDOW + 1, len(own))):
+                for to, of in ((own[n], own[m]), (own[m], own[n]), (shape[n], own[m]), (shape[m], own[m])):
+                    bits = of % 2**64
+                    for part in range(quality.ONES):
+                        place = part * 16 + (bits >> (60 - 4 * part) & 15)
+                        found[to][2][place] += 1 if bits >> (40 + part) & 1 else -1
+    return found
+
+
+@pytest.mark.parametrize("held, group", [(quality.HELD, 1 << 18), (20, 100), (1, 1)])
+def test_sums_held_as_bytes_are_exact(monkeypatch, held, group):
+    """The most frequent words have sums beyond a byte, at once or only after some were added up."""
+    monkeypatch.setattr(quality, "HELD", held)
+    monkeypatch.setattr(quality, "GROUP", group)
+    texts = [f"The word{n % 7} of the {chr(97 + n % 5)} House, no {n}." for n in range(300)] + ["so it " * 700, "", "one"]
+    _, found = sent_sums(texts)
+    plain = plain_sums(texts)
+    assert max(abs(x[2]).max() for x in plain.values()) > 127
+    assert found.keys() == plain.keys()
+    for key, (count, texts_of, sums) in plain.items():
+        assert found[key][0] == count and (found[key][2] == sums).all()
+        assert (found[key][1] > 1) == (len(texts_of) > 1)
+
+
+def test_a_task_sends_a_word_once_unless_it_holds_very_many():
+    letters = "abcdefghijklmnopqrst"
+    words = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:13]]
+    texts = [" ".join(words[at : at + 100]) for at in range(0, len(words), 100)]
+    rows, found = sent_sums(texts + texts[::-1] + texts)
+    assert len(words) == 104_000 and len(found) > 104_000
+    assert rows < 1.1 * len(found)
+
+
+def test_nothing_but_the_words_is_left_when_scores_are_asked_for(spark, documents):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    scored = quality.quality(documents, spark.createDataFrame([(7, 1), (3, 0)], "doc_id long, quality int"))
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(name) == was
+    assert scored.count() == documents.count()
+
+
 def made_pages(spark):
     same, other = "<p>" + "x" * 200, "é" * 60
     rows = [

@@ -38,7 +38,7 @@ def _scored(found: DataFrame, score: str, held_out) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = quality.quality(documents, _table(spark, sf_dir, "labels"), held_out_by=3, held_out=1)
+    found = quality.quality(documents, _table(spark, sf_dir, "labels"), held_out_by=3, held_out=1, columns=["doc_id"])
     return _scored(found, "quality_score", remainder("doc_id", 3) == 1)
 
 

@@ -118,6 +118,68 @@ def test_every_word_has_a_vector_of_its_own(spark, monkeypatch):
     assert np.allclose([s for _, s in scored], [s for _, s in scores()], atol=1e-6)
 
 
+def test_common_words_stay_in_the_task(monkeypatch):
+    """A word that comes all the time takes one row of a task's sums, not one each time rare words need room."""
+    monkeypatch.setattr(quality, "HELD", 400)
+    monkeypatch.setattr(quality, "GROUP", 500)
+    texts = [" ".join(f"common{i % 20} rare{n}x{i}" for i in range(40)) for n in range(100)]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    rows = [quality._read(x) for x in quality._contexts(iter([batch]))]
+    keys = np.concatenate([x[0] for x in rows])
+    found = dict(zip(*(x.tolist() for x in quality._merged(keys, np.concatenate([x[1] for x in rows])))))
+    own = [quality._keys(w.words(next(w.parts([t]))))[0].tolist() for t in texts]
+    for word in set().union(*own):
+        assert found[word] == sum(x.count(word) for x in own)
+    common = {x for x in own[0] if all(x in o for o in own)}
+    assert len(common) >= 20 and sum(k in common for k in keys.tolist()) <= 2 * len(common)
+
+
+@pytest.mark.parametrize("often", [1, 3, 4000])
+def test_sums_held_are_those_of_all_neighbours(monkeypatch, often):
+    """Sums do not depend on how many words a task holds, nor on when a frequent word is sent."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"W{n}" if n % 3 else f"w{n}!" for n in (rng.pareto(0.6, 60) * 3).astype(int) % 5000) for _ in range(60)] + ["", "a b " * 20_000, "a"]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+
+    def found():
+        rows = [quality._read(x) for x in quality._contexts(iter([batch]))]
+        return quality._merged(*(np.concatenate(x) for x in zip(*rows)))
+
+    keys, counts, many, sums = found()
+    assert np.abs(sums).max() > 1 << 15 and counts.sum() == 2 * sum(len(w.words(g).text) for g in w.parts(texts))
+    for name, value in (("OFTEN", often), ("HELD", 30 * often)):
+        monkeypatch.setattr(quality, name, value)
+        assert all(np.array_equal(x, y) for x, y in zip(found(), (keys, counts, many, sums)))
+
+
+def test_packed_sums_come_back():
+    """Sums of any size are read as they were sent; two bytes a number are enough for most of the large ones."""
+    sums = np.zeros((6, quality.WIDTH), np.int64)
+    sums[1, :3], sums[2], sums[3, 5], sums[4, 6], sums[5, 7] = (2, -3, 1), np.arange(64) - 32, -32_767, 1 << 40, -128
+    packed = quality._packed(sums)
+    assert np.array_equal(quality._unpacked(packed), sums)
+    assert [len(x.as_py()) for x in packed] == [0, 6, 64, 128, 512, 128]
+
+
+def test_texts_move_in_rounds(spark, monkeypatch):
+    """Of many chunks only a part's texts and vectors are on their way at a time, and the scores are those of one round."""
+    docs = spark.range(600).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id"), F.expr("concat('word', id % 7, ' and word', id % 11, ' of ', id)").alias("text"))
+    labels = docs.where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 7 % 2).cast("int").alias("quality"))
+    read = lambda **kind: sorted((r["doc_id"] or -1, r["quality_score"]) for r in quality.quality(docs, labels, **kind).collect())
+    whole, moved, save = read(), [], quality.save
+    assert len(whole) == 600
+
+    def spied(df, path, by=(), append=False):
+        save(df, path, by, append)
+        moved.append((path, spark.read.parquet(path).count()))
+
+    monkeypatch.setattr(quality, "save", spied)
+    monkeypatch.setattr(quality, "CHUNK", 60)
+    assert read(columns=["doc_id"]) == whole
+    rounds = [n for path, n in moved if path == moved[-1][0]]
+    assert len(rounds) == quality.ROUNDS and rounds[-1] == 600 and max(np.diff([0, *rounds])) <= 300
+
+
 def test_words_of_one_text_are_pooled_as_if_they_had_a_row(spark):
     """Features are those of a table of all words, and of the method done plainly, word by word."""
     rng = np.random.default_rng(8)
